@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
+
+from graticule.llm.textkernel import Block, blocks
 
 #: A word: a run of anything but space, tab, newline, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -38,3 +44,26 @@ def word_count(text: Column) -> Column:
 def maybe_broadcast(df: DataFrame, rows: int, limit: int = 100_000) -> DataFrame:
     """A broadcast hint where the measured row count is within the limit, else the frame as it is."""
     return F.broadcast(df) if rows <= limit else df
+
+
+def map_texts(df: DataFrame, fn: Callable[[Block], dict[str, object]], fields: list[tuple[str, str]], keep: list[str]) -> DataFrame:
+    """Columns `keep` of every row with columns that `fn` computes from the column `text`, block by block.
+
+    `fn` gets a Block of whole texts and returns for each (name, DDL type) of `fields` an array of its length; a null in
+    a kept column stays. One pass over the rows in Arrow batches, without a shuffle.
+    """
+    columns = keep if "text" in keep else [*keep, "text"]
+    kept = df.select(*columns)
+    schema = T.StructType([*[kept.schema[c] for c in keep], *[T.StructField(n, T._parse_datatype_string(t)) for n, t in fields]])
+    types = {n: to_arrow_type(T._parse_datatype_string(t)) for n, t in fields}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, block in blocks(batch.column(columns.index("text"))):
+                made = fn(block)
+                part = batch.slice(at, block.n)
+                arrays = [part.column(columns.index(c)) for c in keep]
+                arrays += [x if isinstance(x, pa.Array) else pa.array(x, types[n]) for n, _ in fields for x in [made[n]]]
+                yield pa.RecordBatch.from_arrays(arrays, [*keep, *types])
+
+    return kept.mapInArrow(run, schema)
