@@ -22,6 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str) -> str:
+    """Place of a public tokenizer's file, which is the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """The cluster's shared checkpoint folder, as the session names it; a temporary one only where none is set."""
     sc = spark.sparkContext

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graticule.llm import ann, langid, mixing, quality, sharding
-from graticule.llm.common import table
+from graticule.llm import ann, langid, mixing, packing, quality, sharding
+from graticule.llm.common import table, tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 24)
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(packing.VOCABULARY))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -37,6 +41,7 @@ def queries() -> dict[str, Query]:
     return {
         "op2_quality": op2_quality,
         "op3_sharding": op3_sharding,
+        "op4_packing": op4_packing,
         "op7_mixing": op7_mixing,
         "op9_language": op9_language,
         "op10_nearest": op10_nearest,
