@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graticule.llm import ann, langid, mixing, packing, quality, sharding
+from graticule.llm import ann, langid, mixing, ngram_join, packing, quality, sharding
 from graticule.llm.common import table, tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(packing.VOCABULARY))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -42,6 +46,7 @@ def queries() -> dict[str, Query]:
         "op2_quality": op2_quality,
         "op3_sharding": op3_sharding,
         "op4_packing": op4_packing,
+        "op5_ngram_join": op5_ngram_join,
         "op7_mixing": op7_mixing,
         "op9_language": op9_language,
         "op10_nearest": op10_nearest,
