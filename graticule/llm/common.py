@@ -37,6 +37,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="graticule-checkpoint-"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The shared folder for written tables: where checkpoints go."""
+    ensure_checkpoint_dir(spark)
+    return spark.sparkContext.getCheckpointDir()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise a frame in the shared checkpoint folder, so that a lost executor loses no part of it."""
     ensure_checkpoint_dir(df.sparkSession)
