@@ -100,7 +100,7 @@ def signatures(texts: DataFrame, sides: list[str], partition: list[str], samples
             packed = F.shiftleft(F.floor((log_a + 128.0) * float(1 << 22)), 32).bitwiseOR(name)
             least.append(F.min(packed).alias(f"_m{i}_{j}"))
     found = rows.groupBy(*partition, "_round").agg(*least)
-    arrays = [F.array(*[F.coalesce(F.col(f"_m{i}_{j}").bitwiseAND(F.lit(0xFFFFFFFF)), F.lit(0)) for j in range(AT_ONCE)]).alias(s) for i, s in enumerate(sides)]
+    arrays = [F.array(*[F.coalesce(F.col(f"_m{i}_{j}").bitwiseAND(F.lit(0x7FFFFFFF)), F.lit(0)) for j in range(AT_ONCE)]).alias(s) for i, s in enumerate(sides)]
     gathered = found.select(*partition, F.struct("_round", *arrays).alias("_part")).groupBy(*partition).agg(F.array_sort(F.collect_list("_part")).alias("_parts"))
     return gathered.select(*partition, *[F.flatten(F.col(f"_parts.{s}")).alias(s) for s in sides])
 
