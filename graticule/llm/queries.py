@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graticule.llm import ann, fingerprint, langid, mixing, ngram_join, packing, quality, sharding
+from graticule.llm import ann, fingerprint, langid, licenses, mixing, ngram_join, packing, quality, sharding, tokencount
 from graticule.llm.common import table, tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,10 +33,18 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
 
+def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path(tokencount.VOCABULARY))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -52,7 +60,9 @@ def queries() -> dict[str, Query]:
         "op3_sharding": op3_sharding,
         "op4_packing": op4_packing,
         "op5_ngram_join": op5_ngram_join,
+        "op6_tokens": op6_tokens,
         "op7_mixing": op7_mixing,
+        "op8_licenses": op8_licenses,
         "op9_language": op9_language,
         "op10_nearest": op10_nearest,
     }
