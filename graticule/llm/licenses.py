@@ -7,7 +7,7 @@ rules: a rule is a sequence of identifiers that must occur in that order, with a
 between neighbours. Rules are tried in their order from each place on, the first that matches wins, and matching goes on
 after it, so that longer rules, which stand first, are not mistaken for the shorter ones they hold.
 
-A version number in a sentence is kept: the known sentences name the version they mean.
+A known sentence may run over several lines. A version number in a sentence is kept: the known sentences name the version they mean.
 
 Edge cases: a null or empty text matches nothing; every row is returned, with an empty list where nothing matches; rows
 that repeat a doc_id are scanned each; an empty table gives an empty result.
@@ -86,34 +86,37 @@ def normalise(sentence: str) -> str:
 class Scanner:
     """Known sentences and rules, ready to match.
 
-    A known sentence may itself hold sentence ends (as "CC BY-NC 4.0." doesn't, but a clause with ";" may); it is then
-    known as the sequence of its parts, of which the first names it and the others must follow.
+    A known sentence may be broken into lines, or hold sentence ends itself, so it's matched against a run of parts of
+    the text, as many as make up its length.
     """
 
     def __init__(self, sentences: dict[str, str], rules: list[tuple[str, list[str]]], gap: int = GAP):
         self.gap = gap
-        self.first: dict[str, list[tuple[str, list[str]]]] = {}
-        for name, text in sentences.items():
-            parts = [normalise(p) for p in split(text.encode())]
-            parts = [p for p in parts if p]
-            self.first.setdefault(parts[0], []).append((name, parts))
-        for known in self.first.values():
-            known.sort(key=lambda x: -len(x[1]))
         self.rules = rules
+        self.known: dict[str, list[tuple[str, str]]] = {}  # by first word
+        for name, text in sentences.items():
+            plain = normalise(text)
+            self.known.setdefault(plain.partition(" ")[0], []).append((plain, name))
+        for found in self.known.values():
+            found.sort(key=lambda x: -len(x[0]))
 
     def identify(self, text: bytes) -> list[str]:
         """Identifiers of the known sentences of a text, in order."""
-        parts = [normalise(p) for p in split(text)]
-        parts = [p for p in parts if p]
+        parts = [p for p in map(normalise, split(text)) if p]
         found, at = [], 0
         while at < len(parts):
-            for name, known in self.first.get(parts[at], ()):
-                if parts[at : at + len(known)] == known:
-                    found.append(name)
-                    at += len(known)
-                    break
-            else:
-                at += 1
+            after = at + 1
+            for plain, name in self.known.get(parts[at].partition(" ")[0], ()):
+                if plain.startswith(parts[at]):
+                    upto, joined = at + 1, parts[at]
+                    while len(joined) < len(plain) and upto < len(parts):
+                        joined += " " + parts[upto]
+                        upto += 1
+                    if joined == plain:
+                        found.append(name)
+                        after = upto
+                        break
+            at = after
         return found
 
     def match(self, ids: list[str]) -> list[str]:

@@ -36,15 +36,16 @@ _KEEP = np.arange(256, dtype=np.uint8)
 
 
 @lru_cache(maxsize=2)
-def pieces_of(path: str) -> tuple[dict[bytes, float], int]:
-    """Log-probability of each piece, and the length of the longest."""
+def pieces_of(path: str) -> dict[bytes, float | None]:
+    """Log-probability of each piece; None for what is only the end of a piece."""
     with open(path) as lines:  # the tokenizer files are installed on every machine
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines)}
     scores = {piece: -math.log(rank + 1) for piece, rank in ranks.items()}
     last = -math.log(len(ranks) + 1)
     for byte in range(256):
         scores[bytes([byte])] = last
-    return scores, max(map(len, scores))
+    ends = {piece[i:] for piece in scores for i in range(1, len(piece))}
+    return dict.fromkeys(ends) | scores
 
 
 class Trie:
@@ -53,8 +54,8 @@ class Trie:
     A node knows the children by byte, and the best score and least number of pieces of the prefix that it stands for.
     """
 
-    def __init__(self, scores: dict[bytes, float], longest: int):
-        self.scores, self.longest = scores, longest
+    def __init__(self, scores: dict[bytes, float | None]):
+        self.scores = scores
         self.counts: dict[int, int] = {}  # by hash of the pre-token: the count kept at its terminal
         self.root: tuple[dict, float, int] = ({}, 0.0, 0)
         self.nodes = 1
@@ -62,14 +63,16 @@ class Trie:
     def insert(self, word: bytes) -> int:
         """Number of pieces of a pre-token; prefixes that are there already are not computed again."""
         path = [self.root]
-        scores, longest = self.scores, self.longest
+        score_of = self.scores.get
         for end in range(1, len(word) + 1):
             children = path[-1][0]
             node = children.get(word[end - 1])
             if node is None:
                 best, fewest = -math.inf, 0
-                for start in range(max(0, end - longest), end):
-                    score = scores.get(word[start:end])
+                for start in range(end - 1, -1, -1):
+                    score = score_of(word[start:end], False)
+                    if score is False:  # no piece ends like this, nor with anything longer
+                        break
                     if score is not None:
                         _, before, many = path[start]
                         total = before + score
@@ -88,7 +91,7 @@ def trie_of(path: str) -> Trie:
     """The worker's trie for a vocabulary, started anew when it has grown beyond its bound."""
     held = _TRIES.get(path)
     if held is None or held.nodes > NODES:
-        held = _TRIES[path] = Trie(*pieces_of(path))
+        held = _TRIES[path] = Trie(pieces_of(path))
     return held
 
 
