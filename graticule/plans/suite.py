@@ -1 +1,3 @@
 """Imports every query module, so that the registry is filled."""
+
+from graticule.plans import q_search  # noqa: F401
