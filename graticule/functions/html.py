@@ -11,6 +11,7 @@ from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StringType
 
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _BLOCK = {"p", "div", "table", "tr", "ul", "ol", "li", "section", "article", "header", "footer", "nav", "main", "blockquote", "pre", "h1", "h2", "h3", "h4", "h5", "h6", "body"}
@@ -188,19 +189,19 @@ def toc_paths(html: str, doc_title: str) -> dict[str, list[str]]:
     return out
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def markdown_of(html: pd.Series, title: pd.Series) -> pd.Series:
     """html_to_markdown as a column function."""
     return pd.Series([html_to_markdown(h or "", t or "") for h, t in zip(html, title, strict=True)])
 
 
-@F.pandas_udf("map<string,array<string>>")
+@F.pandas_udf(MapType(StringType(), ArrayType(StringType())))
 def paths_of(html: pd.Series, title: pd.Series) -> pd.Series:
     """toc_paths as a column function."""
     return pd.Series([toc_paths(h or "", t or "") for h, t in zip(html, title, strict=True)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Compatibility normalisation, which has no built-in function."""
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
@@ -229,7 +230,7 @@ def admonitions(markdown: str) -> str:
     return "\n".join([*out, ":::"] if note else out)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def admonitions_of(markdown: pd.Series) -> pd.Series:
     """admonitions as a column function."""
     return markdown.map(lambda m: None if m is None else admonitions(m))

@@ -151,6 +151,11 @@ def bag_of_words(text: Column, max_chars: int = 420) -> Column:
 
 def embedding_fallbacks(prepared: Column) -> Column:
     """Fallback variants of a prepared text, in the order in which they are tried, as (name, text) structs."""
+    # bound as a lambda's variable, so that the prepared text is computed once and not for every variant
+    return F.get(F.transform(F.array(prepared), _fallbacks), F.lit(0))
+
+
+def _fallbacks(prepared: Column) -> Column:
     ascii_safe = F.regexp_replace(prepared, r"[^\x00-\x7F]", "")
     collapsed = squeeze(prepared)
     long_lines = F.array_join(F.filter(lines(prepared), lambda x: F.length(strip(x)) >= 12), "\n")
