@@ -21,12 +21,6 @@ PAGE_RECORD = (
 )
 
 
-def decode_utf8(content: Column) -> Column:
-    """Text of UTF-8 bytes without a byte-order mark; bytes that aren't UTF-8 are left out."""
-    text = F.regexp_replace(F.decode(content, "UTF-8"), r"^\x{feff}", "")
-    return F.replace(text, F.lit("�"), F.lit(""))
-
-
 def read_texts(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     """(path, text) of the files below a folder whose name fits the pattern."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
@@ -40,6 +34,23 @@ def _lenient(content: Column) -> Column:
     )
 
 
+def _contents(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_title, text) of the guides' contents pages. Spark's readers pass over names that begin with an underscore, so
+    the driver reads these, one small file for each guide, through the file system API."""
+    fs, root = _fs(spark, path)
+    found = []
+    for folder in fs.listStatus(root):
+        page = _fs(spark, f"{folder.getPath().toString()}/__tableofcontents.html")[1]
+        if folder.isDirectory() and fs.exists(page):
+            stream = fs.open(page)
+            try:
+                text = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            finally:
+                stream.close()
+            found.append((folder.getPath().getName(), text.lstrip("\ufeff")))
+    return spark.createDataFrame(found, "doc_title string, text string")
+
+
 def read_guides(spark: SparkSession, path: str) -> DataFrame:
     """Pages of HTML guides, one folder each: (doc_id, doc_title, page_id, page_title, heading_path, markdown, place).
 
@@ -49,7 +60,7 @@ def read_guides(spark: SparkSession, path: str) -> DataFrame:
     files = read_texts(spark, path, "*.html").select(
         F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("doc_title"), F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "text"
     )
-    toc = files.where("file = '__tableofcontents.html'").select("doc_title", paths_of("text", "doc_title").alias("paths"))
+    toc = _contents(spark, path).select("doc_title", paths_of("text", "doc_title").alias("paths"))
     listed = toc.select("doc_title", F.posexplode(F.map_entries("paths")).alias("place", "_e")).select("doc_title", "place", F.col("_e.key").alias("file"), F.col("_e.value").alias("heading_path"))
     pages = files.where(~F.col("file").startswith("__"))
     with_toc = pages.join(listed, ["doc_title", "file"])
