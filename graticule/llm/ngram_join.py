@@ -6,9 +6,9 @@ sizes are linked. Only blocks of the product that can hold a link are formed:
 
 1. Rows with equal n-gram sets have one content key; the key stands for all of them from here on.
 2. In a global order of n-grams, two linked sets share one of the first n - ceil(t n) + 1 n-grams of either (a bound
-   that follows from the sizes alone). Any order will do; here the n-grams that are most frequent come last, so that
-   passages which many documents share don't bring them together. Frequencies are counted over all documents, for the
-   lowest `COUNTED` share of each by hash, from which the first n-grams come.
+   that follows from the sizes alone). Any order will do; here rare n-grams come first, so that passages which some
+   documents share don't bring them together. Frequencies are counted over all documents for a fixed part of all
+   n-grams (the lowest `COUNTED` by hash), which comes before the rest and holds the first n-grams of nearly every set.
 3. Documents that share one of those n-grams are joined to groups (connected components of stars, not of pairs).
 4. A group is cut into blocks by size class and hash. Each pair of blocks whose sizes allow a link is one task, which
    multiplies the two blocks of the incidence matrix, a chunk of n-grams at a time, and drops the pairs below the bound.
@@ -25,12 +25,14 @@ rows of their own. An empty table gives an empty result. Extra columns are ignor
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,16 +40,14 @@ from graticule.llm.common import cut, map_texts, maybe_broadcast
 from graticule.llm.components import components
 from graticule.llm.textkernel import LOWER, Block, blocks, mix64, shingle_hashes
 
-#: Share of a document's n-grams, the lowest by hash, whose frequency is counted.
+#: Share of all possible n-grams, the lowest by hash, whose frequency is counted and that come first in the order.
 COUNTED = 0.4
-#: N-grams in fewer documents than this are not told apart by frequency.
-FREQUENT = 32
-#: Frequent n-grams that are held in memory, at most; where there are more, the most frequent are.
-HELD = 1_000_000
+#: From so many documents of a gathering on, an n-gram is sent to be counted once for all of them.
+OFTEN = 16
 #: N-grams that a task gathers before it passes them on.
 GATHERED = 2_000_000
 #: Rows of a block of the product, about, and n-grams that are multiplied at once.
-BLOCK_ROWS = 128
+BLOCK_ROWS = 512
 CHUNK = 4096
 
 U = np.uint64
@@ -100,11 +100,6 @@ def _describe(width: int):
     return run
 
 
-def _short(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of each n-gram, and its number in the bucket (32 bits)."""
-    return (values >> U(64 - bits)).astype(np.int64), ((values >> U(32 - bits)) & U(0xFFFFFFFF)).astype(np.uint32)
-
-
 def _order(values: np.ndarray) -> np.ndarray:
     return mix64(values + U(0x632BE59BD9B4E019))
 
@@ -122,56 +117,13 @@ def _lowest(key: np.ndarray, first: np.ndarray, take: np.ndarray) -> np.ndarray:
 
 def _split(order_by: np.ndarray) -> Iterator[tuple[int, slice]]:
     """Runs of equal values of a sorted array."""
-    at = np.flatnonzero(np.r_[True, order_by[1:] != order_by[:-1]]) if len(order_by) else np.zeros(0, np.int64)
+    if not len(order_by):
+        return
+    at = np.flatnonzero(np.r_[True, order_by[1:] != order_by[:-1]])
     for a, b in zip(at, np.r_[at[1:], len(order_by)], strict=True):
         yield int(order_by[a]), slice(int(a), int(b))
 
 
-def frequent(docs: DataFrame, rule: Rule, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent n-grams (as bucket and number in one, sorted) and the logarithm of their frequency."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-
-        def flush() -> pa.RecordBatch:
-            value, many = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            bucket = (value >> U(32)).astype(np.int64)
-            rows = [(b, value[s].astype(np.uint32).tobytes(), np.minimum(many[s], 2**31).astype(np.uint32).tobytes()) for b, s in _split(bucket)]
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["bucket", "grams", "many"])
-
-        for batch in batches:
-            for _, block in blocks(batch.column(0)):
-                values, first = sets(block, rule.width)
-                n = np.diff(first)
-                chosen = values[_lowest(_order(values), first, np.maximum(rule.prefix(n), np.ceil(COUNTED * n).astype(np.int64)))]
-                held.append(chosen >> U(32 - bits))
-                if sum(map(len, held)) >= GATHERED:
-                    yield flush()
-        if sum(map(len, held)):
-            yield flush()
-
-    def total(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        grams = np.concatenate([np.frombuffer(x, np.uint32) for x in frame["grams"]])
-        many = np.concatenate([np.frombuffer(x, np.uint32) for x in frame["many"]])
-        order = np.argsort(grams, kind="stable")
-        grams, many = grams[order], many[order].astype(np.int64)
-        at = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]])
-        sums = np.add.reduceat(many, at)
-        often = sums >= FREQUENT
-        return pd.DataFrame({"gram": (int(key[0]) << 32) + grams[at][often].astype(np.int64), "level": np.log2(sums[often]).astype(np.int32)})
-
-    counted = docs.select("text").mapInArrow(count, "bucket long, grams binary, many binary")
-    often = cut(counted.groupBy("bucket").applyInPandas(total, "gram long, level int"))
-    lowest, held = 99, 0
-    for row in sorted(often.groupBy("level").count().collect(), reverse=True):  # one row for each power of two
-        if held + row["count"] > HELD:
-            break
-        lowest, held = row["level"], held + row["count"]
-    got = often.where(F.col("level") >= lowest).toPandas().sort_values("gram")
-    return got["gram"].to_numpy().astype(U), got["level"].to_numpy().astype(U)
-
-
 def stars(gram: np.ndarray, size: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Edges (two columns) that join all rows of one n-gram in the same or neighbouring size classes, and the places of
     the rows that stand for an n-gram and class."""
@@ -194,54 +146,130 @@ def stars(gram: np.ndarray, size: np.ndarray, node: np.ndarray) -> tuple[np.ndar
     return a, b, order[at]
 
 
-def candidates(docs: DataFrame, rule: Rule, bits: int, often: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """Edges (a, b) between content keys, by which all sets that may be linked are connected."""
-    shared = docs.sparkSession.sparkContext.broadcast(often)
-    names = ["bucket", "grams", "sizes", "nodes", "a", "b"]
-    types = (pa.int64(), *[pa.binary()] * 5)
+def candidates(docs: DataFrame, rule: Rule, bits: int) -> DataFrame:
+    """Edges (a, b) between content keys, by which all sets that may be linked are connected.
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, level = shared.value
-        held: list[tuple[np.ndarray, ...]] = []
+    N-grams travel as numbers in packed arrays: from gatherings of documents to buckets of n-grams, which count them;
+    back to the gatherings, which choose each document's first n-grams; and to the buckets again, which join the
+    documents that share one. N-grams that only one document holds don't travel back.
+    """
+    packed = ["flush", "bucket", "grams", "docs", "levels", "many", "table"]
+    kinds = (pa.int64(), pa.int64(), *[pa.binary()] * 5)
+    ddl = "flush long, bucket long, grams binary, docs binary, levels binary, many binary, table binary"
+    starred = ["bucket", "grams", "sizes", "nodes", "a", "b"]
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 24
+        held: list[tuple[np.ndarray, ...]] = []  # (n-gram, document) of the counted ones, of the others that are chosen anyway
+        docs_of: list[tuple[np.ndarray, ...]] = []  # (content key, size, counted n-grams) of the documents
+        n_docs = 0
 
         def flush() -> pa.RecordBatch:
-            gram, size, node = (np.concatenate(x) for x in zip(*held, strict=True))
+            nonlocal number, n_docs
+            gram, doc, other, other_doc = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(gram, kind="stable")
+            gram, doc = gram[order], doc[order].astype(np.uint32)
+            at = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]]) if len(gram) else np.zeros(0, np.int64)
+            count = np.diff(np.r_[at, len(gram)])[: len(at)]
+            often = count >= OFTEN
+            own = np.repeat(often, count)
+            heads, head_counts = gram[at][often], count[often].astype(np.uint32)
+            rows = {b: [number, b, gram[~own][x].astype(np.uint32).tobytes(), doc[~own][x].tobytes(), b"", b"", b""] for b, x in _split(gram[~own] >> U(32))}
+            for b, x in _split(heads >> U(32)):
+                row = rows.setdefault(b, [number, b, b"", b"", b"", b"", b""])
+                row[4], row[5] = heads[x].astype(np.uint32).tobytes(), head_counts[x].tobytes()
+            table = (*(np.concatenate(x) for x in zip(*docs_of, strict=True)), gram[own], doc[own], other, other_doc)
+            home = int(mix64(np.array([number], dtype=U))[0] >> U(64 - bits))
+            rows.setdefault(home, [number, home, b"", b"", b"", b"", b""])[6] = pickle.dumps(table)
             held.clear()
-            a, b, stand = stars(gram, size, node)
-            gram, size, node = gram[stand], size[stand], node[stand]
-            bucket = (gram >> U(32)).astype(np.int64)
-            rows = {k: [gram[s].astype(np.uint32).tobytes(), size[s].astype(np.uint8).tobytes(), node[s].tobytes(), b"", b""] for k, s in _split(bucket)}
-            to = (mix64(a.astype(U)) >> U(64 - bits)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
-            for k, s in _split(to[order]):
-                rows.setdefault(k, [b""] * 5)[3:] = [a[order][s].tobytes(), b[order][s].tobytes()]
-            columns = [list(rows), *zip(*rows.values(), strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names)
+            docs_of.clear()
+            number, n_docs = number + 1, 0
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows.values(), strict=True), kinds, strict=True)], packed)
 
         for batch in batches:
             for _, block in blocks(batch.column(0)):
                 values, first = sets(block, rule.width)
                 n = np.diff(first)
                 brief = values >> U(32 - bits)
-                key = _order(values) >> U(6)
-                if len(known):
-                    place = np.minimum(np.searchsorted(known, brief), len(known) - 1)
-                    key |= np.where(known[place] == brief, level[place], U(0)) << U(58)
-                chosen = _lowest(key, first, np.where(n > 0, rule.prefix(n), 0))
-                doc = np.searchsorted(first, chosen, side="right") - 1
-                held.append((brief[chosen], rule.size_class(n)[doc], content_keys(values, first)[doc]))
+                order = _order(brief)
+                inside = order < U(int(COUNTED * 2**64))
+                doc = np.repeat(np.arange(block.n), n)
+                counted = np.bincount(doc[inside], minlength=block.n)
+                short = np.where(n > 0, np.maximum(rule.prefix(n) - counted, 0), 0)
+                rest = np.where(inside, U(2**64 - 1), order)  # the counted n-grams come first, then these by hash
+                chosen = _lowest(rest, first, short)
+                held.append((brief[inside], doc[inside] + n_docs, brief[chosen], doc[chosen] + n_docs))
+                docs_of.append((content_keys(values, first), n, counted))
+                n_docs += block.n
                 if sum(len(x[0]) for x in held) >= GATHERED:
                     yield flush()
-        if sum(len(x[0]) for x in held):
+        if held:
             yield flush()
 
+    def weigh(frame: pd.DataFrame) -> pd.DataFrame:
+        own = [np.frombuffer(x, np.uint32) for x in frame["grams"]]
+        heads = [np.frombuffer(x, np.uint32) for x in frame["levels"]]
+        many = [np.frombuffer(x, np.uint32).astype(np.float64) for x in frame["many"]]
+        weights = np.concatenate([*(np.ones(len(x)) for x in own), *many])
+        distinct, which = np.unique(np.concatenate([*own, *heads]), return_inverse=True)
+        level = np.log2(np.bincount(which, weights, len(distinct)))[which].astype(np.uint8) if len(which) else np.zeros(0, np.uint8)
+        out = []
+        at, head_at = 0, sum(map(len, own))
+        for row, gram, head in zip(frame.itertuples(index=False), own, heads, strict=True):
+            part, head_level = level[at : at + len(gram)], level[head_at : head_at + len(head)]
+            at, head_at = at + len(gram), head_at + len(head)
+            shared = part > 0
+            doc = np.frombuffer(row.docs, np.uint32)
+            if shared.any() or len(head) or row.table:
+                # `many` now holds the levels of the n-grams of which the gathering has the documents
+                packed_heads = head.tobytes() + head_level.tobytes()
+                out.append((row.flush, row.bucket, gram[shared].tobytes(), doc[shared].tobytes(), part[shared].tobytes(), packed_heads, row.table))
+        return pd.DataFrame(out, columns=packed)
+
+    def choose(frame: pd.DataFrame) -> pd.DataFrame:
+        nodes, n, counted, held_gram, held_doc, other, other_doc = pickle.loads(next(x for x in frame["table"] if x))
+        gram, doc, level, head, head_level = [], [], [], [], []
+        for row in frame.itertuples(index=False):
+            high = U(row.bucket) << U(32)
+            gram.append(np.frombuffer(row.grams, np.uint32).astype(U) | high)
+            doc.append(np.frombuffer(row.docs, np.uint32).astype(np.int64))
+            level.append(np.frombuffer(row.levels, np.uint8))
+            k = len(row.many) // 5
+            head.append(np.frombuffer(row.many[: 4 * k], np.uint32).astype(U) | high)
+            head_level.append(np.frombuffer(row.many[4 * k :], np.uint8))
+        head, head_level = np.concatenate(head), np.concatenate(head_level)
+        if len(held_gram):
+            order = np.argsort(head)
+            gram.append(held_gram)
+            doc.append(held_doc.astype(np.int64))
+            level.append(head_level[order][np.searchsorted(head[order], held_gram)])
+        gram, doc, level = np.concatenate(gram), np.concatenate(doc), np.concatenate(level)
+        shared = np.bincount(doc, minlength=len(n))
+        take = np.clip(rule.prefix(n) - (counted - shared), 0, shared)
+        order = np.lexsort((_order(gram), level, doc))
+        gram, doc = gram[order], doc[order]
+        rank = np.arange(len(doc)) - np.repeat(np.r_[0, np.cumsum(shared)[:-1]], shared)
+        chosen = rank < take[doc]
+        gram, doc = np.r_[gram[chosen], other], np.r_[doc[chosen], other_doc]
+        size, node = rule.size_class(n)[doc], nodes[doc]
+        a, b, stand = stars(gram, size, node)
+        gram, size, node = gram[stand], size[stand], node[stand]
+        rows = {k: [k, gram[x].astype(np.uint32).tobytes(), size[x].astype(np.uint8).tobytes(), node[x].tobytes(), b"", b""] for k, x in _split(gram >> U(32))}
+        to = mix64(a.astype(U)) >> U(64 - bits)
+        order = np.argsort(to, kind="stable")
+        for k, x in _split(to[order]):
+            rows.setdefault(k, [k, *[b""] * 5])[4:] = [a[order][x].tobytes(), b[order][x].tobytes()]
+        return pd.DataFrame(list(rows.values()), columns=starred)
+
     def join(frame: pd.DataFrame) -> pd.DataFrame:
         gram, size, node, a, b = (np.concatenate([np.frombuffer(x, t) for x in frame[c]]) for c, t in (("grams", np.uint32), ("sizes", np.uint8), ("nodes", np.int64), ("a", np.int64), ("b", np.int64)))
         more_a, more_b, _ = stars(gram, size.astype(np.int64), node)
         return pd.DataFrame({"a": np.r_[a, more_a], "b": np.r_[b, more_b]}).drop_duplicates()
 
-    gathered = docs.select("text").mapInArrow(gather, "bucket long, grams binary, sizes binary, nodes binary, a binary, b binary")
-    return gathered.groupBy("bucket").applyInPandas(join, "a long, b long")
+    gathered = docs.select("text").mapInArrow(spread, ddl)
+    weighed = gathered.groupBy("bucket").applyInPandas(weigh, ddl)
+    chosen = weighed.groupBy("flush").applyInPandas(choose, "bucket long, grams binary, sizes binary, nodes binary, a binary, b binary")
+    return chosen.groupBy("bucket").applyInPandas(join, "a long, b long")
 
 
 def overlap(one: list[np.ndarray], two: list[np.ndarray] | None = None) -> np.ndarray:
@@ -300,7 +328,7 @@ def forest(rows: np.ndarray, columns: np.ndarray, n: int) -> list[tuple[int, int
 def _multiply(rule: Rule):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int, int]] = []  # (node, other node, 0) for an edge, (node, 0, links) for a count
-        for _, part in frame.groupby(["root", "x", "y"], sort=False):
+        for _, part in frame.drop_duplicates(["root", "x", "y", "node"]).groupby(["root", "x", "y"], sort=False):
             nodes, copies = part["node"].to_numpy(), part["copies"].to_numpy()
             held = [np.frombuffer(g, U) for g in part["grams"]]
             size = np.array([len(h) for h in held])
@@ -333,8 +361,7 @@ def join(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     n = classes.count()
     bits = min(28, max(6, int(n // 4096).bit_length()))
 
-    often = frequent(docs, rule, bits)
-    groups = cut(components(candidates(docs, rule, bits, often)))
+    groups = cut(components(candidates(docs, rule, bits)))
 
     members = groups.join(classes, "node")
     near = F.floor(F.log(F.col("size").cast("double")) / F.lit(float(-np.log(rule.percent / 100 - 1e-9)))).cast("int")
@@ -372,9 +399,10 @@ def join(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
         keys = content_keys(values, first)
         return {"key": keys, "grams": [values[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]}
 
-    held = map_texts(texts, hold, [("key", "long"), ("grams", "binary")], ["node"]).where("key = node").dropDuplicates(["node"])
+    held = map_texts(texts, hold, [("key", "long"), ("grams", "binary")], ["node"]).where("key = node")
     spread = max(1, n_members // 256)
-    tasked = held.select("node", "grams").join(placed.select("node", "root", "copies", "block", F.explode("tasks").alias("t")), "node")
+    shares = maybe_broadcast(placed.select("node", "root", "copies", "block", "tasks"), n_members, 200_000)
+    tasked = held.select("node", "grams").join(shares, "node").select("node", "grams", "root", "copies", "block", F.explode("tasks").alias("t"))
     tasked = tasked.select(F.pmod(F.xxhash64("root", "t.x", "t.y"), F.lit(spread)).alias("task"), "root", F.col("t.x").alias("x"), F.col("t.y").alias("y"), "node", "copies", "block", "grams")
     found = cut(tasked.groupBy("task").applyInPandas(_multiply(rule), "a long, b long, links long"))
 
