@@ -40,7 +40,8 @@ def extract_urls(text: Column, most: int) -> Column:
         return F.array().cast("array<string>")
     source = F.coalesce(text, F.lit(""))
     found = F.regexp_extract_all(source, F.lit(r"(?i)https?://[^\s)<>\"]+"), F.lit(0))
-    words = F.split(strip(source), f"{BLANK}+")
+    # a word can only be an address if it has a scheme, or a dot before something that isn't trimmed off
+    words = F.filter(F.split(strip(source), f"{BLANK}+"), lambda w: w.rlike(r"""\.[^.,);\]}>"'?!]|://"""))
     normal = F.filter(F.transform(F.concat(found, words), normalize_url), lambda u: u.isNotNull())
     return F.slice(F.array_distinct(normal), 1, most)
 

@@ -35,12 +35,12 @@ def postings(chunks: DataFrame, key: str = "chunk_id", text: str = "text", terms
     """(key, term, tf, length). With `terms`, only those terms' postings.
 
     The rows are dealt by the chunk, so that later work on a chunk's postings needs no exchange; terms that are not wanted
-    are dropped before anything is counted.
+    are dropped before anything is counted. `terms` may come with a broadcast hint.
     """
     dealt = chunks.select(key, tokens(F.col(text)).alias("_tokens")).repartition(key)
     each = dealt.select(key, F.size("_tokens").cast("long").alias("length"), F.explode("_tokens").alias("term"))
     if terms is not None:
-        each = each.join(small(terms.select("term").distinct()), "term", "left_semi")
+        each = each.join(terms.select("term"), "term", "left_semi")
     return each.groupBy(key, "term", "length").agg(F.count(F.lit(1)).alias("tf")).select(key, "term", "tf", "length")
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graticule.functions.text import STOPWORDS, tokens
-from graticule.operators.index import corpus_stats, document_frequency, idf, postings, small
+from graticule.operators.index import BROADCAST_ROWS, corpus_stats, document_frequency, idf, postings
 
 #: Vectors in a block of candidates and in a block of queries.
 CANDIDATES, QUERIES = 4096, 1024
@@ -41,13 +41,16 @@ def bm25_scores(queries: DataFrame, chunks: DataFrame, allowed: DataFrame | None
     terms are dealt by chunk once; scores of a chunk are summed where its postings are.
     """
     wanted = query_terms(queries)
-    found = postings(chunks, terms=wanted)
+    terms = wanted.select("term").distinct()
+    few = terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS  # measured on the queries alone
+    hint = F.broadcast if few else (lambda frame: frame)
+    found = postings(chunks, terms=hint(terms))
     stats = corpus_stats(chunks).select("n_chunks", F.greatest("avgdl", F.lit(1e-9)).alias("avgdl"))
     weights = document_frequency(found).crossJoin(F.broadcast(stats)).select("term", idf(F.col("n_chunks"), F.col("df")).alias("idf"), "avgdl")  # stats: one row
     if allowed is not None:
         found = found.join(allowed.select("chunk_id").distinct(), "chunk_id", "left_semi")
     by_term = wanted.join(weights, "term").groupBy("term").agg(F.first("idf").alias("idf"), F.first("avgdl").alias("avgdl"), F.collect_list("qid").alias("qids"))
-    matched = found.join(small(by_term), "term")
+    matched = found.join(hint(by_term), "term")  # a row for each of those terms at most
     saturation = F.col("tf") + k1 * (1 - b + b * F.greatest("length", F.lit(1)) / F.col("avgdl"))
     part = F.col("idf") * F.col("tf") * (k1 + 1) / saturation
     each = matched.select("chunk_id", part.alias("part"), F.explode("qids").alias("qid"))
