@@ -42,7 +42,15 @@ def neighbors_1(spark, sf_dir):
     return context.expand(results(spark, sf_dir), turns(spark, sf_dir), 1, 300).select("page_id", "seq", "expanded")
 
 
-@register("neighbors_2")
+@register(
+    "neighbors_2",
+    f"""with {TURNS}, b as (select t.*, 900 - length(t.text) room, l1.text l1, r1.text r1, l2.text l2, r2.text r2 from t
+    left join t l1 on l1.page_id = t.page_id and l1.seq = t.seq - 1 left join t r1 on r1.page_id = t.page_id and r1.seq = t.seq + 1
+    left join t l2 on l2.page_id = t.page_id and l2.seq = t.seq - 2 left join t r2 on r2.page_id = t.page_id and r2.seq = t.seq + 2),
+  c1 as (select *, case when length(l1) + 2 <= room then length(l1) + 2 else 0 end a from b), c2 as (select *, case when length(r1) + 2 <= room - a then length(r1) + 2 else 0 end e from c1),
+  c3 as (select *, case when length(l2) + 2 <= room - a - e then length(l2) + 2 else 0 end i from c2), c4 as (select *, case when length(r2) + 2 <= room - a - e - i then length(r2) + 2 else 0 end o from c3)
+  select page_id, seq, case when room <= 0 then substring(text, 1, 900) else array_to_string(list_filter([case when i > 0 then trim(l2) else '' end, case when a > 0 then trim(l1) else '' end, trim(text), case when e > 0 then trim(r1) else '' end, case when o > 0 then trim(r2) else '' end], lambda x: x <> ''), chr(10) || chr(10)) end as expanded from c4""",
+)
 def neighbors_2(spark, sf_dir):
     return context.expand(results(spark, sf_dir), turns(spark, sf_dir), 2, 900).select("page_id", "seq", "expanded")
 

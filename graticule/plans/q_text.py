@@ -299,7 +299,11 @@ def semantic_chunks(spark, sf_dir):
     return chunking.chunk_pages(pages(spark, sf_dir))
 
 
-@register("image_split")
+@register(
+    "image_split",
+    f"""select doc_id as page_id, 0::int as n, {STRIP.format("'# ' || source || chr(10) || chr(10) || '## ' || lang || chr(10) || chr(10) || text")} as text, ['/assets/a.png'] as images from documents
+  union all select doc_id, 1, '### end' || chr(10) || chr(10) || 'last', [] from documents""",
+)
 def image_split(spark, sf_dir):
     blocks = chunking.image_blocks(F.col("markdown"), F.array("doc_title"))
     return pages(spark, sf_dir).select("page_id", F.posexplode(blocks).alias("n", "b")).select("page_id", "n", "b.text", "b.images")
@@ -311,7 +315,7 @@ def summary_units(spark, sf_dir):
     return each.select("page_id", "n", F.col("u.heading_path").alias("heading_path"), chunking.lead_sentences(F.col("u.text")).alias("summary"))
 
 
-@register("admonitions")
+@register("admonitions", "select doc_id, '::: tip ' || source || chr(10) || text || chr(10) || ':::' || chr(10) || 'end' as text from documents")
 def admonitions(spark, sf_dir):
     noted = F.concat(F.lit("> [!TIP] "), "source", F.lit("\n> "), F.regexp_replace("text", "\n", "\n> "), F.lit("\nend"))
     return docs(spark, sf_dir).select("doc_id", kernels.admonitions_of(noted).alias("text"))
