@@ -7,9 +7,8 @@ two Gamma(2, 1) variates r and c and a uniform b are derived from a hash of word
 
 and the word with the least a, together with its t, is the document's sample. Two documents agree in a sample with a
 probability equal to their generalised Jaccard similarity, the sum of the lesser weights over the sum of the greater
-ones; the share of agreeing samples estimates it. The variates come from tables of quantiles at equal probabilities,
-which are computed from the distributions here; a and (word, t) are packed in one long number, so that a sample is a
-grouped minimum.
+ones; the share of agreeing samples estimates it. The variates come from tables of quantiles at equal probabilities; a
+and (word, t) are packed in one long number, so that a sample is a grouped minimum.
 
 The text and its edited form (its end replaced by the beginning of the next document) are fingerprinted in one pass: the
 rows are dealt by doc_id once, and words, weights and samples follow from there without another exchange.
@@ -17,12 +16,14 @@ rows are dealt by doc_id once, and words, weights and samples follow from there
 Edge cases: a null or empty text, or one of white space only, has no words and the fingerprint of zeros; two such
 fingerprints are alike (1). Documents follow each other by distinct doc_id; where rows repeat a doc_id, the text of the
 least hash stands for them as the next document, and every row is returned. A null doc_id counts as the least long
-number. A single document is its own next one. An empty table gives an empty result. Extra columns are ignored.
+number, which itself isn't told from null. A single document is its own next one. An empty table gives an empty result.
+Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import numpy as np
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,26 +31,31 @@ from graticule.llm.common import cut
 
 #: Samples of a fingerprint, and how many of them are taken from one row at once.
 SAMPLES = 64
-AT_ONCE = 8
+AT_ONCE = 4
+#: Stands for a missing doc_id.
+NO_ID = -(2**63)
 #: Entries of a quantile table.
 QUANTILES = 4096
 _SPACE = r"[\x20\x09-\x0D]+"
 
 
-def gamma_quantiles(n: int) -> np.ndarray:
-    """The quantiles of Gamma(2, 1), whose distribution function is 1 - (1 + x) exp(-x), at (i + 1/2) / n."""
-    want = (np.arange(n) + 0.5) / n
-    low, high = np.zeros(n), np.full(n, 60.0)
-    for _ in range(80):
-        mid = (low + high) / 2
-        below = 1 - (1 + mid) * np.exp(-mid) < want
-        low, high = np.where(below, mid, low), np.where(below, high, mid)
-    return (low + high) / 2
+def gamma_quantiles(spark: SparkSession, n: int, of: Callable[[Column], Column]) -> Column:
+    """A function of the quantiles of Gamma(2, 1) at (i + 1/2) / n, as an array in a scalar subquery.
+
+    The distribution function is 1 - (1 + x) exp(-x), which is inverted by bisection. As a subquery, the table is read by
+    position in compiled code and isn't spelled out in plans.
+    """
+    want = (F.col("id") + 0.5) / float(n)
+    middle = lambda s: (s["low"] + s["high"]) / 2
 
+    def halve(s: Column, _: Column) -> Column:
+        below = 1 - (1 + middle(s)) * F.exp(-middle(s)) < want
+        return F.struct(F.when(below, middle(s)).otherwise(s["low"]).alias("low"), F.when(below, s["high"]).otherwise(middle(s)).alias("high"))
 
-def _table(spark: SparkSession, values: np.ndarray) -> Column:
-    """A constant array, as a scalar subquery: read by position in compiled code, and not spelled out in plans."""
-    return spark.createDataFrame([(values.tolist(),)], "v array<double>").scalar()
+    start = F.struct(F.lit(0.0).alias("low"), F.lit(60.0).alias("high"))
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(60)), start, halve, middle)
+    rows = spark.range(0, n, 1, 1).select("id", of(found).alias("v"))
+    return rows.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "v"))), lambda x: x["v"]).alias("table")).scalar()
 
 
 def next_ids(keys: DataFrame) -> DataFrame:
@@ -80,9 +86,8 @@ def signatures(texts: DataFrame, sides: list[str], partition: list[str], samples
     rounds = samples // AT_ONCE
     rows = weighed.select(*partition, "_h", *logs, F.explode(F.array(*[F.lit(i) for i in range(rounds)])).alias("_round"))
 
-    gamma = gamma_quantiles(QUANTILES)
     spark = texts.sparkSession
-    rate, inverse, log_c = _table(spark, gamma), _table(spark, 1 / gamma), _table(spark, np.log(gamma))
+    rate, inverse, log_c = (gamma_quantiles(spark, QUANTILES, of) for of in (lambda x: x, lambda x: 1 / x, F.log))
     mask = QUANTILES - 1
     bits = QUANTILES.bit_length() - 1
     hashes = [F.xxhash64("_h", F.col("_round") * AT_ONCE + j).alias(f"_x{j}") for j in range(AT_ONCE)]
@@ -112,46 +117,46 @@ def likeness(one: Column, two: Column) -> Column:
 
 
 def as_text(samples: Column) -> Column:
-    """Four hexadecimal digits for each sample."""
-    return F.array_join(F.transform(samples, lambda x: F.lpad(F.hex(x.bitwiseAND(F.lit(0xFFFF))), 4, "0")), "")
+    """Four hexadecimal digits for each sample (samples are kept as 16 bits)."""
+    return F.array_join(F.transform(samples, lambda x: F.lpad(F.hex(x.cast("int") + 32768), 4, "0")), "")
 
 
 def fingerprint_documents(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """Fingerprints of every document and of its edited text, and how alike they and the next document's are."""
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    rows = docs.select(key.alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    rows = docs.select(key.alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     sizes = rows.select("key", F.length("text").alias("n"), F.xxhash64("text").alias("mark"))
     per_key = cut(sizes.groupBy("key").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("rows"), F.min("mark").alias("mark")))
     repeated = per_key.where("rows > 1").limit(1).count() > 0
     links = cut(next_ids(per_key.select("key")))
     asked = links.join(per_key.select("key", "n"), "key").select("next_key", F.col("key").alias("asker"), F.floor(F.col("n") / 4).cast("int").alias("quarter"))
 
-    texts = rows.select("key", "doc_id", "text")
+    texts = rows.select("key", "text")  # as named here and as next document: one exchange serves both
     spoken = texts
     if repeated:
-        spoken = texts.join(per_key.select("key", "mark"), "key").where(F.xxhash64("text") == F.col("mark")).dropDuplicates(["key"]).select("key", "doc_id", "text")
+        spoken = texts.join(per_key.select("key", "mark"), "key").where(F.xxhash64("text") == F.col("mark")).dropDuplicates(["key"]).select("key", "text")
     heads = spoken.join(asked, spoken["key"] == asked["next_key"]).select(F.col("asker"), F.substring("text", F.lit(1), F.col("quarter")).alias("head"))
     both = texts.join(heads, texts["key"] == heads["asker"])
     n = F.length("text")
     quarter = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - quarter), F.substring("head", F.lit(1), quarter))
-    both = both.select("key", "doc_id", "text", edited.alias("edited"))
+    both = both.select("key", "text", edited.alias("edited"))
 
     unique = both.dropDuplicates(["key", "text"]) if repeated else both
     named = unique.select("key", F.xxhash64("text").alias("mark"), "text", "edited")
     signed = signatures(named, ["text", "edited"], ["key", "mark"], samples)
-    signed = signed.select(F.col("key").alias("_k"), F.col("mark").alias("_m"), *[F.col(s).cast("array<int>").alias(a) for s, a in (("text", "own"), ("edited", "changed"))])
-    facts = both.select("key", "doc_id", F.xxhash64("text").alias("mark"), n.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
+    signed = signed.select(F.col("key").alias("_k"), F.col("mark").alias("_m"), *[F.transform(s, lambda x: (x.bitwiseAND(F.lit(0xFFFF)) - 32768).cast("smallint")).alias(a) for s, a in (("text", "own"), ("edited", "changed"))])
+    facts = both.select("key", F.xxhash64("text").alias("mark"), n.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
     # the key alone is the join's key, by which both sides are dealt already; the mark matters where rows repeat a key
     same = (F.col("key") == F.col("_k")) & ((F.col("mark") - F.col("_m")) == 0)
     signed = cut(facts.join(signed, same, "left").drop("_k", "_m"))
 
-    nothing = F.array_repeat(F.lit(0), samples)
+    nothing = F.array_repeat(F.lit(-32768).cast("smallint"), samples)
     spoken = signed.dropDuplicates(["key", "mark"]) if repeated else signed
     after = spoken.select(F.col("key").alias("next_key"), F.col("mark").alias("next_mark"), F.col("own").alias("next_own"))
     following = links.join(per_key.select(F.col("key").alias("next_key"), F.col("mark").alias("next_mark")), "next_key")
     following = following.join(after, ["next_key", "next_mark"]).select("key", "next_own")
-    out = signed.join(following, "key").select("doc_id", "n_chars", "edited_sha256", *[F.coalesce(c, nothing).alias(c) for c in ("own", "changed", "next_own")])
+    out = signed.join(following, "key").select(F.nullif("key", F.lit(NO_ID)).alias("doc_id"), "n_chars", "edited_sha256", *[F.coalesce(c, nothing).alias(c) for c in ("own", "changed", "next_own")])
     return out.select(
         "doc_id",
         "n_chars",
