@@ -91,13 +91,10 @@ def search(
         return retrieval.routed_bm25(queries, chunks, routes, n)
 
     def semantic(n: int) -> DataFrame:
-        ranked = retrieval.vector_rank(query_vectors, vectors, n if routes is None else max(n, 10 * n))
         if routes is None:
-            return ranked
-        placed = ranked.join(chunks.select("chunk_id", "doc_id", "page_id"), "chunk_id")
-        inside = placed.join(routes, ["qid", "doc_id", "page_id"], "left_semi")
-        free = placed.join(routes.select("qid").distinct(), "qid", "left_anti")
-        return retrieval.top_k(inside.unionByName(free).select("qid", "chunk_id", "score"), n)
+            return retrieval.vector_rank(query_vectors, vectors, n)
+        placed = vectors.join(chunks.select("chunk_id", "doc_id", "page_id"), "chunk_id")
+        return retrieval.vector_rank(query_vectors, placed, n, routes=routes)
 
     if config.mode == "bm25":
         ranked = lexical(limit)

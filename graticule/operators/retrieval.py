@@ -62,18 +62,27 @@ def bm25(queries: DataFrame, chunks: DataFrame, k: int = 8, allowed: DataFrame |
     return top_k(bm25_scores(queries, chunks, allowed), k)
 
 
-def vector_rank(queries: DataFrame, vectors: DataFrame, k: int, leave_out_self: bool = False) -> DataFrame:
+def vector_rank(queries: DataFrame, vectors: DataFrame, k: int, leave_out_self: bool = False, routes: DataFrame | None = None) -> DataFrame:
     """The k nearest vectors of each query by inner product in double precision.
 
     queries: (qid, vector); vectors: (chunk_id, vector), all of one dimension. Both are packed in blocks; each pair of
-    blocks is one product, of which only the k best of a query go on.
+    blocks is one product, of which only the k best of a query go on. With routes (qid, doc_id, page_id), vectors also
+    has doc_id and page_id, and a query that has routes ranks all vectors of its pages and no others.
     """
+    routed = routes is not None
+    page = F.lit(None).cast("string")
+    if routed:
+        page = F.concat(F.length(F.col("doc_id").cast("string")), F.lit(":"), "doc_id", "page_id")
+        queries = queries.join(routes.groupBy("qid").agg(F.collect_set(page).alias("pages")), "qid", "left")
+    else:
+        queries = queries.withColumn("pages", F.lit(None).cast("array<string>"))
+    vectors = vectors.withColumn("pages", page)
     n_c = max(1, -(-vectors.count() // CANDIDATES))
     n_q = max(1, -(-queries.count() // QUERIES))
     sizes = queries.select(F.size("vector").alias("n")).union(vectors.select(F.size("vector").alias("n"))).agg(F.min("n"), F.max("n")).first()
     if sizes[0] is not None and sizes[0] != sizes[1]:
         raise ValueError(f"vectors have between {sizes[0]} and {sizes[1]} dimensions")
-    pack = lambda df, key, n: df.groupBy(F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("block")).agg(F.collect_list(F.struct(F.col(key).alias("id"), F.col("vector").cast("array<double>").alias("v"))).alias("rows"))
+    pack = lambda df, key, n: df.groupBy(F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("block")).agg(F.collect_list(F.struct(F.col(key).alias("id"), F.col("vector").cast("array<double>").alias("v"), "pages")).alias("rows"))
     left = pack(queries, "qid", n_q).select(F.col("rows").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))).alias("block"))
     tiles = left.join(pack(vectors, "chunk_id", n_c).withColumnRenamed("rows", "c"), "block").select("q", "c")
 
@@ -87,6 +96,12 @@ def vector_rank(queries: DataFrame, vectors: DataFrame, k: int, leave_out_self:
                     score += q[:, d, None] * c[None, :, d]
                 if leave_out_self:
                     score[qid[:, None] == cid[None, :]] = -np.inf
+                if routed:
+                    code, names = pd.factorize(np.array([r["pages"] for r in c_rows], dtype=object))  # -1: no page
+                    place = {name: i for i, name in enumerate(names)}
+                    for row, pages in zip(score, (r["pages"] for r in q_rows), strict=True):
+                        if pages is not None:
+                            row[~np.isin(code, [place[p] for p in pages if p in place])] = -np.inf
                 order = np.lexsort((np.broadcast_to(cid, score.shape), -np.round(score, 9)), axis=1)[:, :k]
                 rows = np.repeat(np.arange(len(qid)), order.shape[1])
                 flat = order.ravel()

@@ -67,3 +67,15 @@ def test_embedding_and_hybrid_modes(spark, chunks):
     assert hits(search(batch(spark, "red"), chunks, config, vectors, asked)) == [(0, 4), (0, 1)]
     both = hits(search(batch(spark, "red"), chunks, SearchConfig(mode="hybrid"), vectors, asked))
     assert {c for _, c in both} == {1, 2, 3, 4}
+
+
+def test_routing_ranks_all_vectors_of_its_pages(spark):
+    rows = [(i, "z", "z1", "p", i, [], "other", []) for i in range(1000)] + [(2000 + i, "r", "r1", "p", i, [], "other", []) for i in range(3)]
+    near = [(i, [1.0, i / 1000]) for i in range(1000)] + [(2000 + i, [0.5, -i / 10]) for i in range(3)]
+    units = spark.createDataFrame([(1, "r", "r1", "red things")], "chunk_id long, doc_id string, page_id string, text string")
+    asked = spark.createDataFrame([(0, [1.0, 1.0]), (1, [1.0, 1.0])], "qid long, vector array<float>")
+    frames = spark.createDataFrame(rows, DDL), spark.createDataFrame(near, "chunk_id long, vector array<float>")
+    settings = dict(k=3, mmr_enabled=False, bm25_candidates=3, embedding_candidates=3, max_per_page=0, max_per_doc=0)
+    for mode in ("embedding", "hybrid"):
+        found = hits(search(batch(spark, "red", "blue"), frames[0], SearchConfig(mode=mode, **settings), frames[1], asked, units))
+        assert found == [(0, 2000), (0, 2001), (0, 2002), (1, 999), (1, 998), (1, 997)]
