@@ -19,8 +19,8 @@ Words are hashed to 64 bits, as are n-grams and n-gram sets; texts are read in f
 
 Edge cases: a text without words (null, empty, blank) has an empty set, is linked with nothing and is its own component;
 a text of fewer words than an n-gram has its whole word sequence as one n-gram; rows without a doc_id are linked by
-their text, but don't name a component, so theirs is null where no other row is in it; rows that repeat a doc_id are
-rows of their own. An empty table gives an empty result. Extra columns are ignored.
+their text like all others (exactly, nearly, and as a bridge between others), but don't name a component, so theirs is
+null where no row of it has a doc_id; rows that repeat a doc_id are rows of their own. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -356,8 +356,29 @@ def _multiply(rule: Rule):
 def join(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """doc_id, n_shingles, component_id and n_links (linked other documents, copies counted) of every document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    described = cut(map_texts(docs, _describe(rule.width), [("n_shingles", "long"), ("node", "long")], ["doc_id"]))
-    classes = cut(described.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.min("n_shingles").alias("size")))
+    described, labels = link(docs, rule)
+    out = described.withColumn("_key", F.when(F.col("n_shingles") > 0, F.col("node"))).join(labels, F.col("_key") == F.col("_node"), "left")
+    alone = F.col("n_shingles") == 0
+    return out.select(
+        "doc_id",
+        "n_shingles",
+        F.when(alone, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"),
+        F.when(alone, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"),
+    )
+
+
+def link(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
+    """The rows as doc_id, body (a hash of the text), n_shingles and node (the content key); and the content keys as
+    _node, root (the component's least content key), component (its least doc_id) and n_links.
+
+    docs: (doc_id long, text).
+    """
+    docs = docs.withColumn("body", F.xxhash64("text"))
+    described = cut(map_texts(docs, _describe(rule.width), [("n_shingles", "long"), ("node", "long")], ["doc_id", "body"]))
+    rows = described.where("n_shingles > 0").groupBy("node", "doc_id", "body").agg(F.count(F.lit(1)).alias("same"), F.first("n_shingles").alias("size"))
+    # the row whose text stands for its content key: `same` rows are equal to it
+    pick = F.min(F.struct(F.col("doc_id").isNull().alias("keyless"), "doc_id", "body", "same")).alias("pick")
+    classes = cut(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.sum("same").alias("copies"), F.min("size").alias("size"), pick))
     n = classes.count()
     bits = min(28, max(6, int(n // 4096).bit_length()))
 
@@ -365,7 +386,7 @@ def join(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
 
     members = groups.join(classes, "node")
     near = F.floor(F.log(F.col("size").cast("double")) / F.lit(float(-np.log(rule.percent / 100 - 1e-9)))).cast("int")
-    members = cut(members.select("node", "root", "first", "copies", near.alias("class")))
+    members = cut(members.select("node", "root", "pick", "copies", near.alias("class")))
     whole = members.groupBy(F.col("root").alias("_root")).agg(F.count(F.lit(1)).alias("_all"))
     parts = members.groupBy(F.col("root").alias("_r"), F.col("class").alias("_c")).agg(F.count(F.lit(1)).alias("_n"))
     parts = parts.select("_r", "_c", F.ceil(F.col("_n") / BLOCK_ROWS).cast("int").alias("_blocks"))
@@ -388,11 +409,15 @@ def join(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
             F.when(F.col("_below").isNull(), none).otherwise(F.transform(up_to(F.coalesce("_below", F.lit(1))), lambda s: pair(code(F.col("class"), sub), code(F.col("class") - 1, s.cast("long"))))),
         )
     )
-    placed = cut(placed.select("node", "root", "first", "copies", mine.alias("block"), tasks.alias("tasks")))
+    placed = cut(placed.select("node", "root", "pick", "copies", mine.alias("block"), tasks.alias("tasks")))
     n_members = placed.count()
 
-    wanted = placed.select("node", F.col("first").alias("doc_id"))
-    texts = docs.where("doc_id is not null").join(maybe_broadcast(wanted, n_members, 200_000), "doc_id")
+    wanted = placed.select("node", F.col("pick.doc_id").alias("_id"), F.col("pick.body").alias("_body"), F.col("pick.same").alias("_same"))
+    meet = docs["doc_id"].eqNullSafe(F.col("_id")) & (docs["body"] == F.col("_body"))
+    texts = docs.join(maybe_broadcast(wanted.where("_same = 1"), n_members, 200_000), meet).select("node", "text")
+    if wanted.where("_same > 1").limit(1).count():  # one text of equal rows; a task passes on one of each
+        equal = docs.join(maybe_broadcast(wanted.where("_same > 1"), n_members, 200_000), meet)
+        texts = texts.union(equal.groupBy("node").agg(F.first("text").alias("text")))
 
     def hold(block: Block) -> dict[str, object]:
         values, first = sets(block, rule.width)
@@ -410,14 +435,7 @@ def join(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     links = found.where("links > 0").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("others"))
     rooted = cut(joined.join(classes.select("node", "first"), "node"))
     lowest = rooted.groupBy("root").agg(F.min("first").alias("component"))
-    named = rooted.join(lowest, "root").select("node", "component")
+    named = rooted.join(lowest, "root").select("node", "root", "component")
     labels = classes.join(named, "node", "left").join(links, "node", "left")
-    labels = cut(labels.select(F.col("node").alias("_node"), F.coalesce("component", "first").alias("component"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")))
-    out = described.withColumn("_key", F.when(F.col("n_shingles") > 0, F.col("node"))).join(labels, F.col("_key") == F.col("_node"), "left")
-    alone = F.col("n_shingles") == 0
-    return out.select(
-        "doc_id",
-        "n_shingles",
-        F.when(alone, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"),
-        F.when(alone, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"),
-    )
+    labels = cut(labels.select(F.col("node").alias("_node"), F.coalesce("root", "node").alias("root"), F.coalesce("component", "first").alias("component"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")))
+    return described, labels

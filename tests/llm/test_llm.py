@@ -328,6 +328,22 @@ def test_join_edges(edge, none):
     assert ngram_join.join(none).count() == 0
 
 
+def near_copies(n=34):
+    """Three texts, of which the first and the last are linked only through the second."""
+    base = [f"w{i}" for i in range(n)]
+    return " ".join(base), " ".join([*base[2:], "x1", "x2"]), " ".join([*base[4:], "x1", "x2", "x3", "x4"])
+
+
+def test_join_links_near_copies_without_a_doc_id(spark):
+    one, bridge, two = near_copies()
+    alone = " ".join(f"v{i}" for i in range(30))
+    rows = [(1, one), (2, two), *[(None, bridge)] * 5, (7, alone), (7, alone), (8, alone + " y"), (None, "p q r s t"), (None, "P q r s t"), (None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [tuple(r) for r in ngram_join.join(frame).select("doc_id", "component_id", "n_links").collect()]
+    want = [(1, 1, 5), (2, 1, 5), *[(None, 1, 6)] * 5, (7, 7, 2), (7, 7, 2), (8, 7, 2), (None, None, 1), (None, None, 1), (None, None, 0)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(1000, 1001), (5, 5)], "a long, b long")
     got = {r["node"]: r["root"] for r in components.components(edges).collect()}
