@@ -8,7 +8,7 @@ Parquet and read again as the next stage's docs. All stages but the last return
 2. language: n-gram filters learned from the documents; documents without a letter, and documents of which the predicted
    language holds less than half of the n-grams, go.
 3. near_duplicates: the n-gram Jaccard join on five-word shingles at a similarity of 0.8; of each group of linked
-   documents the one with the smallest doc_id stays.
+   documents the one with the smallest doc_id stays (rows without a doc_id come last, then the hash of the text decides).
 4. mixing: weighted fair queueing; a document is returned as often as the mix takes it (0 to 2 times).
 5. packing: best-two-fit of the tokenised documents into sequences of at most 2048 tokens.
 """
@@ -40,11 +40,32 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    joined = cut(ngram_join.join(docs, NEAR))
-    gone = joined.where("doc_id is not null and component_id is not null and doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(maybe_broadcast(gone, gone.count(), 200_000), "doc_id", "left_anti").select(*COLUMNS)
-    repeated = joined.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    """One row of each group of linked rows, the least by doc_id (nulls last) and hash of the text, and one of each run
+    of rows without words that are equal in doc_id and text."""
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    described, labels = ngram_join.link(docs.select("doc_id", "text"), NEAR)
+    roots = labels.select("_node", F.col("root").alias("_root"))
+    # two numbers that name a row's group: the component, or what a row without words is itself
+    named = described.withColumn("_key", F.when(F.col("n_shingles") > 0, F.col("node"))).join(roots, F.col("_key") == F.col("_node"), "left")
+    itself = F.xxhash64("doc_id", "body", F.lit("no words"))
+    group = [F.when(F.col("_key").isNull(), F.lit(1)).otherwise(0).alias("kind"), F.when(F.col("_key").isNull(), itself).otherwise(F.col("_root")).alias("group")]
+    runs = named.groupBy("doc_id", "body", *group).agg(F.count(F.lit(1)).alias("same"))
+    least = runs.groupBy("kind", "group").agg(F.sum("same").alias("size"), F.min(F.struct(F.col("doc_id").isNull().alias("keyless"), "doc_id", "body", "same")).alias("pick"))
+    least = cut(least.where("size > 1"))
+    members = cut(runs.select("doc_id", "body", "kind", "group").join(maybe_broadcast(least, least.count(), 200_000), ["kind", "group"]).select("doc_id", "body", "kind", "group", "pick"))
+    chosen = F.col("doc_id").eqNullSafe(F.col("pick.doc_id")) & (F.col("body") == F.col("pick.body"))
+    runs = members.select(F.col("doc_id").alias("_id"), F.col("body").alias("_body"), (chosen & (F.col("pick.same") == 1)).alias("_keep"), (chosen & (F.col("pick.same") > 1)).alias("_one"))
+    runs = cut(runs.where("not _keep"))
+    n = runs.count()
+    rows = docs.select(*COLUMNS).withColumn("body", F.xxhash64("text"))
+    meet = rows["doc_id"].eqNullSafe(F.col("_id")) & (rows["body"] == F.col("_body"))
+    kept = rows.join(maybe_broadcast(runs, n, 200_000), meet, "left_anti").select(*COLUMNS)
+    repeated = runs.where("_one")
+    if repeated.limit(1).count():  # the run of equal rows is the one to stay: one row of it
+        equal = rows.join(maybe_broadcast(repeated, n, 200_000), meet, "left_semi")
+        first = equal.groupBy("doc_id", "body").agg(F.min(F.struct("source", "lang", "n_chars", "text")).alias("row"))
+        kept = kept.union(first.select("doc_id", *[F.col(f"row.{c}").alias(c) for c in COLUMNS[1:]]))
+    return kept
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -559,6 +559,19 @@ def test_near_duplicate_stage_keeps_one_of_each_group(spark, edge, texts, docs):
     assert sorted(i for i in left if i is not None) == sorted({1, 2, 3, 4, 5, 6, -(2**62)})
 
 
+def test_near_duplicate_stage_decides_by_row(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    one, bridge, two = near_copies()
+    say = lambda c: " ".join(f"{c}{i}" for i in range(30))
+    rows = [(None, say("a")), (None, say("b")), (None, say("b")), (None, None), (None, None), (None, ""), (3, say("c")), (3, say("d")), (3, say("d"))]
+    rows += [(5, say("c")), (3, say("e")), (2, say("e")), (9, one), (None, bridge), (10, two), (11, None)]
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = pipeline.near_duplicate_stage(spark, frame, "")
+    assert got.columns == pipeline.COLUMNS
+    want = [(None, say("a")), (None, say("b")), (None, None), (None, ""), (3, say("c")), (3, say("d")), (2, say("e")), (9, one), (11, None)]
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
 def test_every_operator_has_a_query():
     names = list(registered.queries())
     assert [int(re.match(r"op(\d+)_", n).group(1)) for n in names] == list(range(1, 11))
