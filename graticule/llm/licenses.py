@@ -9,6 +9,11 @@ after it, so that longer rules, which stand first, are not mistaken for the shor
 
 A known sentence may run over several lines. A version number in a sentence is kept: the known sentences name the version they mean.
 
+Beside whole sentences, patterns with slots (an organisation, a program, a wording) are searched in the normalised text,
+wherever they stand: short notices inside longer sentences, the endorsement clause, the typical sentences of further
+licences, and SPDX lines. A pattern's place is where it begins; one that lies within a known sentence or within a longer
+pattern doesn't count. An SPDX expression gives each of its identifiers, as it is written there.
+
 Edge cases: a null or empty text matches nothing; every row is returned, with an empty list where nothing matches; rows
 that repeat a doc_id are scanned each; an empty table gives an empty result.
 """
@@ -74,6 +79,61 @@ RULES = [
     ("all-rights-reserved", ["all-rights"]),
 ]
 
+_ISSUED = r"(?<!not )(?<!never )(?:licensed|released|distributed|available|published|provided|covered|governed|redistribute it(?: and or modify it)?)(?: (?:to you|as is|free of charge|freely|only))?(?: (?:under|by))(?: (?:the|an?))?(?: terms(?: and conditions)? of(?: the)?)?"
+_V = r" ?(?:as published by the free software foundation )?(?:either )?(?:version ?|v ?)?"
+_LATER = r" (?:of the license )?(?:or (?:at your option )?(?:any )?(?:later|newer)|or higher)"
+
+# Licences that a notice names: the SPDX identifier and the name, as a pattern over normalised text.
+NAMES = [
+    ("Apache-2.0", r"apache (?:software )?license (?:version |v ?)?2(?: 0)?"),
+    ("MPL-2.0", r"mozilla public license (?:version |v ?|v )?2 0"),
+    ("EPL-2.0", r"eclipse public license (?:version |v ?|v )?2 0"),
+    ("EPL-1.0", r"eclipse public license (?:version |v ?|v )?1 0"),
+    ("BSL-1.0", r"boost software license(?: version 1 0)?"),
+    ("BSD-3-Clause", r"(?:bsd 3 clause|3 clause bsd|three clause bsd|new bsd|modified bsd|revised bsd)(?: style)?(?: license)?"),
+    ("BSD-2-Clause", r"(?:bsd 2 clause|2 clause bsd|two clause bsd|simplified bsd|freebsd)(?: license)?"),
+    ("CC-BY-NC-SA-4.0", r"(?:cc by nc sa|creative commons attribution noncommercial sharealike) 4 0"),
+    ("CC-BY-NC-ND-4.0", r"(?:cc by nc nd|creative commons attribution noncommercial noderivatives) 4 0"),
+    ("CC-BY-NC-4.0", r"(?:cc by nc|creative commons attribution noncommercial) 4 0"),
+    ("CC-BY-SA-4.0", r"(?:cc by sa|creative commons attribution sharealike) 4 0"),
+    ("CC-BY-ND-4.0", r"(?:cc by nd|creative commons attribution noderivatives) 4 0"),
+    ("CC-BY-4.0", r"(?:cc by|creative commons attribution) 4 0"),
+    ("CC0-1.0", r"(?:cc0(?: 1 0)?|creative commons (?:zero|cc0)(?: v?1 0)?)"),
+    ("ISC", r"isc license"),
+    ("Zlib", r"zlib(?: libpng)? license"),
+    ("Unlicense", r"unlicense"),
+    ("MIT", r"(?:mit|expat)(?: style)? license"),
+]
+for _name, _full, _short, _versions in (("AGPL", "affero general public license", "agpl", ("3.0",)), ("LGPL", "(?:lesser|library) general public license", "lgpl", ("2.0", "2.1", "3.0")), ("GPL", "general public license", "gpl", ("1.0", "2.0", "3.0"))):
+    for _v in _versions:
+        _number = _v.removesuffix(".0") + ("(?: 0)?" if _v.endswith(".0") else "")
+        _number = _number.replace(".", " ") + (r"(?! [1-9]\b)" if _v.endswith(".0") else "")
+        _whole = rf"(?:(?:gnu )?{_full}(?: {_short})?|(?:gnu )?{_short})" + _V + _number
+        NAMES += [(f"{_name}-{_v}-or-later", _whole + _LATER), (f"{_name}-{_v}-only", _whole)]
+
+# Sentences with slots by identifier, as patterns over normalised text.
+PATTERNS = {
+    **{f"named:{i}:{name}": rf"{_ISSUED} {words}" for i, (name, words) in enumerate(NAMES)},
+    "bsd-endorse": r"neither the names? of (?:[a-z0-9]+ ){1,16}?nor the names? of (?:[a-z0-9]+ ){1,6}?may be used to endorse or promote products derived from this software without specific prior written permission",
+    "isc-grant": r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "zlib-grant": r"permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "bsl-grant": r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license",
+    "unlicense-grant": r"this is free and unencumbered software released into the public domain",
+    "cc0-title": r"cc0 1 0 universal",
+    "mpl2-notice": r"this source code form is subject to the terms of the mozilla public license v(?:ersion)? ?2 0",
+    "epl2-title": r"eclipse public license v 2 0 the accompanying program is provided under the terms of this eclipse public license",
+}
+# The licence that each of those names by itself.
+ALONE = {"isc-grant": "ISC", "zlib-grant": "Zlib", "bsl-grant": "BSL-1.0", "unlicense-grant": "Unlicense", "cc0-title": "CC0-1.0", "mpl2-notice": "MPL-2.0", "epl2-title": "EPL-2.0"}
+ALONE |= {name: name.split(":")[2] for name in PATTERNS if name.startswith("named:")}
+
+_SPDX = re.compile(rb"spdx-license-identifier:[ \t]*([^\r\n]*)", re.I)
+_SPDX_ID = re.compile(r"[A-Za-z0-9][A-Za-z0-9.\-]*\+?")
+_SLOTTED = [(name, re.compile(p + r"\b")) for name, p in PATTERNS.items()]
+#: Where a pattern may begin, and what a text that holds any of them has.
+_STARTS = re.compile(r"\b(?:licensed|released|distributed|available|published|provided|covered|governed|redistribute it|neither the name|permission (?:to use|is )|this (?:is free and|source code form)|cc0 1 0|eclipse public license v)")
+_HINTS = ("licens", "neither the name", "permission", "unencumbered", "cc0", "gpl", "bsd", "cc by", "creative commons")
+
 _PLAIN = re.compile(r"[^a-z0-9]+")
 _END = re.compile(rb"[.;:!?]*[ \t\r\f\v]*\n+|[.;:!?]+[ \t\r\f\v]+")
 
@@ -90,9 +150,10 @@ class Scanner:
     the text, as many as make up its length.
     """
 
-    def __init__(self, sentences: dict[str, str], rules: list[tuple[str, list[str]]], gap: int = GAP):
+    def __init__(self, sentences: dict[str, str], rules: list[tuple[str, list[str]]], gap: int = GAP, patterns: bool = True):
         self.gap = gap
-        self.rules = rules
+        self.rules = [*rules, *((licence, [name]) for name, licence in ALONE.items())] if patterns else rules
+        self.patterns = _SLOTTED if patterns else []
         self.known: dict[str, list[tuple[str, str]]] = {}  # by first word
         for name, text in sentences.items():
             plain = normalise(text)
@@ -101,9 +162,9 @@ class Scanner:
             found.sort(key=lambda x: -len(x[0]))
 
     def identify(self, text: bytes) -> list[str]:
-        """Identifiers of the known sentences of a text, in order."""
+        """Identifiers of the known sentences and patterns of a text, in order."""
         parts = [p for p in map(normalise, split(text)) if p]
-        found, at = [], 0
+        found, spans, at = [], [], 0
         while at < len(parts):
             after = at + 1
             for plain, name in self.known.get(parts[at].partition(" ")[0], ()):
@@ -114,15 +175,48 @@ class Scanner:
                         upto += 1
                     if joined == plain:
                         found.append(name)
+                        spans.append((at, upto))
                         after = upto
                         break
             at = after
-        return found
+        more = self.slotted(text, parts, spans) if self.patterns else []
+        if not more:
+            return found
+        starts = places(parts)
+        return [name for _, name in sorted([*((starts[a], n) for (a, _), n in zip(spans, found, strict=True)), *more], key=lambda x: x[0])]
+
+    def slotted(self, text: bytes, parts: list[str], spans: list[tuple[int, int]]) -> list[tuple[int, str]]:
+        """Places and identifiers of the patterns and SPDX identifiers outside the known sentences."""
+        plain = " ".join(parts).replace("licence", "license")
+        if not any(h in plain for h in _HINTS):
+            return []
+        starts = places(parts)
+        taken = [(starts[a], starts[b]) for a, b in spans]
+        out, done = [], 0
+        for begin in _STARTS.finditer(plain):
+            at = begin.start()
+            if at < done or any(a <= at < b for a, b in taken):
+                continue
+            for name, pattern in self.patterns:
+                if hit := pattern.match(plain, at):
+                    out.append((at, name))
+                    done = hit.end()
+                    break
+        if "spdx license identifier" in plain:
+            for line in _SPDX.finditer(text):
+                at = len(normalise(text[: line.start()].decode("utf-8", "replace")))
+                expression = re.sub(r"\bWITH\s+\S+", " ", line.group(1).decode("utf-8", "replace"), flags=re.I)
+                one = _SPDX_ID.pattern
+                whole = re.match(rf"[\s()]*{one}(?:[\s()]+(?:AND|OR)[\s()]+{one})*", expression, re.I)
+                out += [(at, "spdx:" + w) for w in _SPDX_ID.findall(whole.group() if whole else "") if w.upper() not in ("AND", "OR", "NONE", "NOASSERTION")]
+        return out
 
     def match(self, ids: list[str]) -> list[str]:
         """Licences of the rules that match, in order of their places."""
         out, at = [], 0
         while at < len(ids):
+            if ids[at].startswith("spdx:"):
+                out.append(ids[at][5:])
             for licence, rule in self.rules:
                 if ids[at] != rule[0]:
                     continue
@@ -140,6 +234,14 @@ class Scanner:
         return out
 
 
+def places(parts: list[str]) -> list[int]:
+    """Where the parts begin in the normalised text, and its end."""
+    out = [0]
+    for part in parts:
+        out.append(out[-1] + len(part) + 1)
+    return out
+
+
 def split(text: bytes) -> list[str]:
     """Sentences of a text."""
     return [p.decode("utf-8", "replace") for p in _END.split(text)]
@@ -154,7 +256,7 @@ def scan_block(block: Block, scanner: Scanner) -> dict[str, object]:
 
 def scan_documents(docs: DataFrame, sentences: dict[str, str] | None = None, rules: list[tuple[str, list[str]]] | None = None) -> DataFrame:
     """doc_id, the known sentences in order, the distinct licences in order and the number of matched rules."""
-    scanner = Scanner(sentences or SENTENCES, rules or RULES)
+    scanner = Scanner(sentences or SENTENCES, rules or RULES, patterns=sentences is None and rules is None)
     rows = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     fields = [("sentence_ids", "array<string>"), ("licenses", "array<string>"), ("n_matches", "long")]
     return map_texts(rows, lambda block: scan_block(block, scanner), fields, ["doc_id"])

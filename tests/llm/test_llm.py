@@ -451,6 +451,37 @@ def test_rules_need_their_sentences_in_order():
     assert find(b"The MIT License was discussed. Permission is granted.") == []
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("This file is licensed under the MIT License.", ["MIT"]),
+        ("Distributed under the MIT licence, see LICENSE.", ["MIT"]),
+        ("This code is available under the BSD 3-Clause License.", ["BSD-3-Clause"]),
+        ("Released under the GPL-2.0 or later.", ["GPL-2.0-or-later"]),
+        ("This program is licensed under the GNU GPL v2.", ["GPL-2.0-only"]),
+        ("This library is free software; you can redistribute it and/or\n * modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.", ["LGPL-2.1-or-later"]),
+        ("you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", ["AGPL-3.0-or-later"]),
+        ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", ["MPL-2.0"]),
+        ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", ["ISC"]),
+        ("This is free and unencumbered software released into the public domain.", ["Unlicense"]),
+        ("Distributed under the Boost Software License, Version 1.0.", ["BSL-1.0"]),
+        ("# SPDX-License-Identifier: (Apache-2.0 OR MIT)", ["Apache-2.0", "MIT"]),
+        ("// SPDX-License-Identifier: GPL-2.0-only WITH Linux-syscall-note\nint x;", ["GPL-2.0-only"]),
+        ("It was not released under the MIT License.", []),
+    ],
+)
+def test_license_notices_beyond_the_tables(text, want):
+    scanner = licenses.Scanner(licenses.SENTENCES, licenses.RULES)
+    assert scanner.match(scanner.identify(text.encode())) == want
+
+
+def test_named_organisation_is_bsd_3():
+    scanner = licenses.Scanner(licenses.SENTENCES, licenses.RULES)
+    head = "\n".join(f"{i}. {licenses.SENTENCES[n]}" for i, n in enumerate(["bsd-redistribution", "bsd-source", "bsd-binary"]))
+    text = head + "\n3. Neither the name of Example, Inc. nor the names of its contributors may be used to\n endorse or promote products derived from this software without specific prior written permission."
+    assert scanner.match(scanner.identify(text.encode())) == ["BSD-3-Clause"]
+
+
 def test_license_edges(edge, none):
     got = licenses.scan_documents(edge).collect()
     assert len(got) == len(EDGE) and all(r["licenses"] == [] for r in got)
