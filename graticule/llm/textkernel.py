@@ -15,10 +15,13 @@ import pyarrow as pa
 
 #: Text bytes that are worked on at once; the arrays beside take some 60 times as much.
 BLOCK_BYTES = 1 << 20
+#: Bytes of a longer text that are hashed at once.
+STRIDE = 1 << 20
 
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
+_STRIDE_POWER, _STRIDE_INVERSE = pow(_BASE, STRIDE, 1 << 64), pow(_BASE_INVERSE, STRIDE, 1 << 64)
 #: Lower-cases A to Z and nothing else.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -38,7 +41,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_SALT = mix64(np.arange(1, 257, dtype=U) * U(_BASE))
+#: A number for each byte.
+BYTE_SALT = mix64(np.arange(1, 257, dtype=U) * U(_BASE))
 
 
 @lru_cache(maxsize=4)
@@ -74,26 +78,43 @@ class Block:
 
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start, end and text number of every word."""
-        inside = np.zeros(len(self.data) + 2, dtype=np.int8)
-        inside[1:-1] = ~IS_SPACE[self.data]
-        step = np.diff(inside)
-        starts, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+        outside = np.ones(len(self.data) + 2, dtype=bool)
+        outside[1:-1] = IS_SPACE[self.data]
+        starts = np.flatnonzero(outside[:-1] & ~outside[1:])
+        ends = np.flatnonzero(~outside[:-1] & outside[1:])
         # a text's end also ends a word
         edges = self.offsets[1:-1]
         edges = np.unique(edges[(edges > 0) & (edges < len(self.data))])
         if len(edges):
-            joined = edges[(inside[edges] == 1) & (inside[edges + 1] == 1)]
+            joined = edges[~outside[edges] & ~outside[edges + 1]]
             if len(joined):
                 starts, ends = np.sort(np.r_[starts, joined]), np.sort(np.r_[ends, joined])
         return starts, ends, self.doc_of(starts)
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = LOWER) -> np.ndarray:
-        """64-bit hash of the bytes of each span, after a byte-wise mapping."""
-        n = len(self.data)
+        """64-bit hash of the bytes of each span, after a byte-wise mapping; starts and ends ascend.
+
+        Running sums are taken a stride of bytes at a time, so that only the spans themselves take memory.
+        """
+        upto_start, upto_end = np.zeros(len(starts), dtype=U), np.zeros(len(starts), dtype=U)
         with np.errstate(over="ignore"):
-            total = np.zeros(n + 1, dtype=U)
-            np.cumsum(_SALT[table[self.data]] * powers(n, False), out=total[1:])
-            raw = (total[ends] - total[starts]) * powers(n + 1, True)[starts]
+            total, lift, lower = U(0), U(1), U(1)
+            for a in range(0, len(self.data), STRIDE):
+                part = self.data[a : a + STRIDE]
+                run = np.zeros(len(part) + 1, dtype=U)
+                np.cumsum(BYTE_SALT[table[part]] * powers(len(part), False), out=run[1:])
+                run = run * lift + total
+                here = slice(*np.searchsorted(starts, (a, a + len(part))))
+                upto_start[here] = run[starts[here] - a]
+                here = slice(*np.searchsorted(ends, (a, a + len(part)), side="right"))
+                upto_end[here] = run[ends[here] - a]
+                total = run[-1]
+                lift = lift * U(_STRIDE_POWER)
+            raw = upto_end - upto_start
+            for a in range(0, len(self.data), STRIDE):
+                here = slice(*np.searchsorted(starts, (a, a + STRIDE)))
+                raw[here] *= powers(STRIDE, True)[starts[here] - a] * lower
+                lower = lower * U(_STRIDE_INVERSE)
             return mix64(raw + (ends - starts).astype(U) * U(_BASE))
 
 
@@ -120,7 +141,7 @@ def shingle_hashes(words: np.ndarray, doc: np.ndarray, n_docs: int, width: int)
 
     A text of fewer words, but at least one, has one run: all its words.
     """
-    counts = np.bincount(doc, minlength=n_docs)
+    counts = np.bincount(doc, minlength=n_docs) if n_docs > 1 else np.full(n_docs, len(words))
     first_word = np.r_[0, np.cumsum(counts)]
     with np.errstate(over="ignore"):
         n = len(words)
@@ -128,6 +149,8 @@ def shingle_hashes(words: np.ndarray, doc: np.ndarray, n_docs: int, width: int)
         for i in range(width):
             full += mix64(words[i : i + len(full)] + U(i + 1)) * U(2 * i + 3)
         full = mix64(full)
+        if n_docs == 1 and n >= width:  # as with a long text, which is a block of its own
+            return full, np.array([0, len(full)])
         runs = np.where(counts >= width, counts - width + 1, np.minimum(counts, 1))
         first = np.r_[0, np.cumsum(runs)]
         out = np.zeros(first[-1], dtype=U)

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 pytest.importorskip("graticule.llm")
 
-from graticule.llm import ann, components, fingerprint, langid, licenses, mixing, ngram_join, packing, quality, sharding, tokencount
+from graticule.llm import ann, components, fingerprint, langid, licenses, mixing, ngram_join, packing, quality, sharding, textkernel, tokencount
 from graticule.llm import queries as registered
 from graticule.llm.common import table, tokenizer_path, word_count
 from graticule.llm.textkernel import blocks, shingle_hashes
@@ -77,6 +78,18 @@ def test_words_and_shingles():
         assert len(set(runs[6])) == 1
 
 
+def test_hashes_do_not_depend_on_strides(monkeypatch):
+    (_, block), = blocks(pa.array(["a bb ccc a bb", "", "Ccc a  dddd"]))
+    starts, ends, _ = block.words()
+    want = block.hashes(starts, ends).tolist()
+    assert want[0] == want[3] == want[6] and want[2] == want[5]
+    size = 4
+    monkeypatch.setattr(textkernel, "STRIDE", size)
+    monkeypatch.setattr(textkernel, "_STRIDE_POWER", pow(textkernel._BASE, size, 1 << 64))
+    monkeypatch.setattr(textkernel, "_STRIDE_INVERSE", pow(textkernel._BASE_INVERSE, size, 1 << 64))
+    assert block.hashes(starts, ends).tolist() == want
+
+
 def test_word_count(spark, edge):
     got = edge.select("text", word_count(F.col("text")).alias("n")).collect()
     assert all(r["n"] == len(words_of(r["text"])) for r in got)
@@ -371,13 +384,33 @@ def test_token_counts_equal_an_unshared_search(docs, texts):
         assert (r["n_words"], r["n_tokens"]) == (len(words), sum(count(b" " + w.encode()) for w in words))
 
 
-def test_forgetting_the_trie_changes_nothing(docs, monkeypatch):
+def test_forgetting_counts_changes_nothing(docs, monkeypatch):
     path = tokenizer_path(tokencount.VOCABULARY)
     given = pa.array([r["text"] for r in docs.limit(40).collect()])
     count = lambda limit: [x for _, b in blocks(given, limit) for x in tokencount.count_block(b, path)["n_tokens"].tolist()]
     want = count(1 << 20)
-    monkeypatch.setattr(tokencount, "NODES", 50)
-    assert count(1000) == want
+    for name, value in (("MEMORY", 50), ("TRIE_WORDS", 7), ("WORDS_AT_ONCE", 11), ("TRIE_BYTES", 5), ("SLICE", 3)):
+        monkeypatch.setattr(tokencount, name, value)
+        tokencount.Counter.of(path).forget()
+        assert count(1000) == want
+
+
+def test_unbroken_words_are_counted_in_bounded_memory():
+    path = tokenizer_path(tokencount.VOCABULARY)
+    scores = {k: v for k, v in tokencount.pieces_of(path).items() if v is not None}
+    r = random.Random(3)
+    word = "".join(r.choice("abcde日é") for _ in range(70_000))
+    raw = b" " + word.encode()
+    best = [(0.0, 0)]
+    for end in range(1, len(raw) + 1):
+        best.append(max((best[s][0] + scores[raw[s:end]], best[s][1] - 1) for s in range(max(0, end - 128), end) if raw[s:end] in scores))
+    (_, block), = blocks(pa.array([word]))
+    assert tokencount.count_block(block, path)["n_tokens"].tolist() == [-best[-1][1]]
+    (_, block), = blocks(pa.array(["x" * 10_000_000]))
+    tracemalloc.start()
+    tokencount.count_block(block, path)
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
 
 
 def test_token_count_edges(edge, none):
