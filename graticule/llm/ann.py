@@ -31,6 +31,8 @@ QUERY_BLOCK = 1024
 CANDIDATE_BLOCK = 4096
 #: Tiles' answers that are merged at once.
 MERGE_FAN = 64
+#: Components that are multiplied at once: 127 * 127 * 1024 is below 2**24, so that a float32 product is the whole number.
+SLICE = 1024
 
 
 def usable(vec: Column) -> Column:
@@ -59,17 +61,24 @@ def exact(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return out
 
 
+def whole_product(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Inner products of all pairs of int8 rows, exactly, in double precision: float32 products of slices are added up."""
+    out = np.zeros((len(one), len(two)))
+    for a in range(0, one.shape[1], SLICE):
+        out += one[:, a : a + SLICE].astype(np.float32) @ two[:, a : a + SLICE].astype(np.float32).T
+    return out
+
+
 def tile_top(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int, width: int = 1024) -> list[list[tuple[float, int]]]:
     """For each query the k best (-score, id) of one tile, best first."""
     heaps: list[list[tuple[float, int]]] = [[] for _ in qid]
     q8, qs, qn, qq, qe = quantise(q)
     floor = np.full(len(qid), -np.inf)  # exact score that a candidate must reach
-    qf = q8.astype(np.float32)  # whole numbers below 2**24: the float product is the integer product
     for at in range(0, len(cid), width):
         ids, part = cid[at : at + width], c[at : at + width]
         c8, cs, cn, cq, ce = quantise(part)
-        near = (qf @ c8.astype(np.float32).T).astype(np.float64) * qs[:, None] * cs[None, :]
-        slack = (qe[:, None] * cn[None, :] + qq[:, None] * ce[None, :]) * (1 + 1e-9) + 1e-12 * (1 + qn[:, None] * cn[None, :])
+        near = whole_product(q8, c8) * qs[:, None] * cs[None, :]
+        slack = (qe[:, None] * cn[None, :] + qq[:, None] * ce[None, :]) * (1 + 1e-9) + (1e-12 + 1e-15 * q.shape[1]) * (1 + qn[:, None] * cn[None, :])
         low = near - slack
         low[qid[:, None] == ids[None, :]] = -np.inf
         if len(ids) > k:

@@ -595,6 +595,24 @@ def test_neighbour_edges(spark, monkeypatch):
     assert ann.search(frame.limit(0), F.col("vec_id") % 20 == 0, 7).count() == 0
 
 
+@pytest.mark.parametrize("dim", [1536, 4096])
+def test_neighbours_at_many_dimensions(dim):
+    rng = np.random.default_rng(dim)
+    codes = rng.integers(-127, 128, size=(40, dim)).astype(np.int8)
+    codes[:8] = 127
+    assert (ann.whole_product(codes, codes) == codes.astype(np.int64) @ codes.astype(np.int64).T).all()
+    # all but equal candidates of large codes, told apart by their last components only
+    c = np.tile(np.sign(rng.normal(size=dim)) * rng.integers(100, 128, size=dim), (400, 1)).astype(np.float64)
+    c[:, 0] = 127
+    c[np.arange(400), rng.integers(1, dim, 400)] -= rng.integers(1, 3, 400)
+    q = c[:10] + rng.normal(size=(10, dim)) * 1e-3
+    got = ann.tile_top(np.arange(1000, 1010), q, np.arange(400), c, 20)
+    for i in range(10):
+        score = ann.exact(np.repeat(q[i : i + 1], 400, axis=0), c)
+        want = sorted(zip((-score).tolist(), range(400), strict=True))[:20]
+        assert got[i] == want
+
+
 # the pipeline and the registry
 
 
