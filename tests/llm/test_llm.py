@@ -1,6 +1,7 @@
 """The training-data operators against brute force, exact round trips and held-out accuracy, with their edge cases."""
 
 import collections
+import dataclasses
 import hashlib
 import math
 import random
@@ -192,6 +193,71 @@ def test_weights_decide_shares(spark):
     assert set(got) == {0, 1} and 2.5 < got[0] / got[1] < 3.6
 
 
+def plain_descent(key, leaves):
+    """The tree's rule for one key, in Python integers."""
+    wide = (1 << 64) - 1
+
+    def mix(x):
+        x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & wide
+        x = ((x ^ x >> 27) * 0x94D049BB133111EB) & wide
+        return x ^ x >> 31
+
+    def draw(node, nth):
+        return ((mix((mix(key ^ sharding.salt(node)) + nth * 0x9E3779B97F4A7C15) & wide) >> 11) + 0.5) / 2**53
+
+    def least(nodes, nth):
+        return min(nodes, key=lambda n: -math.log(draw(n[0], nth)) / n[1])[2]
+
+    found = []
+    for region in sorted({x.region for x in leaves}):
+        mine = [x for x in leaves if x.region == region]
+        if not any(x.weight for x in mine):
+            continue
+        time = 0.0
+        for nth in range(10_000):
+            time -= math.log(draw(f"region-{region}", nth)) / sum(x.room for x in mine)
+            racks = sorted({x.rack for x in mine})
+            rack = least([(f"region-{region}-rack-{r}", sum(x.room for x in mine if x.rack == r), r) for r in racks], nth)
+            leaf = least([(f"shard-{x.shard}", x.room, x) for x in sorted(mine, key=lambda x: x.shard) if x.rack == rack], nth)
+            if draw(f"region-{region}-rack-{rack}-taken", nth) < leaf.weight / leaf.room:
+                found.append((time, leaf.shard))
+                break
+    return min(found)[1]
+
+
+def test_descent_is_that_of_the_plain_tree():
+    keys = np.random.default_rng(1).integers(0, 2**64, size=300, dtype=np.uint64)
+    for leaves in (sharding.default_tree(24), sharding.default_tree(9), [sharding.Leaf(5, 2, 1, 0.25), sharding.Leaf(1, 2, 0, 3.0), sharding.Leaf(9, 0, 0, 0.5, 2.0)]):
+        assert sharding.Tree(leaves).descend(keys).tolist() == [plain_descent(int(k), leaves) for k in keys]
+
+
+def test_a_weight_moves_keys_to_and_from_its_shard_only():
+    keys = np.random.default_rng(2).integers(0, 2**64, size=20_000, dtype=np.uint64)
+    tree = sharding.default_tree(24)
+    before = sharding.Tree(tree).descend(keys)
+    less = [dataclasses.replace(x, weight=0.25) if x.shard == 13 else x for x in tree]
+    after = sharding.Tree(less).descend(keys)
+    moved = before != after
+    assert set(before[moved]) == {13} and 0.2 < (after == 13).sum() / (before == 13).sum() < 0.3
+    # within a rack: only that rack gives or takes
+    other = [dataclasses.replace(x, weight=0.5) if x.shard in (12, 14) else x for x in tree]
+    again = sharding.Tree(other).descend(keys)
+    assert set(before[before != again]) == {12, 14}
+    shares = np.bincount(before, minlength=24) / len(keys)
+    assert shares.min() > 0.03 and shares.max() < 0.055
+    with pytest.raises(ValueError):
+        sharding.Tree([sharding.Leaf(0, 0, 0, 0.0)])
+
+
+def test_equal_rows_are_numbered_as_runs(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "RUN", 7)
+    rows = spark.createDataFrame([(None, "")] * 40 + [(i, "x") for i in range(30)] + [(3, "x")] * 9, "doc_id long, text string").repartition(4)
+    per = collections.defaultdict(list)
+    for r in sharding.shard_documents(rows, 3).collect():
+        per[r["shard"]].append(r["slot"])
+    assert sum(map(len, per.values())) == 79 and all(sorted(s) == list(range(len(s))) for s in per.values())
+
+
 def test_sharding_edges(edge, none):
     got = sharding.shard_documents(edge).collect()
     assert len(got) == len(EDGE) and len({(r["shard"], r["slot"]) for r in got}) == len(EDGE)
