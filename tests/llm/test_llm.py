@@ -598,13 +598,68 @@ def test_language_on_held_out_rows(docs):
 
 def test_filters_hold_what_they_were_given():
     (_, block), = blocks(pa.array(["Über den Fluss", "", "a1b", "12 !?"]))
-    code, doc = langid.grams(block)
+    (code, doc), = langid.grams(block)
     low = [bytes([c & 255, c >> 8 & 255, c >> 16 & 255, c >> 24]).decode("utf-8", "replace") for c, d in zip(code.tolist(), doc.tolist(), strict=True) if d == 0]
     assert " den" in low and "den " in low and "luss" in low and not any("n f" in g for g in low)
     assert set(doc.tolist()) <= {0, 2}
     assert langid.has_letter(block).tolist() == [True, False, True, False]
 
 
+def brute_grams(text):
+    """The n-grams of an ASCII text: four bytes, the second no blank, the third no blank before a letter."""
+    low = "  " + "".join(c.lower() if c.isascii() and c.isalpha() else " " for c in text) + "  "
+    return [low[i : i + 4] for i in range(len(low) - 3) if low[i + 1] != " " and (low[i + 2] != " " or low[i + 3] == " ")]
+
+
+def test_slices_change_no_counts(monkeypatch):
+    given = ["The cat  sat, on a MAT", "", "x", "one two three"]
+    whole, = langid.grams(next(blocks(pa.array(given)))[1])
+    say = lambda code: bytes([code & 255, code >> 8 & 255, code >> 16 & 255, code >> 24]).decode()
+    for i, text in enumerate(given):
+        assert collections.Counter(say(c) for c, d in zip(*map(np.ndarray.tolist, whole), strict=True) if d == i) == collections.Counter(brute_grams(text))
+    monkeypatch.setattr(langid, "SLICE", 5)
+    parts = list(langid.grams(next(blocks(pa.array(given)))[1]))
+    assert np.concatenate([c for c, _ in parts]).tolist() == whole[0].tolist() and np.concatenate([d for _, d in parts]).tolist() == whole[1].tolist()
+
+
+def test_filters_equal_sets_of_ngrams(spark):
+    r = random.Random(4)
+    rows = [(i, " ".join("".join(r.choice("abcdefgh"[k : k + 6]) for _ in range(r.randint(1, 7))) for _ in range(40)), f"l{k}") for i in range(90) for k in [i % 3]]
+    rows += [(1000 + i, rows[0][1], "l0") for i in range(50)] + [(2000, None, "l1"), (None, "gggg", "l2"), (2001, "zz zz", None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = langid.train(frame)
+    learned = [(i, t, x) for i, t, x in rows if t is not None and x is not None and zlib.crc32(str("" if i is None else i).encode()) % 3 != 1]
+    held = {x: collections.Counter() for x in found.languages}
+    for text, lang in {(t, x) for _, t, x in learned}:
+        held[lang].update(brute_grams(text))
+    assert found.languages == ["l0", "l1", "l2"]
+    assert found.coverage.tolist() == pytest.approx([1 - sum(n == 1 for n in held[x].values()) / sum(held[x].values()) for x in found.languages])
+    asked = [t for _, t, _ in rows[:90]]
+    total, hits = found.counts(next(blocks(pa.array(asked)))[1])
+    for i, text in enumerate(asked):
+        own = brute_grams(text)
+        assert total[i] == len(own)
+        for j, lang in enumerate(found.languages):
+            real = sum(g in held[lang] for g in own)
+            assert real <= hits[i, j] <= real + 0.05 * len(own) + 3  # all that are there, and few that are not
+
+
+def test_languages_of_few_documents_keep_theirs(spark, docs):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    r = random.Random(8)
+    words = ["".join(r.choice("kqxzwjyv") + r.choice("aou") for _ in range(r.randint(1, 3))) for _ in range(400)]
+    text = lambda: " ".join(r.choice(words) for _ in range(250))
+    ids = [i for i in range(10**6, 10**6 + 40) if zlib.crc32(str(i).encode()) % 3 != 1][:3]
+    others = [i for i in range(2 * 10**6, 2 * 10**6 + 60) if zlib.crc32(str(i).encode()) % 3 == 1][:10]
+    few = [(i, text(), "qq", "s", 1) for i in [*ids, *others]]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    both = docs.select(*pipeline.COLUMNS).unionByName(spark.createDataFrame(few, schema).select(*[F.col(f).cast(docs.schema[f].dataType) for f in pipeline.COLUMNS]))
+    kept = {x["doc_id"] for x in pipeline.language_stage(spark, both, "").collect()}
+    assert set(ids) | set(others) <= kept
+    named = {x["doc_id"]: x["lang_pred"] for x in langid.identify(both).collect()}
+    assert all(named[i] == "qq" for i in others)
+
+
 def test_more_than_eight_languages(spark):
     rows = [(i, f"{chr(97 + i % 11) * 3}{chr(97 + i % 11)}o{chr(97 + i % 11)}el " * 9, f"l{i % 11:02d}") for i in range(220)]
     got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
