@@ -5,12 +5,15 @@ lines) are computed by array operations over blocks of texts. The trees are grow
 gradients and second derivatives of the logistic loss, then flattened into arrays, so that all documents of a block walk
 down a tree together.
 
-The trees are fitted on a bounded sample: the `MAX_SAMPLE` labelled rows of smallest hash. Only text statistics enter a
-score.
-
-Edge cases: a null text scores as an empty one, and an empty one as its statistics (all 0) say; several labels of one
-document vote, a tie counts as 0; null labels are left out; without any label every score is 0.5; rows with one doc_id
-are scored each by its own text; a null doc_id hashes as the empty string. An empty table gives an empty result.
+The trees are fitted on a bounded sample: the `MAX_SAMPLE` labelled rows of smallest hash (of doc_id, then of the text).
+Only text statistics enter a score.
+
+Edge cases: a null text scores as an empty one, and an empty one as its statistics say (0, but 1 for the shares of distinct
+words, runs and lines); several labels of one document vote, a tie counts as 0; null labels are left out; without any label
+every score is 0.5; rows with one doc_id are scored each by its own text, and each is a training row; a null doc_id hashes
+as the empty string and has no label. A very long text is read whole, in some 16 bytes of memory a byte (bytes are counted
+a stride at a time; what grows are the positions and hashes of its words). An empty table gives an empty result; extra
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graticule.llm.common import map_texts
-from graticule.llm.textkernel import LOWER, Block, shingle_hashes
+from graticule.llm.textkernel import LOWER, STRIDE, Block, shingle_hashes
 
 #: Labelled rows that the trees are fitted on, at most.
 MAX_SAMPLE = 20_000
@@ -46,6 +49,7 @@ _MEMBER = np.zeros((256, len(_CLASSES)))
 for _i, _ranges in enumerate(_CLASSES.values()):
     for _a, _b in _ranges:
         _MEMBER[_a : _b + 1, _i] = 1
+_IS_MARK = _MEMBER[:, 6] + _MEMBER[:, 7] > 0
 
 FEATURES = [
     *(f"share_{c}" for c in _CLASSES),
@@ -56,8 +60,11 @@ FEATURES = [
 
 def _repetition(doc: np.ndarray, hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Share of distinct values and share of the most frequent value, per document (1 and 0 without values)."""
-    counts = np.bincount(doc, minlength=n)
-    key = np.sort((doc.astype(np.uint64) << np.uint64(40)) | (hashes >> np.uint64(24)))
+    if n == 1:
+        counts, key = np.array([len(hashes)]), np.sort(hashes >> np.uint64(24))
+    else:
+        counts = np.bincount(doc, minlength=n)
+        key = np.sort((doc.astype(np.uint64) << np.uint64(40)) | (hashes >> np.uint64(24)))
     if not len(key):
         return np.ones(n), np.zeros(n)
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
@@ -70,32 +77,42 @@ def _repetition(doc: np.ndarray, hashes: np.ndarray, n: int) -> tuple[np.ndarray
     return np.where(counts > 0, distinct / some, 1.0), top / some
 
 
+def _byte_counts(block: Block) -> np.ndarray:
+    """How often each byte occurs in each text."""
+    if block.n == 1:
+        return sum((np.bincount(block.data[a : a + STRIDE], minlength=256) for a in range(0, len(block.data), STRIDE)), np.zeros(256, np.int64))[None, :]
+    owner = np.repeat(np.arange(block.n), np.diff(block.offsets))
+    return np.bincount(owner * 256 + block.data, minlength=block.n * 256).reshape(block.n, 256)
+
+
 def statistics(block: Block) -> np.ndarray:
     """A row of FEATURES for each text."""
     n, data, offsets = block.n, block.data, block.offsets
     size = np.diff(offsets)
-    owner = np.repeat(np.arange(n), size)
-    bytes_of = np.bincount(owner * 256 + data, minlength=n * 256).reshape(n, 256)
-    some = np.maximum(size, 1)[:, None]
-    share = bytes_of / some
+    share = _byte_counts(block) / np.maximum(size, 1)[:, None]
     entropy = -(share * np.log2(np.where(share > 0, share, 1))).sum(axis=1)
     starts, ends, doc = block.words()
-    hashes = block.hashes(starts, ends, LOWER)
-    words = np.bincount(doc, minlength=n)
+    words = np.bincount(doc, minlength=n) if n > 1 else np.array([len(doc)])
     w = np.maximum(words, 1)
-    length = (ends - starts).astype(np.float64)
-    mean = np.bincount(doc, weights=length, minlength=n) / w
-    spread = np.sqrt(np.maximum(np.bincount(doc, weights=length * length, minlength=n) / w - mean * mean, 0))
+    per_word = lambda x: np.bincount(doc, weights=x, minlength=n) / w if n > 1 else np.array([x.sum() / w[0]])
+    length = ends - starts
+    mean = per_word(length)
+    spread = np.sqrt(np.maximum(per_word(length * length) - mean * mean, 0))
+    is_upper = lambda at: (data[at] >= 65) & (data[at] <= 90)
+    caps = per_word(is_upper(starts) & (length > 1) & is_upper(np.minimum(starts + 1, max(len(data) - 1, 0)))) if len(doc) else np.zeros(n)
+    marked = per_word(_IS_MARK[data[ends - 1]]) if len(doc) else np.zeros(n)
+    del length
+    hashes = block.hashes(starts, ends, LOWER)
+    del starts, ends
     distinct, top = _repetition(doc, hashes, n)
-    again = np.zeros(len(doc))
+    same = np.zeros(len(doc), dtype=bool)
     if len(doc) > 1:
-        again[1:] = (hashes[1:] == hashes[:-1]) & (doc[1:] == doc[:-1])
-    is_upper = (data >= 65) & (data <= 90)
-    caps = is_upper[starts] & (ends - starts > 1) & is_upper[np.minimum(starts + 1, max(len(data) - 1, 0))] if len(doc) else np.zeros(0)
-    is_mark = (_MEMBER[:, 6] + _MEMBER[:, 7])[data] > 0
-    marked = is_mark[ends - 1] if len(doc) else np.zeros(0)
+        same[1:] = (hashes[1:] == hashes[:-1]) & (doc[1:] == doc[:-1])
+    again = per_word(same)
     runs, first = shingle_hashes(hashes, doc, n, 3)
-    distinct_runs, top_run = _repetition(np.repeat(np.arange(n), np.diff(first)), runs, n)
+    del hashes, doc
+    distinct_runs, top_run = _repetition(np.repeat(np.arange(n), np.diff(first)) if n > 1 else first, runs, n)
+    del runs
     # lines: the bytes between newlines and the text's bounds
     breaks = np.flatnonzero(data == 10)
     line_start = np.unique(np.r_[offsets[:-1][size > 0], breaks + 1]) if len(data) else np.zeros(0, np.int64)
@@ -107,7 +124,7 @@ def statistics(block: Block) -> np.ndarray:
     columns = [
         *(share @ _MEMBER).T,
         *(np.log1p(size), np.log1p(words), np.log1p(lines), mean, spread, words / np.maximum(lines, 1), entropy, distinct, top),
-        *(np.bincount(doc, weights=x, minlength=n) / w for x in (again, caps, marked)),
+        *(again, caps, marked),
         *(distinct_runs, top_run, distinct_lines, top_line),
     ]
     return np.stack(columns, axis=1)
@@ -215,9 +232,10 @@ def train(docs: DataFrame, labels: DataFrame, max_sample: int = MAX_SAMPLE) -> T
     """Trees from at most max_sample labelled documents outside the held-out fold."""
     votes = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("quality") > 0.5).cast("double").alias("_y"))
     chosen = votes.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_sample)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
-    rows = map_texts(texts, lambda block: {"x": list(statistics(block))}, [("x", "array<double>")], ["doc_id", "_y"])
-    got = rows.limit(2 * max_sample).toPandas().sort_values("doc_id", kind="stable")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_mark")).join(F.broadcast(chosen), "doc_id")
+    rows = map_texts(texts, lambda block: {"x": list(statistics(block))}, [("x", "array<double>")], ["doc_id", "_y", "_mark"])
+    # an id may have several texts: the rows that are learned from are bounded, in an order of their own
+    got = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "_mark").limit(max_sample).toPandas().sort_values(["doc_id", "_mark"], kind="stable")
     if not len(got):
         return fit(np.zeros((0, len(FEATURES))), np.zeros(0))
     return fit(np.stack(got["x"].to_numpy()), got["_y"].to_numpy())

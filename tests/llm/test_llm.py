@@ -157,6 +157,67 @@ def test_flattened_trees_fit_and_walk():
     assert quality.fit(x, np.ones(2000)).score(x).min() > 0.9
 
 
+def plain_statistics(text):
+    """The statistics of one text, one by one."""
+    raw = text.encode()
+    lower = bytes(c + 32 if 65 <= c <= 90 else c for c in raw)
+    words, low = ([w for w in re.split(rb"[\x20\x09-\x0D]+", x) if w] for x in (raw, lower))
+    lines = [x + b"\n" for x in lower.split(b"\n")]
+    lines = lines[:-1] + ([lines[-1][:-1]] if lines[-1] != b"\n" else [])
+    count = collections.Counter(raw)
+    entropy = -sum(c / len(raw) * math.log2(c / len(raw)) for c in count.values()) if raw else 0.0
+    sizes = [len(w) for w in words]
+    mean = sum(sizes) / max(len(words), 1)
+    spread = math.sqrt(max(sum(n * n for n in sizes) / max(len(words), 1) - mean * mean, 0))
+    runs = [tuple(low[i : i + 3]) for i in range(len(low) - 2)] if len(low) >= 3 else [tuple(low)] if low else []
+    repeats = lambda xs: (len(set(xs)) / len(xs), max(collections.Counter(xs).values()) / len(xs)) if xs else (1.0, 0.0)
+    per = lambda n: n / max(len(words), 1)
+    marks = {c for name in ("bang", "mark") for a, b in quality._CLASSES[name] for c in range(a, b + 1)}
+    return [
+        *(sum(count[c] for a, b in ranges for c in range(a, b + 1)) / max(len(raw), 1) for ranges in quality._CLASSES.values()),
+        *(math.log1p(len(raw)), math.log1p(len(words)), math.log1p(len(lines)), mean, spread, len(words) / max(len(lines), 1), entropy, *repeats(low)),
+        *(per(sum(a == b for a, b in zip(low, low[1:], strict=False))), per(sum(len(w) > 1 and 65 <= w[0] <= 90 and 65 <= w[1] <= 90 for w in words)), per(sum(w[-1] in marks for w in words))),
+        *(*repeats(runs), *repeats(lines)),
+    ]
+
+
+def test_statistics_equal_plain_ones(docs):
+    given = ["", " \n\t ", "A", "ONE two two!! \n\nx1 é日 one TWO two\nx1 é日 one", "\n", "a\nb", "same same same same", *[r["text"] for r in docs.limit(60).collect()]]
+    for limit in (1, 1 << 20):
+        got = np.concatenate([quality.statistics(block) for _, block in blocks(pa.array(given), limit)])
+        assert got.shape[1] == len(quality.FEATURES) == 27
+        for row, text in zip(got, given, strict=True):
+            assert row.tolist() == pytest.approx(plain_statistics(text), abs=1e-9), text[:40]
+
+
+def test_trees_are_walked_as_by_hand():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 4))
+    trees = quality.fit(x, (x[:, 0] * x[:, 2] > 0).astype(float), n_trees=7)
+
+    def walk(row):
+        total = trees.base
+        for node in trees.roots:
+            while trees.left[node] != node:
+                node = trees.left[node] if row[trees.feature[node]] <= trees.limit[node] else trees.right[node]
+            total += trees.value[node]
+        return 1 / (1 + math.exp(-total))
+
+    assert trees.score(x).tolist() == pytest.approx([walk(row) for row in x])
+
+
+def test_training_rows_are_bounded_where_ids_repeat(spark, monkeypatch):
+    seen = []
+    fit = quality.fit
+    monkeypatch.setattr(quality, "fit", lambda x, y: seen.append((x.tolist(), y.tolist())) or fit(x, y))
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5]
+    rows = spark.createDataFrame([(i, f"text {i} {j}" * (j + 1)) for i in ids for j in range(5)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, quality int")
+    for parts in (1, 7):
+        quality.train(rows.repartition(parts), labels, 13)
+    assert len(seen[0][1]) == 13 and seen[0] == seen[1]
+
+
 def test_quality_edges(spark, edge, none):
     labels = spark.createDataFrame([(5, 1, None), (5, 0, 0), (None, 1, 1), (6, None, 0), (1, 1, 0)], "doc_id long, quality int, toxic int")
     got = quality.classify(edge, labels).collect()
