@@ -10,16 +10,23 @@ capacity, not on the number of pieces; a group loses less than one sequence in i
 Tokenising: texts made of ASCII and two-byte Latin letters are lower-cased and cut into pre-tokens (runs of letters,
 single digits, runs of other marks) by array operations; ids are looked up for each distinct pre-token, which the
 tokenizer itself encodes once. Every other text (other scripts, apostrophes, which begin contractions, and texts that may
-hold a special token) goes to the tokenizer as a whole. Both give the tokenizer's own ids.
+hold a special token) goes to the tokenizer as a whole. Both give the tokenizer's own ids. A text of more than a megabyte is
+tokenised in parts that begin after white space, which no token spans; only a run without any blank stays whole.
+
+Groups: the pieces are dealt by a hash of the piece and its number among equal ones, so that a group stays small whatever
+share of all pieces is equal.
 
 Edge cases: a null or empty text is one piece of length 1 (the separator); repeated rows and equal doc_id are
-documents of their own, each with its pieces; a null doc_id is kept; an empty table gives an empty result.
+documents of their own, each with its pieces; a null doc_id is kept; of pieces of one length the greater doc_id, piece and
+checksum are placed first, equal ones in any order; an empty table gives an empty result; extra columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -27,8 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graticule.llm.common import cut
-from graticule.llm.textkernel import Block, blocks
+from graticule.llm.common import cut, maybe_broadcast
+from graticule.llm.textkernel import BLOCK_BYTES, Block, blocks, slices
 
 CAPACITY = 2048
 SEPARATOR = 0
@@ -121,6 +128,11 @@ class Encoder:
 
     def encode(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids one after the other, and where each text's ids begin (one entry more than texts)."""
+        if block.n == 1 and len(block.data) > BLOCK_BYTES:
+            parts = list(slices(block))
+            if len(parts) > 1:
+                ids = np.concatenate([self.encode(part)[0] for part in parts])
+                return ids, np.array([0, len(ids)])
         low = Block(lowered(block.data), block.offsets, block.null)
         simple = plain(block)
         starts, ends, doc = pretokens(low)
@@ -247,7 +259,18 @@ def pack_pieces(rows: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -
     """The rows of `rows` (doc_id, piece, length and more) with sequence_id and offset."""
     n = rows.count()
     groups = max(1, -(-n // group))
-    dealt = rows.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).cast("long"))
+    named = ["doc_id", "piece", "ids_crc32"]
+    often = rows.groupBy(*named).agg(F.count(F.lit(1)).alias("_many")).where(F.col("_many") > max(1, group // 10))  # ten of a group at most
+    share = F.xxhash64(*named)
+    if often.limit(1).count():  # equal pieces that would fill a group go round all groups, from their partition's place on
+        few = maybe_broadcast(often.select(*[F.col(c).alias(f"_{c}") for c in named]), often.count())
+        meet = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in named])
+        # numbered before the join, on rows that are read again in the same order
+        rows = rows.withColumn("_nth", F.monotonically_increasing_id()).join(few, meet, "left")
+        rows = rows.withColumn("_nth", F.when(F.col("_piece").isNotNull(), F.col("_nth")).otherwise(F.lit(0)))
+        rows, share = rows.drop("_doc_id", "_piece", "_ids_crc32"), F.xxhash64(*named, "_nth")
+    dealt = rows.withColumn("_group", F.pmod(share, F.lit(groups)).cast("long")).drop("_nth")
+    rows = dealt.drop("_group")
     columns = [f for f in rows.schema.fields]
 
     def pack(frame: pd.DataFrame) -> pd.DataFrame:

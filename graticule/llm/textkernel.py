@@ -136,6 +136,22 @@ def blocks(texts: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, Blo
         at = to
 
 
+def slices(block: Block, limit: int = BLOCK_BYTES) -> Iterator[Block]:
+    """A block of one text in parts of about `limit` bytes that begin after white space; a longer unbroken run stays whole."""
+    data, at = block.data, 0
+    while at < len(data):
+        to = at + limit
+        while to < len(data):
+            blanks = np.flatnonzero(IS_SPACE[data[to - limit : to]])
+            if len(blanks):
+                to += int(blanks[-1]) + 1 - limit
+                break
+            to += limit
+        part = data[at : min(to, len(data))]
+        yield Block(part, np.array([0, len(part)]), np.zeros(1, dtype=bool))
+        at = to
+
+
 def shingle_hashes(words: np.ndarray, doc: np.ndarray, n_docs: int, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of `width` words inside a text, in order, and the first run of each text (n_docs + 1 entries).
 

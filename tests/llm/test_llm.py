@@ -383,6 +383,76 @@ def test_packing_edges(edge, none):
     assert packing.pack_documents(none, tokenizer_path(packing.VOCABULARY)).count() == 0
 
 
+def test_equal_pieces_are_dealt_to_all_groups(spark, monkeypatch):
+    rows = [(None, 0, 0, 1, 9)] * 300 + [(i, 0, 0, 5, i) for i in range(100)]
+    frame = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long").repartition(6)
+    got = packing.pack_pieces(frame, 16, 20).collect()
+    assert len(got) == 400
+    per = collections.Counter(r["sequence_id"] % 20 for r in got if r["doc_id"] is None)
+    assert len(per) == 20 and max(per.values()) < 40
+    bins = collections.defaultdict(list)
+    for r in got:
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts in bins.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 16
+
+
+def plain_best_two_fit(lengths, capacity):
+    """Bins as lists of lengths: greedily by the largest that fits, then exchanges of the smallest for the tightest two."""
+    left, out = sorted(lengths), []
+    while left:
+        inside, gap = [], capacity
+        while fitting := [x for x in left if x <= gap]:
+            inside.append(fitting[-1])
+            left.remove(fitting[-1])
+            gap -= inside[-1]
+        while gap and left:
+            low = min(inside)
+            pairs = [(a + b, a, b) for i, a in enumerate(left) for b in left[:i] if low < a + b <= gap + low]
+            if not pairs:
+                break
+            total, a, b = max(pairs)
+            for x in (a, b):
+                left.remove(x)
+                inside.append(x)
+            inside.remove(low)
+            left = sorted([*left, low])
+            gap += low - total
+        out.append(sorted(inside))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_best_two_fit_is_the_plain_one(seed):
+    r = random.Random(seed)
+    lengths = [r.choice([r.randint(1, 60), r.randint(20, 40), 7]) for _ in range(60)]
+    bins, _ = packing.best_two_fit(np.array(lengths), 60)
+    held = collections.defaultdict(list)
+    for b, n in zip(bins.tolist(), lengths, strict=True):
+        held[b].append(n)
+    want = plain_best_two_fit(lengths, 60)
+    assert sorted(map(sum, held.values())) == sorted(map(sum, want)) and len(held) == len(want)
+
+
+def test_long_texts_are_tokenised_in_slices(monkeypatch):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokenizer_path(packing.VOCABULARY))
+    encoder = packing.Encoder.of(tokenizer_path(packing.VOCABULARY))
+    r = random.Random(6)
+    monkeypatch.setattr(packing, "BLOCK_BYTES", 50)
+    monkeypatch.setattr(packing, "slices", lambda block: textkernel.slices(block, 50))
+    for pool in ("aZ0 9\t\n!?.é Éß", "aΣ 'sé日e\u0301 \u2003<|x", "ab"):
+        text = "".join(r.choice(pool) for _ in range(900))
+        (_, block), = blocks(pa.array([text]))
+        assert sum(len(x.data) for x in textkernel.slices(block, 50)) == len(block.data)
+        assert encoder.encode(block)[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_tokens_are_the_tokenizers_own():
     from tokenizers import Tokenizer
 
