@@ -199,9 +199,9 @@ def train(docs: DataFrame, max_sample: int = MAX_SAMPLE) -> Filters:
         np.bitwise_or.at(page, (lang // 8, frame["slot"].to_numpy()), (1 << lang % 8).astype(np.uint8))
         return pd.DataFrame({"page": frame["page"].iloc[:1], "bits": [page.tobytes()]})
 
-    pages = each.select("lang", "gram").mapInArrow(spread, "page long, slot int, lang int").distinct().groupBy("page").applyInPandas(fill, "page long, bits binary")
+    pages = each.select("lang", "gram").mapInArrow(spread, "page long, slot int, lang int").groupBy("page").applyInPandas(fill, "page long, bits binary")
     masks = np.zeros((layers, 1 << bits), dtype=np.uint8)
-    for row in pages.toLocalIterator():
+    for row in pages.collect():  # the filter itself
         at = row["page"] << PAGE_BITS
         masks[:, at : at + (1 << PAGE_BITS)] = np.frombuffer(row["bits"], np.uint8).reshape(layers, -1)[:, : (1 << bits) - at]
     full = np.array([((masks[i // 8] >> (i % 8)) & 1).mean() for i in range(len(languages))])
