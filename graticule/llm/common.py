@@ -30,10 +30,12 @@ def tokenizer_path(name: str) -> str:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster's shared checkpoint folder, as the session names it; a temporary one only where none is set."""
+    """The cluster's shared checkpoint folder, as the session names it; a temporary one only in local mode (tests)."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="graticule-checkpoint-"))
 
 
@@ -59,6 +61,17 @@ def maybe_broadcast(df: DataFrame, rows: int, limit: int = 100_000) -> DataFrame
     return F.broadcast(df) if rows <= limit else df
 
 
+def repeated(df: DataFrame, many: str, index: str, run: int) -> DataFrame:
+    """Each row as often as its column `many` says, numbered from 0 in `index`; more than `run` copies go to several tasks."""
+    columns = [c for c in df.columns if c != many]
+    up_to = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    few = df.where(F.col(many) <= run).withColumn(index, up_to(F.col(many)))
+    parts = df.where(F.col(many) > run).withColumn("_part", up_to(F.ceil(F.col(many) / run)))
+    parts = parts.repartition(F.xxhash64("_part", *[c for c in columns if not c.startswith("_")]))
+    rows = parts.withColumn("_j", up_to(F.least(F.lit(run).cast("long"), F.col(many) - F.col("_part") * run))).withColumn(index, F.col("_part") * run + F.col("_j"))
+    return few.select(*columns, index).unionByName(rows.select(*columns, index))
+
+
 def map_texts(df: DataFrame, fn: Callable[[Block], dict[str, object]], fields: list[tuple[str, str]], keep: list[str]) -> DataFrame:
     """Columns `keep` of every row with columns that `fn` computes from the column `text`, block by block.
 

@@ -8,11 +8,13 @@ the cut is the latest finish time up to which all documents together are within
 at the same time are taken together or not at all.
 
 Both running sums (along a source, and along all finish times) are taken in two levels, inside hash or time buckets
-and then over the buckets, so that no task holds a whole source.
+and then over the buckets, so that no task holds a whole source. Equal rows queue one after the other; they are summed as one
+run first, so that they may be any share of all rows.
 
 Edge cases: a null text has size 0 and is never taken; the null source is one source, last in order; rows with equal
-doc_id queue side by side and repeated rows are rows of their own; sources without words have target 0; an empty
-table gives an empty result. Extra columns are ignored.
+doc_id, or none, queue by a hash of their text too, and repeated rows are rows of their own; sources without words have
+target 0; a very long text is only counted and hashed; an empty table gives an empty result. Extra columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -20,14 +22,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graticule.llm.common import cut, maybe_broadcast, word_count
+from graticule.llm.common import cut, maybe_broadcast, repeated, word_count
 
 #: Time buckets of one unit of virtual time; finish times of 2 and more share the last bucket.
 TIME_BUCKETS = 4096
+#: Equal rows that are written from one row at once; more of them are dealt to several tasks.
+RUN = 1 << 16
 
 
-def _shuffle_key(doc_id: Column) -> Column:
-    return F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
+def _shuffle_key(doc_id: Column, text: Column) -> Column:
+    digest = F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+    return F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), digest).cast("binary"))
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, max_epochs: int = 2) -> DataFrame:
@@ -56,7 +61,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, max_epochs: int = 2, keep: list[str] | None = None) -> DataFrame:
     """doc_id, size, source_size, target and taken of every document; `keep` names further columns to carry."""
     keep = keep or []
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"), _shuffle_key(F.col("doc_id")).alias("_key"), *keep)
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"), _shuffle_key(F.col("doc_id").cast("long"), F.col("text")).alias("_key"), *keep)
     sized = cut(sized)
     targets = cut(source_targets(sized, weights, share, max_epochs))
     n_sources = targets.count()
@@ -64,19 +69,20 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     budget = float(budget or 0.0)
 
     bucket = F.substring("_key", 1, 3)
-    inside = Window.partitionBy("source", "_bucket").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    bucketed = sized.withColumn("_bucket", bucket)
-    sums = bucketed.groupBy(F.col("source").alias("_src"), F.col("_bucket").alias("_b")).agg(F.sum("size").alias("_sum"))
+    runs = sized.groupBy("source", "_key", "doc_id", "size", *keep).agg(F.count(F.lit(1)).alias("_many")).withColumn("_bucket", bucket)
+    own = F.col("size") * F.col("_many")
+    inside = Window.partitionBy("source", "_bucket").orderBy("_key", "doc_id", "size", *keep).rowsBetween(Window.unboundedPreceding, 0)
+    sums = runs.groupBy(F.col("source").alias("_src"), F.col("_bucket").alias("_b")).agg(F.sum(own).alias("_sum"))
     over = Window.partitionBy("_src").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("_src", "_b", F.coalesce(F.sum("_sum").over(over), F.lit(0)).alias("_start"))
     queued = (
-        bucketed.withColumn("_run", F.sum("size").over(inside))
+        runs.withColumn("_run", F.sum(own).over(inside))
         .join(starts, F.col("source").eqNullSafe(F.col("_src")) & (F.col("_bucket") == F.col("_b")))
-        .withColumn("_cum", F.col("_start") + F.col("_run"))
+        .withColumn("_before", F.col("_start") + F.col("_run") - own)
     )
     named = maybe_broadcast(targets.withColumnRenamed("source", "_name"), n_sources)
-    timed = queued.join(named, F.col("source").eqNullSafe(F.col("_name"))).select("doc_id", "source", "size", "source_size", "target", "_cum", *keep)
-    timed = cut(timed)
+    timed = queued.join(named, F.col("source").eqNullSafe(F.col("_name"))).select("doc_id", "source", "size", "source_size", "target", "_before", "_many", *keep)
+    timed = cut(repeated(timed, "_many", "_i", RUN).select("doc_id", "source", "size", "source_size", "target", (F.col("_before") + (F.col("_i") + 1) * F.col("size")).alias("_cum"), *keep))
 
     def finish(epoch: int) -> Column:
         return (F.lit(epoch) * F.col("source_size") + F.col("_cum")) / F.col("target")
@@ -101,10 +107,30 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     return timed.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), *keep)
 
 
+def take(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, max_epochs: int = 2) -> DataFrame:
+    """The rows of `docs`, each as often as the mix takes it. Only keys and sizes go through the queue; the rows meet them once."""
+    columns = docs.columns
+    mark = F.xxhash64(*columns)
+    mixed = mix(docs.withColumn("_mark", mark), weights, share, max_epochs, ["_mark"])
+    copies = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0).cast("long")
+    runs = mixed.groupBy(F.col("doc_id").alias("_id"), F.col("_mark").alias("_m")).agg(F.sum(copies).alias("_copies"), F.count(F.lit(1)).alias("_many"))
+    runs = cut(runs.where("_copies > 0"))
+    n = runs.count()
+    rows = docs.withColumn("_key", F.col("doc_id").cast("long")).withColumn("_mark", mark)
+    meet = rows["_key"].eqNullSafe(F.col("_id")) & (rows["_mark"] == F.col("_m"))
+    single = rows.join(maybe_broadcast(runs.where("_many = 1"), n, 200_000), meet)
+    out = single.select(*columns, "_copies")
+    equal = runs.where("_many > 1")
+    if equal.limit(1).count():  # equal rows: one of them, as often as all of them are taken
+        same = rows.join(maybe_broadcast(equal, n, 200_000), meet).groupBy("_id", "_m", "_copies").agg(F.first(F.struct(*columns)).alias("_row"))
+        out = out.unionByName(same.select(*[F.col(f"_row.{c}").alias(c) for c in columns], "_copies"))
+    return repeated(out, "_copies", "_i", RUN).select(*columns)
+
+
 ORACLE = r"""
 with sized as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
-         md5(coalesce(cast(doc_id as varchar), '')) as k
+         md5(coalesce(cast(doc_id as varchar), '') || ':' || md5(coalesce(text, ''))) as k
   from documents),
 totals as (select source, sum(size)::bigint as source_size from sized group by source),
 named as (

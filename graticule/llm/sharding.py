@@ -27,6 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graticule.llm.common import repeated
 from graticule.llm.textkernel import mix64
 
 #: Buckets that split a shard while slots are numbered: each is numbered by itself, then moved by the buckets before it.
@@ -144,11 +145,7 @@ def with_slots(rows: DataFrame, shard: str, slot: str = "slot") -> DataFrame:
     numbered = runs.withColumn("_upto", F.sum("_many").over(inside))
     joined = numbered.join(starts, (F.col(shard) == F.col("_s")) & (F.col("_bucket") == F.col("_b")))
     placed = joined.select(*columns, "_many", (F.col("_start") + F.col("_upto") - F.col("_many")).alias("_first"))
-    up_to = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
-    few = placed.where(F.col("_many") <= RUN).withColumn("_i", up_to(F.col("_many")))
-    parts = placed.where(F.col("_many") > RUN).withColumn("_part", up_to(F.ceil(F.col("_many") / RUN))).repartition(F.xxhash64("_part", "_first"))
-    many = parts.withColumn("_j", up_to(F.least(F.lit(RUN).cast("long"), F.col("_many") - F.col("_part") * RUN))).withColumn("_i", F.col("_part") * RUN + F.col("_j"))
-    both = few.select(*columns, "_first", "_i").unionByName(many.select(*columns, "_first", "_i"))
+    both = repeated(placed, "_many", "_i", RUN)
     return both.select(*columns, (F.col("_first") + F.col("_i")).alias(slot))
 
 

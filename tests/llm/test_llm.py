@@ -658,6 +658,18 @@ def test_mix_edges(edge, none):
     assert {r["taken"] for r in mixing.mix(edge.where("doc_id in (2, 3)")).collect()} == {0}
 
 
+def test_equal_rows_queue_as_runs(spark, monkeypatch):
+    rows = [(None, "same words here", "a")] * 70 + [(i, "w " * (i % 7 + 1), "ab"[i % 2]) for i in range(60)] + [(None, f"other {i}", None) for i in range(20)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    want = sorted(map(tuple, mixing.mix(frame).collect()), key=str)
+    monkeypatch.setattr(mixing, "RUN", 8)
+    got = sorted(map(tuple, mixing.mix(frame).collect()), key=str)
+    assert got == want and len(got) == len(rows)
+    taken = collections.Counter(tuple(r) for r in mixing.take(frame).select("doc_id", "text").collect())
+    assert sum(len(t.split()) * n for (_, t), n in taken.items()) == sum(r[4] for r in got)
+    assert taken[(None, "same words here")] == sum(r[4] for r in got if r[0] is None and r[1] == 3) / 3
+
+
 # 8. licences
 
 
