@@ -69,9 +69,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(docs, keep=["text", "lang", "n_chars", "source"])
-    copies = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0).cast("int")
-    return mixed.where("taken > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), copies))).select(*COLUMNS)
+    return mixing.take(docs.select(*COLUMNS))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
