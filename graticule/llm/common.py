@@ -13,6 +13,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from graticule.llm.textkernel import Block, blocks
 
+#: Bytes of an Arrow batch, about (a longer text is a batch by itself).
+BATCH_BYTES = 4 << 20
 #: A word: a run of anything but space, tab, newline, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -51,6 +53,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Hold Arrow batches to `BATCH_BYTES` in this session, so that a batch of long texts stays small; a lower bound stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = str(spark.conf.get(key, "") or "")
+    if not held.isdigit() or int(held) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text, 0 for null; runs in the JVM without building the words."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -78,6 +88,7 @@ def map_texts(df: DataFrame, fn: Callable[[Block], dict[str, object]], fields: l
     `fn` gets a Block of whole texts and returns for each (name, DDL type) of `fields` an array of its length; a null in
     a kept column stays. One pass over the rows in Arrow batches, without a shuffle.
     """
+    bound_batches(df.sparkSession)
     columns = keep if "text" in keep else [*keep, "text"]
     kept = df.select(*columns)
     schema = T.StructType([*[kept.schema[c] for c in keep], *[T.StructField(n, T._parse_datatype_string(t)) for n, t in fields]])

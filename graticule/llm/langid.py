@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graticule.llm.common import cut, map_texts
+from graticule.llm.common import bound_batches, cut, map_texts
 from graticule.llm.textkernel import Block
 
 #: Training documents of a language, about.
@@ -144,6 +144,7 @@ def held_out(doc_id: Column, folds: int = 3) -> Column:
 
 def sample(docs: DataFrame, max_sample: int) -> DataFrame:
     """(lang, text), the training texts: of equal texts of a language one."""
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))  # a row for each language
     drawn = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 11).cast("double") * F.col("_n") < F.lit(float(max_sample) * 2.0**53)

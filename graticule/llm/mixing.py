@@ -118,11 +118,11 @@ def take(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1
     n = runs.count()
     rows = docs.withColumn("_key", F.col("doc_id").cast("long")).withColumn("_mark", mark)
     meet = rows["_key"].eqNullSafe(F.col("_id")) & (rows["_mark"] == F.col("_m"))
-    single = rows.join(maybe_broadcast(runs.where("_many = 1"), n, 200_000), meet)
+    single = rows.join(maybe_broadcast(runs.where("_many = 1"), n), meet)
     out = single.select(*columns, "_copies")
     equal = runs.where("_many > 1")
     if equal.limit(1).count():  # equal rows: one of them, as often as all of them are taken
-        same = rows.join(maybe_broadcast(equal, n, 200_000), meet).groupBy("_id", "_m", "_copies").agg(F.first(F.struct(*columns)).alias("_row"))
+        same = rows.join(maybe_broadcast(equal, n), meet).groupBy("_id", "_m", "_copies").agg(F.first(F.struct(*columns)).alias("_row"))
         out = out.unionByName(same.select(*[F.col(f"_row.{c}").alias(c) for c in columns], "_copies"))
     return repeated(out, "_copies", "_i", RUN).select(*columns)
 

@@ -45,7 +45,7 @@ COUNTED = 0.4
 #: From so many documents of a gathering on, an n-gram is sent to be counted once for all of them.
 OFTEN = 16
 #: N-grams that a task gathers before it passes them on.
-GATHERED = 2_000_000
+GATHERED = 1_000_000
 #: Rows of a block of the product, about, and n-grams that are multiplied at once.
 BLOCK_ROWS = 512
 CHUNK = 4096

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graticule.llm.common import cut, maybe_broadcast
+from graticule.llm.common import bound_batches, cut, maybe_broadcast
 from graticule.llm.textkernel import BLOCK_BYTES, Block, blocks, slices
 
 CAPACITY = 2048
@@ -42,8 +42,8 @@ SEPARATOR = 0
 VOCABULARY = "word_bpe_49k.json"
 #: Pieces that are packed together, about.
 GROUP = 50_000
-#: Distinct pre-tokens whose ids a worker remembers; beyond that it starts anew.
-MEMORY = 1_500_000
+#: Distinct pre-tokens whose ids a worker remembers; beyond that it forgets the half that it has not met for longest.
+MEMORY = 400_000
 
 # Classes of bytes in texts of ASCII and two-byte Latin letters: 0 blank, 1 letter, 2 digit, 3 mark.
 _CLASS = np.full(256, 3, dtype=np.uint8)
@@ -111,20 +111,28 @@ class Encoder:
         return cls._made[path]
 
     def forget(self) -> None:
-        self.keys = np.zeros(0, np.uint64)
-        self.first = np.zeros(0, np.int64)
-        self.many = np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+        """Start with an empty memory: keys in order, where their ids are and how many, and when each was last met."""
+        self.keys, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+        self.first, self.many, self.met = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.now = 0
+
+    def forget_half(self) -> None:
+        kept = np.sort(np.argsort(self.met, kind="stable")[len(self.met) // 2 :])
+        many = self.many[kept]
+        first = np.r_[0, np.cumsum(many, dtype=np.int64)[:-1]]
+        self.ids = self.ids[np.repeat(self.first[kept] - first, many) + np.arange(int(many.sum()))]
+        self.keys, self.first, self.many, self.met = self.keys[kept], first, many, self.met[kept]
 
     def learn(self, keys: np.ndarray, words: list[str]) -> None:
         """Encode new pre-tokens; keys are sorted and unknown so far."""
         found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        many = np.fromiter((len(x) for x in found), np.int64, len(found))
+        many = np.fromiter((len(x) for x in found), np.int32, len(found))
         flat = np.fromiter((i for x in found for i in x), np.uint32, int(many.sum()))
-        first = len(self.ids) + np.r_[0, np.cumsum(many)[:-1]]
+        first = len(self.ids) + np.r_[0, np.cumsum(many, dtype=np.int64)[:-1]]
         self.ids = np.concatenate([self.ids, flat])
         place = np.searchsorted(self.keys, keys)
-        self.keys, self.first, self.many = np.insert(self.keys, place, keys), np.insert(self.first, place, first), np.insert(self.many, place, many)
+        self.first, self.many, self.met = np.insert(self.first, place, first), np.insert(self.many, place, many), np.insert(self.met, place, self.now)
+        self.keys = np.insert(self.keys, place, keys)
 
     def encode(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids one after the other, and where each text's ids begin (one entry more than texts)."""
@@ -141,13 +149,15 @@ class Encoder:
         hashes = low.hashes(starts, ends, np.arange(256, dtype=np.uint8))
         keys, at, which = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.keys) > MEMORY:
-            self.forget()
+            self.forget_half()
+        self.now += 1
         place = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
         new = self.keys[place] != keys if len(self.keys) else np.ones(len(keys), bool)
         if new.any():
             view = low.data
             self.learn(keys[new], [view[a:b].tobytes().decode() for a, b in zip(starts[at[new]], ends[at[new]], strict=True)])
         place = np.searchsorted(self.keys, keys)
+        self.met[place] = self.now
         first, many = self.first[place][which], self.many[place][which]
         own = [block.text(i).decode("utf-8", "replace") for i in np.flatnonzero(~simple)]
         others = iter([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(own, add_special_tokens=False)] if own else [])
@@ -163,6 +173,7 @@ class Encoder:
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, keep: list[str] | None = None) -> DataFrame:
     """doc_id, piece, start, length and ids_crc32 of every piece of every document (kept columns only on first pieces)."""
     keep = keep or []
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep)
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 

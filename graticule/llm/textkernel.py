@@ -14,9 +14,9 @@ import numpy as np
 import pyarrow as pa
 
 #: Text bytes that are worked on at once; the arrays beside take some 60 times as much.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 #: Bytes of a longer text that are hashed at once.
-STRIDE = 1 << 20
+STRIDE = 1 << 19
 
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15

@@ -453,7 +453,7 @@ def test_long_texts_are_tokenised_in_slices(monkeypatch):
         assert encoder.encode(block)[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
-def test_tokens_are_the_tokenizers_own():
+def test_tokens_are_the_tokenizers_own(monkeypatch):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_path(packing.VOCABULARY))
@@ -461,10 +461,12 @@ def test_tokens_are_the_tokenizers_own():
     r = random.Random(1)
     pool = "aZ0 9\t\n!?.é ÉßÿŸ×÷ñ'<|>\x85\xa0ſİ日\x1c_"
     given = ["".join(r.choice(pool) for _ in range(r.randint(0, 60))) for _ in range(300)] + [None, "", "it's we'll", "<|endoftext|>"]
-    for at, block in blocks(pa.array(given)):
-        ids, first = encoder.encode(block)
-        for i in range(block.n):
-            assert ids[first[i] : first[i + 1]].tolist() == tokenizer.encode(given[at + i] or "", add_special_tokens=False).ids
+    for limit, memory in ((1 << 20, 1 << 20), (300, 40)):  # all at once, and in small blocks with a short memory
+        monkeypatch.setattr(packing, "MEMORY", memory)
+        for at, block in blocks(pa.array(given), limit):
+            ids, first = encoder.encode(block)
+            for i in range(block.n):
+                assert ids[first[i] : first[i + 1]].tolist() == tokenizer.encode(given[at + i] or "", add_special_tokens=False).ids
 
 
 # 5. n-gram join
