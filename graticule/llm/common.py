@@ -56,8 +56,8 @@ def cut(df: DataFrame) -> DataFrame:
 def bound_batches(spark: SparkSession) -> None:
     """Hold Arrow batches to `BATCH_BYTES` in this session, so that a batch of long texts stays small; a lower bound stays."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    held = str(spark.conf.get(key, "") or "")
-    if not held.isdigit() or int(held) > BATCH_BYTES:
+    held = spark.conf.get(key)
+    if not held.isdigit() or not 0 < int(held) <= BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
 
 

@@ -10,8 +10,12 @@ sizes are linked. Only blocks of the product that can hold a link are formed:
    documents share don't bring them together. Frequencies are counted over all documents for a fixed part of all
    n-grams (the lowest `COUNTED` by hash), which comes before the rest and holds the first n-grams of nearly every set.
 3. Documents that share one of those n-grams are joined to groups (connected components of stars, not of pairs).
-4. A group is cut into blocks by size class and hash. Each pair of blocks whose sizes allow a link is one task, which
-   multiplies the two blocks of the incidence matrix, a chunk of n-grams at a time, and drops the pairs below the bound.
+4. A group is cut into blocks: a small one is one block; a large one is cut by size class and by the n-gram that a row
+   shares most, so that families stay together. Two blocks of one or of neighbouring size classes are multiplied where one of
+   the first n-grams of step 2 is in both (where such an n-gram is in a good part of a group's blocks, all of them are). So a
+   group that grows as a chain of families costs in proportion to its rows, and one that is a single family its pairs.
+   Each pair of blocks is one task, which multiplies the two blocks of the incidence matrix, a chunk of n-grams at a time,
+   and drops the pairs below the bound.
 5. A task returns a spanning forest of the links it found and the number of links of each row. The components of these
    forests are the result.
 
@@ -20,7 +24,8 @@ Words are hashed to 64 bits, as are n-grams and n-gram sets; texts are read in f
 Edge cases: a text without words (null, empty, blank) has an empty set, is linked with nothing and is its own component;
 a text of fewer words than an n-gram has its whole word sequence as one n-gram; rows without a doc_id are linked by
 their text like all others (exactly, nearly, and as a bridge between others), but don't name a component, so theirs is
-null where no row of it has a doc_id; rows that repeat a doc_id are rows of their own. An empty table gives an empty result. Extra columns are ignored.
+null where no row of it has a doc_id; rows that repeat a doc_id are rows of their own. A very long text is read whole, in
+some 12 bytes of memory a byte. An empty table gives an empty result. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,8 +41,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graticule.llm.common import cut, map_texts, maybe_broadcast
-from graticule.llm.components import components
+from graticule.llm.common import bound_batches, cut, map_texts, maybe_broadcast
+from graticule.llm.components import components, join_back
 from graticule.llm.textkernel import LOWER, Block, blocks, mix64, shingle_hashes
 
 #: Share of all possible n-grams, the lowest by hash, whose frequency is counted and that come first in the order.
@@ -48,6 +53,8 @@ OFTEN = 16
 GATHERED = 1_000_000
 #: Rows of a block of the product, about, and n-grams that are multiplied at once.
 BLOCK_ROWS = 512
+#: An n-gram in more blocks of a group than this, and in more than one in `DENSE` of them, pairs all blocks of the group.
+PAIRED, DENSE = 16, 4
 CHUNK = 4096
 
 U = np.uint64
@@ -146,8 +153,9 @@ def stars(gram: np.ndarray, size: np.ndarray, node: np.ndarray) -> tuple[np.ndar
     return a, b, order[at]
 
 
-def candidates(docs: DataFrame, rule: Rule, bits: int) -> DataFrame:
-    """Edges (a, b) between content keys, by which all sets that may be linked are connected.
+def candidates(docs: DataFrame, rule: Rule, bits: int) -> tuple[DataFrame, DataFrame]:
+    """Edges (a, b) between content keys, by which all sets that may be linked are connected; and the first n-grams of the
+    sets as packed arrays: two sets that may be linked have one in common.
 
     N-grams travel as numbers in packed arrays: from gatherings of documents to buckets of n-grams, which count them;
     back to the gatherings, which choose each document's first n-grams; and to the buckets again, which join the
@@ -156,7 +164,7 @@ def candidates(docs: DataFrame, rule: Rule, bits: int) -> DataFrame:
     packed = ["flush", "bucket", "grams", "docs", "levels", "many", "table"]
     kinds = (pa.int64(), pa.int64(), *[pa.binary()] * 5)
     ddl = "flush long, bucket long, grams binary, docs binary, levels binary, many binary, table binary"
-    starred = ["bucket", "grams", "sizes", "nodes", "a", "b"]
+    starred = ["bucket", "grams", "sizes", "nodes", "a", "b", "first_grams", "first_nodes"]
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 24
@@ -253,23 +261,73 @@ def candidates(docs: DataFrame, rule: Rule, bits: int) -> DataFrame:
         gram, doc = np.r_[gram[chosen], other], np.r_[doc[chosen], other_doc]
         size, node = rule.size_class(n)[doc], nodes[doc]
         a, b, stand = stars(gram, size, node)
+        own = [gram.tobytes(), node.tobytes()]
         gram, size, node = gram[stand], size[stand], node[stand]
-        rows = {k: [k, gram[x].astype(np.uint32).tobytes(), size[x].astype(np.uint8).tobytes(), node[x].tobytes(), b"", b""] for k, x in _split(gram >> U(32))}
+        rows = {k: [k, gram[x].astype(np.uint32).tobytes(), size[x].astype(np.int32).tobytes(), node[x].tobytes(), *[b""] * 4] for k, x in _split(gram >> U(32))}
         to = mix64(a.astype(U)) >> U(64 - bits)
         order = np.argsort(to, kind="stable")
         for k, x in _split(to[order]):
-            rows.setdefault(k, [k, *[b""] * 5])[4:] = [a[order][x].tobytes(), b[order][x].tobytes()]
+            rows.setdefault(k, [k, *[b""] * 7])[4:6] = [a[order][x].tobytes(), b[order][x].tobytes()]
+        if rows:
+            next(iter(rows.values()))[6:] = own
         return pd.DataFrame(list(rows.values()), columns=starred)
 
     def join(frame: pd.DataFrame) -> pd.DataFrame:
-        gram, size, node, a, b = (np.concatenate([np.frombuffer(x, t) for x in frame[c]]) for c, t in (("grams", np.uint32), ("sizes", np.uint8), ("nodes", np.int64), ("a", np.int64), ("b", np.int64)))
+        gram, size, node, a, b = (np.concatenate([np.frombuffer(x, t) for x in frame[c]]) for c, t in (("grams", np.uint32), ("sizes", np.int32), ("nodes", np.int64), ("a", np.int64), ("b", np.int64)))
         more_a, more_b, _ = stars(gram, size.astype(np.int64), node)
         return pd.DataFrame({"a": np.r_[a, more_a], "b": np.r_[b, more_b]}).drop_duplicates()
 
+    bound_batches(docs.sparkSession)
     gathered = docs.select("text").mapInArrow(spread, ddl)
     weighed = gathered.groupBy("bucket").applyInPandas(weigh, ddl)
-    chosen = weighed.groupBy("flush").applyInPandas(choose, "bucket long, grams binary, sizes binary, nodes binary, a binary, b binary")
-    return chosen.groupBy("bucket").applyInPandas(join, "a long, b long")
+    chosen = cut(weighed.groupBy("flush").applyInPandas(choose, "bucket long, grams binary, sizes binary, nodes binary, a binary, b binary, first_grams binary, first_nodes binary"))
+    return chosen.select(*starred[:6]).groupBy("bucket").applyInPandas(join, "a long, b long"), chosen.select(*starred[6:]).where(F.length("first_grams") > 0)
+
+
+def first_ngrams(packed: DataFrame) -> DataFrame:
+    """(gram, node) from the packed arrays of `candidates`."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for grams, nodes in zip(*batch.to_pydict().values(), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(grams, np.int64)), pa.array(np.frombuffer(nodes, np.int64))], ["gram", "node"])
+
+    return packed.mapInArrow(unpack, "gram long, node long")
+
+
+def block_pairs(members: DataFrame, packed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The blocks of large groups as (node, block), and the pairs of blocks to multiply as (root, x, y), x <= y.
+
+    members: (node, root, class) of the groups of more than `BLOCK_ROWS` rows.
+    """
+    held = cut(first_ngrams(packed).join(members, "node").select("root", "class", "node", "gram").distinct())
+    often = held.groupBy("root", "gram").agg(F.countDistinct("node").alias("_shared"))
+    hubs = held.join(often, ["root", "gram"]).groupBy("root", "class", "node").agg(F.max(F.struct("_shared", "gram")).alias("_hub"))
+    hubs = members.join(hubs.select("node", F.col("_hub.gram").alias("hub")), "node", "left").select("root", "class", "node", F.coalesce("hub", F.lit(0)).alias("hub"))
+    families = hubs.groupBy("root", "class", "hub").agg(F.count(F.lit(1)).alias("_rows"))
+    loose = families.where(F.col("_rows") < BLOCK_ROWS // 2).groupBy("root", "class").agg(F.sum("_rows").alias("_loose"))
+    families = families.join(loose, ["root", "class"], "left")
+    alone = F.col("_rows") >= BLOCK_ROWS // 2
+    family = F.when(alone, F.col("hub")).otherwise(F.pmod(F.xxhash64("hub"), F.ceil(F.col("_loose") / BLOCK_ROWS)))
+    parts = F.when(alone, F.ceil(F.col("_rows") / BLOCK_ROWS)).otherwise(F.lit(1))
+    families = families.select("root", "class", "hub", F.xxhash64("class", alone, family).alias("_family"), parts.cast("long").alias("_parts"))
+    blocks = cut(hubs.join(families, ["root", "class", "hub"]).select("root", "class", "node", F.xxhash64("_family", F.pmod(F.xxhash64("node"), F.col("_parts"))).alias("block")))
+
+    whole = blocks.select("root", "class", "block").distinct()
+    cells = held.join(blocks.select("node", "block"), "node").select("root", "gram", "class", "block").distinct()
+    counts = cells.groupBy("root", "gram").agg(F.count(F.lit(1)).alias("_in")).join(whole.groupBy("root").agg(F.count(F.lit(1)).alias("_of")), "root")
+    is_dense = (F.col("_in") > PAIRED) & (F.col("_in") * DENSE > F.col("_of"))
+    counts = cut(counts.where("_in > 1").select("root", "gram", is_dense.alias("_dense")))
+    dense = counts.where("_dense").select("root").distinct()
+
+    def pairs(cells: DataFrame, on: list[str]) -> DataFrame:
+        other = cells.select(*on, F.col("class").alias("_class"), F.col("block").alias("_block"))
+        near = cells.join(other, on).where((F.abs(F.col("class") - F.col("_class")) <= 1) & (F.col("block") < F.col("_block")))
+        return near.select("root", F.col("block").alias("x"), F.col("_block").alias("y"))
+
+    sparse = cells.join(counts.where("not _dense").select("root", "gram"), ["root", "gram"]).join(dense, "root", "left_anti")
+    found = pairs(sparse, ["root", "gram"]).union(pairs(whole.join(dense, "root", "left_semi"), ["root"])).union(whole.select("root", F.col("block").alias("x"), F.col("block").alias("y")))
+    return blocks.select("node", "block"), cut(found.distinct())
 
 
 def overlap(one: list[np.ndarray], two: list[np.ndarray] | None = None) -> np.ndarray:
@@ -382,41 +440,30 @@ def link(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     n = classes.count()
     bits = min(28, max(6, int(n // 4096).bit_length()))
 
-    groups = cut(components(candidates(docs, rule, bits)))
+    edges, packed = candidates(docs, rule, bits)
+    groups = cut(components(edges))
 
     members = groups.join(classes, "node")
     near = F.floor(F.log(F.col("size").cast("double")) / F.lit(float(-np.log(rule.percent / 100 - 1e-9)))).cast("int")
-    members = cut(members.select("node", "root", "pick", "copies", near.alias("class")))
-    whole = members.groupBy(F.col("root").alias("_root")).agg(F.count(F.lit(1)).alias("_all"))
-    parts = members.groupBy(F.col("root").alias("_r"), F.col("class").alias("_c")).agg(F.count(F.lit(1)).alias("_n"))
-    parts = parts.select("_r", "_c", F.ceil(F.col("_n") / BLOCK_ROWS).cast("int").alias("_blocks"))
-    above = parts.select(F.col("_r").alias("_r2"), (F.col("_c") - 1).alias("_c2"), F.col("_blocks").alias("_above"))
-    below = parts.select(F.col("_r").alias("_r3"), (F.col("_c") + 1).alias("_c3"), F.col("_blocks").alias("_below"))
-    parts = parts.join(above, (F.col("_r") == F.col("_r2")) & (F.col("_c") == F.col("_c2")), "left").join(below, (F.col("_r") == F.col("_r3")) & (F.col("_c") == F.col("_c3")), "left")
-    parts = parts.join(whole, F.col("_r") == F.col("_root")).select("_r", "_c", "_blocks", "_above", "_below", "_all")
-    placed = members.join(parts, (F.col("root") == F.col("_r")) & (F.col("class") == F.col("_c")))
-    small = F.col("_all") <= BLOCK_ROWS
-    code = lambda cls, sub: cls.cast("long") * F.lit(1 << 32) + sub  # noqa: E731  a block's number
-    sub = F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("long")
-    mine = F.when(small, F.lit(0).cast("long")).otherwise(code(F.col("class"), sub))
-    none = F.array().cast("array<struct<x:long,y:long>>")
-    up_to = lambda blocks: F.sequence(F.lit(0), blocks - 1)
-    pair = lambda a, b: F.struct(F.least(a, b).alias("x"), F.greatest(a, b).alias("y"))
-    tasks = F.when(small, F.array(pair(F.lit(0).cast("long"), F.lit(0).cast("long")))).otherwise(
-        F.concat(
-            F.transform(up_to(F.col("_blocks")), lambda s: pair(code(F.col("class"), sub), code(F.col("class"), s.cast("long")))),
-            F.when(F.col("_above").isNull(), none).otherwise(F.transform(up_to(F.coalesce("_above", F.lit(1))), lambda s: pair(code(F.col("class"), sub), code(F.col("class") + 1, s.cast("long"))))),
-            F.when(F.col("_below").isNull(), none).otherwise(F.transform(up_to(F.coalesce("_below", F.lit(1))), lambda s: pair(code(F.col("class"), sub), code(F.col("class") - 1, s.cast("long"))))),
-        )
-    )
-    placed = cut(placed.select("node", "root", "pick", "copies", mine.alias("block"), tasks.alias("tasks")))
+    members = members.select("node", "root", "pick", "copies", near.alias("class"))
+    whole = groups.groupBy("root").agg(F.count(F.lit(1)).alias("_n")).select("root", "_n", F.col("_n").alias("_all"))
+    members = cut(join_back(members, whole, "root", groups.count()))
+    one = F.lit(0).cast("long")
+    placed = members.where(F.col("_all") <= BLOCK_ROWS).select("node", "root", "pick", "copies", one.alias("block"), F.array(F.struct(one.alias("x"), one.alias("y"))).alias("tasks"))
+    large = members.where(F.col("_all") > BLOCK_ROWS)
+    if large.limit(1).count():
+        block_of, pairs = block_pairs(large.select("node", "root", "class"), packed)
+        ends = pairs.select("root", F.col("x").alias("block"), "x", "y").union(pairs.where("x <> y").select("root", F.col("y").alias("block"), "x", "y"))
+        ends = ends.groupBy("root", "block").agg(F.collect_list(F.struct("x", "y")).alias("tasks"))  # as many as a block has others to meet
+        placed = placed.unionByName(large.join(block_of, "node").join(ends, ["root", "block"]).select("node", "root", "pick", "copies", "block", "tasks"))
+    placed = cut(placed)
     n_members = placed.count()
 
     wanted = placed.select("node", F.col("pick.doc_id").alias("_id"), F.col("pick.body").alias("_body"), F.col("pick.same").alias("_same"))
     meet = docs["doc_id"].eqNullSafe(F.col("_id")) & (docs["body"] == F.col("_body"))
-    texts = docs.join(maybe_broadcast(wanted.where("_same = 1"), n_members, 200_000), meet).select("node", "text")
+    texts = docs.join(maybe_broadcast(wanted.where("_same = 1"), n_members), meet).select("node", "text")
     if wanted.where("_same > 1").limit(1).count():  # one text of equal rows; a task passes on one of each
-        equal = docs.join(maybe_broadcast(wanted.where("_same > 1"), n_members, 200_000), meet)
+        equal = docs.join(maybe_broadcast(wanted.where("_same > 1"), n_members), meet)
         texts = texts.union(equal.groupBy("node").agg(F.first("text").alias("text")))
 
     def hold(block: Block) -> dict[str, object]:
@@ -426,7 +473,7 @@ def link(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
 
     held = map_texts(texts, hold, [("key", "long"), ("grams", "binary")], ["node"]).where("key = node")
     spread = max(1, n_members // 256)
-    shares = maybe_broadcast(placed.select("node", "root", "copies", "block", "tasks"), n_members, 200_000)
+    shares = maybe_broadcast(placed.select("node", "root", "copies", "block", "tasks"), n_members)
     tasked = held.select("node", "grams").join(shares, "node").select("node", "grams", "root", "copies", "block", F.explode("tasks").alias("t"))
     tasked = tasked.select(F.pmod(F.xxhash64("root", "t.x", "t.y"), F.lit(spread)).alias("task"), "root", F.col("t.x").alias("x"), F.col("t.y").alias("y"), "node", "copies", "block", "grams")
     found = cut(tasked.groupBy("task").applyInPandas(_multiply(rule), "a long, b long, links long"))
@@ -434,8 +481,8 @@ def link(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     joined = components(found.where("links = 0").select("a", "b"))
     links = found.where("links > 0").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("others"))
     rooted = cut(joined.join(classes.select("node", "first"), "node"))
-    lowest = rooted.groupBy("root").agg(F.min("first").alias("component"))
-    named = rooted.join(lowest, "root").select("node", "root", "component")
+    lowest = rooted.groupBy("root").agg(F.min("first").alias("component"), F.count(F.lit(1)).alias("_n"))
+    named = join_back(rooted, lowest, "root", rooted.count()).select("node", "root", "component")
     labels = classes.join(named, "node", "left").join(links, "node", "left")
     labels = cut(labels.select(F.col("node").alias("_node"), F.coalesce("root", "node").alias("root"), F.coalesce("component", "first").alias("component"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")))
     return described, labels

@@ -522,6 +522,44 @@ def test_join_of_families_and_shared_passages(spark, monkeypatch):
     assert got == brute_join(texts, 4, 85)
 
 
+def test_a_chain_of_families_costs_in_proportion(spark, monkeypatch):
+    """Families that share a passage with the next one only: one group, of which few pairs of blocks are multiplied."""
+    r = random.Random(9)
+    make = lambda n: [f"w{r.randrange(10**7)}" for _ in range(n)]
+    rows, families, each = [], 40, 12
+    seam = make(14)
+    for _ in range(families):
+        body, after = make(40), make(14)
+        for k in range(each):
+            copy = [*(seam if k % 2 else make(14)), *body, *(after if k % 3 else make(14))]
+            copy[r.randrange(len(copy))] = f"e{r.randrange(10**7)}"
+            rows.append(" ".join(copy))
+        seam = after
+    texts = dict(enumerate(rows))
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 8)
+    made = []
+    pairs = ngram_join.block_pairs
+    monkeypatch.setattr(ngram_join, "block_pairs", lambda members, packed: made.append(pairs(members, packed)) or made[-1])
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"], x["n_links"]) for x in ngram_join.join(frame).collect()}
+    assert got == brute_join(texts, 4, 85)
+    blocks_of, found = made[0]
+    n_blocks = blocks_of.select("block").distinct().count()
+    assert n_blocks >= 30 and found.count() < 12 * n_blocks < n_blocks * n_blocks / 2
+
+
+def test_size_classes_beyond_a_byte(spark):
+    r = random.Random(11)
+    rows = {}
+    for i, n in enumerate((1000, 5000, 9000)):
+        base = [f"w{i}_{k}" for k in range(n)]
+        rows[10 * i], rows[10 * i + 1] = " ".join(base), " ".join([*base, "more"])
+        base[r.randrange(n)] = "other"
+        rows[10 * i + 2] = " ".join(base)
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"], x["n_links"]) for x in ngram_join.join(spark.createDataFrame(list(rows.items()), "doc_id long, text string"), ngram_join.Rule(4, 97)).collect()}
+    assert got == brute_join(rows, 4, 97) and all(x[2] for x in got.values())
+
+
 def test_overlap_is_the_product(monkeypatch):
     rng = np.random.default_rng(0)
     monkeypatch.setattr(ngram_join, "CHUNK", 7)
@@ -562,6 +600,13 @@ def test_components_of_a_long_path(spark):
     assert all(got[i] == 0 for i in range(201)) and got[1001] == got[1000] == 1000
 
 
+def test_components_of_a_large_star(spark, monkeypatch):
+    monkeypatch.setattr(components, "HOT", 5)
+    edges = [(0, i) for i in range(1, 300)] + [(i, i + 1000) for i in range(1, 50)] + [(5000 + i, 9000) for i in range(200)]
+    got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert all(got[b] == got[a] for a, b in edges) and got[299] == got[1049] == 0 and got[9000] == 5000
+
+
 # 6. token counts
 
 
