@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, fields, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graticule.operators import context, retrieval, selection
+from graticule.operators.index import CorpusIndex
 
 
 @dataclass(frozen=True)
@@ -26,6 +28,7 @@ class SearchConfig:
     mmr_use_embeddings: bool = True
     expand_neighbors: int = 1
     expand_max_chars: int = 4200
+    expand_include_images: bool = False
     summary_enabled: bool = True
     summary_k: int = 12
     summary_max_pages: int = 20
@@ -61,23 +64,8 @@ def heading(path: Column) -> Column:
     return F.array_join(path, " ")
 
 
-def search(
-    queries: DataFrame,
-    chunks: DataFrame,
-    config: SearchConfig = SearchConfig(),
-    vectors: DataFrame | None = None,
-    query_vectors: DataFrame | None = None,
-    summaries: DataFrame | None = None,
-    exclusions: DataFrame | None = None,
-) -> DataFrame:
-    """Results of a batch of queries: qid, rank, chunk_id, doc_id, page_id, granularity, seq, heading_path, text, images, score
-    and expanded.
-
-    queries: (qid, text). chunks: (chunk_id, doc_id, page_id, granularity, seq, heading_path, text, images). vectors:
-    (chunk_id, vector) and query_vectors: (qid, vector) for the modes that need them. summaries: (chunk_id, doc_id,
-    page_id, text), for routing. exclusions: (doc_id). Routing restricts hard: a query with routed pages finds nothing
-    outside them. Exclusions follow selection, so fewer than k results may be left.
-    """
+def _stages(queries: DataFrame, chunks: DataFrame, config: SearchConfig, vectors: DataFrame | None, query_vectors: DataFrame | None, summaries: DataFrame | None, exclusions: DataFrame | None, index: CorpusIndex | None, allowed: DataFrame | None) -> dict[str, DataFrame | None]:
+    """The plan of a search by stage: routes, candidates with their factors, what selection picked, the results."""
     if config.mode not in ("bm25", "embedding", "hybrid"):
         raise ValueError(f"unknown mode {config.mode}")
     if config.mode != "bm25" and (vectors is None or query_vectors is None):
@@ -86,15 +74,13 @@ def search(
     routes = retrieval.routed_pages(queries, summaries, config.summary_k, config.summary_max_pages, config.k) if config.summary_enabled and summaries is not None else None
 
     def lexical(n: int) -> DataFrame:
-        if routes is None:
-            return retrieval.bm25(queries, chunks.select("chunk_id", "text"), n)
-        return retrieval.routed_bm25(queries, chunks, routes, n)
+        return retrieval.bm25(queries, index if index is not None else chunks, n, allowed, routes)
 
     def semantic(n: int) -> DataFrame:
+        held = vectors if allowed is None else vectors.join(allowed.select("chunk_id").distinct(), "chunk_id", "left_semi")
         if routes is None:
-            return retrieval.vector_rank(query_vectors, vectors, n)
-        placed = vectors.join(chunks.select("chunk_id", "doc_id", "page_id"), "chunk_id")
-        return retrieval.vector_rank(query_vectors, placed, n, routes=routes)
+            return retrieval.vector_rank(query_vectors, held, n)
+        return retrieval.vector_rank(query_vectors, held.join(chunks.select("chunk_id", "doc_id", "page_id"), "chunk_id"), n, routes=routes)
 
     if config.mode == "bm25":
         ranked = lexical(limit)
@@ -105,13 +91,18 @@ def search(
         ranked = retrieval.rrf(lexical(first), semantic(second), config.rrf_k, config.bm25_weight, config.embedding_weight)
 
     rows = ranked.join(chunks, "chunk_id").join(queries.withColumnRenamed("text", "query"), "qid")
-    factors = [
-        retrieval.heading_factor(F.col("query"), heading(F.col("heading_path")), config.heading_boost),
-        retrieval.granularity_factor(F.col("granularity")),
-        retrieval.priority_factor(F.col("doc_id"), list(config.doc_priority), config.doc_priority_boost),
-    ]
-    scored = retrieval.adjusted(rows, factors).drop("query")
+    factors = {
+        "heading_factor": retrieval.heading_factor(F.col("query"), heading(F.col("heading_path")), config.heading_boost),
+        "granularity_factor": retrieval.granularity_factor(F.col("granularity")),
+        "priority_factor": retrieval.priority_factor(F.col("doc_id"), list(config.doc_priority), config.doc_priority_boost),
+    }
+    explained = rows.withColumn("base_score", F.col("score"))
+    for name, factor in factors.items():
+        explained = explained.withColumn(name, factor)
+    candidates = retrieval.adjusted(explained, [F.col(name) for name in factors]).drop("query")
+    scored = candidates.drop("base_score", *factors)
     wanted = context.oversample(min(max(config.k, 1), 25)) if exclusions is not None else config.k
+    picked = None
     if config.use_mmr():
         held = vectors if vectors is not None else chunks.select("chunk_id", F.lit(None).cast("array<float>").alias("vector"))
         picked = selection.mmr(scored.join(held, "chunk_id", "left"), wanted, config.mmr_lambda, config.mmr_candidates, config.max_per_page, config.max_per_doc, config.mmr_use_embeddings and vectors is not None)
@@ -121,4 +112,76 @@ def search(
     if exclusions is not None:
         chosen = context.excluded(chosen, exclusions, config.k)
     columns = ["qid", "rank", "chunk_id", "doc_id", "page_id", "granularity", "seq", "heading_path", "text", "images", "score"]
-    return context.expand(chosen.select(*columns), chunks, config.expand_neighbors, config.expand_max_chars)
+    results = context.expand(chosen.select(*columns), chunks, config.expand_neighbors, config.expand_max_chars)
+    if config.expand_include_images:
+        results = results.withColumn("images", F.col("expanded_images"))
+    return {"routes": routes, "candidates": candidates, "mmr": picked, "results": results.drop("expanded_images")}
+
+
+def search(
+    queries: DataFrame,
+    chunks: DataFrame,
+    config: SearchConfig = SearchConfig(),
+    vectors: DataFrame | None = None,
+    query_vectors: DataFrame | None = None,
+    summaries: DataFrame | None = None,
+    exclusions: DataFrame | None = None,
+    index: CorpusIndex | None = None,
+    allowed: DataFrame | None = None,
+) -> DataFrame:
+    """Results of a batch of queries: qid, rank, chunk_id, doc_id, page_id, granularity, seq, heading_path, text, images, score
+    and expanded.
+
+    queries: (qid, text). chunks: (chunk_id, doc_id, page_id, granularity, seq, heading_path, text, images). vectors:
+    (chunk_id, vector) and query_vectors: (qid, vector) for the modes that need them. summaries: (chunk_id, doc_id,
+    page_id, text), for routing. exclusions: (doc_id). index: the stored index of the chunks, whose postings are then read in
+    place of the texts. allowed: (chunk_id), what may be found at all. Routing restricts hard: a query with routed pages finds
+    nothing outside them. Exclusions follow selection, so fewer than k results may be left.
+    """
+    return _stages(queries, chunks, config, vectors, query_vectors, summaries, exclusions, index, allowed)["results"]
+
+
+def explain(
+    queries: DataFrame,
+    chunks: DataFrame,
+    config: SearchConfig = SearchConfig(),
+    vectors: DataFrame | None = None,
+    query_vectors: DataFrame | None = None,
+    summaries: DataFrame | None = None,
+    exclusions: DataFrame | None = None,
+    index: CorpusIndex | None = None,
+    allowed: DataFrame | None = None,
+    most: int = 50,
+) -> dict[str, DataFrame]:
+    """How a search came to its results: `settings` (name, value), `routes`, the best `candidates` with each factor of their
+    score, the `mmr` trace in selection order, and what was `selected` with the sizes of what is returned."""
+    stages = _stages(queries, chunks, config, vectors, query_vectors, summaries, exclusions, index, allowed)
+    spark = queries.sparkSession
+    shown = ["qid", "rank", "chunk_id", "doc_id", "page_id", "granularity", "heading_path", "base_score", "heading_factor", "granularity_factor", "priority_factor", "score"]
+    out = {"settings": spark.createDataFrame([(f.name, str(getattr(config, f.name))) for f in fields(config)], "name string, value string")}
+    out["candidates"] = stages["candidates"].where(F.col("rank") <= most).select(*shown)
+    if stages["routes"] is not None:
+        out["routes"] = stages["routes"]
+    if stages["mmr"] is not None:
+        out["mmr"] = stages["mmr"]
+    sizes = stages["results"].select("qid", F.col("rank").alias("place"), "chunk_id", F.col("score").alias("returned_score"), F.length("expanded").alias("text_chars"), F.size("images").alias("images_count"))
+    out["selected"] = sizes.join(stages["candidates"].select(*[c for c in shown if c != "rank"]), ["qid", "chunk_id"], "left")
+    return out
+
+
+def passes(run: Callable[[DataFrame, int], DataFrame], queries: DataFrame, requests: list[DataFrame], k: int = 8) -> DataFrame:
+    """Results of a search and of the further searches that replies asked for, one after the other, a chunk once.
+
+    `run` searches (qid, text) for a number of results. requests: one frame for each further pass, (qid, request) with the
+    struct of `context.context_request`. A pass fetches as many as filters may drop, keeps what the request names, and is cut
+    to the request's k (1 to 25).
+    """
+    found = [run(queries, k)]
+    for asked in requests:
+        asked = asked.where("request is not null").select("qid", F.col("request.query").alias("text"), F.greatest(F.lit(1), F.least(F.lit(25), "request.k")).alias("_k"), F.col("request.doc_ids").alias("_docs"), F.col("request.page_ids").alias("_pages"))
+        more = run(asked.select("qid", "text"), context.oversample(25)).join(asked.drop("text"), "qid")
+        named = lambda column, names: F.col(names).isNull() | (F.size(names) == 0) | F.array_contains(names, F.col(column).cast("string"))
+        kept = more.where(named("doc_id", "_docs") & named("page_id", "_pages"))
+        order = Window.partitionBy("qid").orderBy("rank")
+        found.append(kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("_k")).drop("_k", "_docs", "_pages"))
+    return retrieval.multi_pass_merge(found)

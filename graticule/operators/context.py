@@ -10,35 +10,39 @@ from graticule.functions.text import strip
 from graticule.operators.index import small
 
 
+#: What names a run of neighbouring chunks: page ids are unique within a doc only.
+PLACE = ["doc_id", "page_id", "granularity"]
+
+
 def expand_one(results: DataFrame, chunks: DataFrame, max_chars: int = 4200) -> DataFrame:
     """Results with the chunk before and after (same page and granularity) where they fit, by two joins on seq.
 
     The centre comes first, then the left neighbour, then the right; each costs its length and two characters. A centre
     over the budget is cut and stands alone.
     """
-    at = ["page_id", "granularity"]
-    side = lambda step, name: chunks.select(*at, (F.col("seq") + step).alias("seq"), F.col("text").alias(name))
-    both = results.join(side(1, "_left"), [*at, "seq"], "left").join(side(-1, "_right"), [*at, "seq"], "left")
-    if max_chars <= 0:
-        return _joined(both, F.col("_left"), F.col("text"), F.col("_right"))
-    room = max_chars - F.length("text")
+    image_of = F.col("images") if "images" in chunks.columns else F.array().cast("array<string>")
+    side = lambda step, name: chunks.select(*PLACE, (F.col("seq") + step).alias("seq"), F.col("text").alias(name), image_of.alias(f"{name}_images"))
+    both = results.join(side(1, "_left"), [*PLACE, "seq"], "left").join(side(-1, "_right"), [*PLACE, "seq"], "left")
+    room = F.lit(max_chars) - F.length("text")
     cost = lambda name: F.length(name) + 2
-    left = F.when(F.col("_left").isNotNull() & (cost("_left") <= room), F.col("_left"))
-    after = room - F.when(left.isNotNull(), cost("_left")).otherwise(F.lit(0))
-    right = F.when(F.col("_right").isNotNull() & (cost("_right") <= after), F.col("_right"))
-    whole = _joined(both, left, F.col("text"), right)
-    return whole.withColumn("expanded", F.when(room <= 0, F.substring("text", 1, max_chars)).otherwise(F.col("expanded")))
-
-
-def _joined(rows: DataFrame, *parts: Column) -> DataFrame:
-    kept = F.filter(F.transform(F.array(*parts), lambda x: strip(F.coalesce(x, F.lit("")))), lambda x: x != "")
-    return rows.withColumn("expanded", F.array_join(kept, "\n\n")).drop("_left", "_right")
-
-
-def walk(centre: int, own: str, near: dict[int, str], reach: int, max_chars: int) -> str:
-    """Text around a centre: neighbours alternate left and right, one that doesn't fit is skipped and the walk goes on."""
+    fits = lambda name, room: F.col(name).isNotNull() & ((cost(name) <= room) if max_chars > 0 else F.lit(True))
+    has_left = fits("_left", room)
+    has_right = fits("_right", room - F.when(has_left, cost("_left")).otherwise(F.lit(0)))
+    kept = F.filter(F.transform(F.array(F.when(has_left, F.col("_left")), F.col("text"), F.when(has_right, F.col("_right"))), lambda x: strip(F.coalesce(x, F.lit("")))), lambda x: x != "")
+    joined = F.array_join(kept, "\n\n")
+    own = F.col("images") if "images" in results.columns else F.array().cast("array<string>")
+    seen = F.concat(*[F.coalesce(x, F.array().cast("array<string>")) for x in (F.when(has_left, F.col("_left_images")), own, F.when(has_right, F.col("_right_images")))])
+    alone = (room <= 0) if max_chars > 0 else F.lit(False)
+    whole = both.withColumn("expanded", F.when(alone, F.substring("text", 1, max_chars)).otherwise(joined) if max_chars > 0 else joined)
+    whole = whole.withColumn("expanded_images", F.array_distinct(F.when(alone, F.coalesce(own, F.array().cast("array<string>"))).otherwise(seen)))
+    return whole.drop("_left", "_right", "_left_images", "_right_images")
+
+
+def walk(centre: int, own: str, near: dict[int, str], reach: int, max_chars: int) -> tuple[str, list[int]]:
+    """Text around a centre, and the places it is from: neighbours alternate left and right, one that doesn't fit is
+    skipped and the walk goes on."""
     if max_chars > 0 and len(own) >= max_chars:
-        return own[:max_chars]
+        return own[:max_chars], [centre]
     wanted = {s: t for s, t in near.items() if abs(s - centre) <= reach and s != centre}
     kept, room = {centre: own}, max_chars - len(own)
     for step in range(1, reach + 1):
@@ -46,28 +50,46 @@ def walk(centre: int, own: str, near: dict[int, str], reach: int, max_chars: int
             if s in wanted and (max_chars <= 0 or len(wanted[s]) + 2 <= room):
                 kept[s] = wanted[s]
                 room -= len(wanted[s]) + 2
-    return "\n\n".join(t.strip() for _, t in sorted(kept.items()) if t.strip())
+    return "\n\n".join(t.strip() for _, t in sorted(kept.items()) if t.strip()), sorted(kept)
 
 
 def expand(results: DataFrame, chunks: DataFrame, neighbors: int = 1, max_chars: int = 4200) -> DataFrame:
-    """Results with up to `neighbors` chunks on each side of the same page and granularity, within `max_chars`.
+    """Results with up to `neighbors` chunks on each side of the same doc, page and granularity, within `max_chars`: the text
+    as `expanded`, and the images of its chunks, each once, as `expanded_images`.
 
     Neighbours are found by a band join on seq; a result has at most 2 * neighbors of them, whatever the page's size.
     """
+    none = F.array().cast("array<string>")
+    image_of = lambda rows: F.coalesce("images", none) if "images" in rows.columns else none
     if neighbors <= 0:
-        return results.withColumn("expanded", F.col("text"))
+        return results.withColumn("expanded", F.col("text")).withColumn("expanded_images", image_of(results))
     if neighbors == 1:
         return expand_one(results, chunks, max_chars)
     shifts = F.array(*[F.lit(s) for s in range(-neighbors, neighbors + 1) if s])
-    wanted = results.select("qid", "chunk_id", "page_id", "granularity", F.explode(F.transform(shifts, lambda s: F.col("seq") + s)).alias("seq"))
-    near = wanted.join(chunks.select("page_id", "granularity", "seq", "text"), ["page_id", "granularity", "seq"])
-    held = near.groupBy("qid", "chunk_id").agg(F.collect_list(F.struct("seq", "text")).alias("near"))
-
-    @F.pandas_udf("string")
-    def pack(seq: pd.Series, text: pd.Series, around: pd.Series) -> pd.Series:
-        return pd.Series([walk(s, t, {n["seq"]: n["text"] for n in (a if a is not None else [])}, neighbors, max_chars) for s, t, a in zip(seq, text, around, strict=True)])
-
-    return results.join(held, ["qid", "chunk_id"], "left").withColumn("expanded", pack("seq", "text", "near")).drop("near")
+    wanted = results.select("qid", "chunk_id", *PLACE, F.explode(F.transform(shifts, lambda s: F.col("seq") + s)).alias("seq"))
+    near = wanted.join(chunks.select(*PLACE, "seq", "text", image_of(chunks).alias("images")), [*PLACE, "seq"])
+    held = near.groupBy("qid", "chunk_id").agg(F.collect_list(F.struct("seq", "text", "images")).alias("near"))
+
+    @F.pandas_udf("struct<expanded:string,expanded_images:array<string>>")
+    def pack(seq: pd.Series, text: pd.Series, images: pd.Series, around: pd.Series) -> pd.DataFrame:
+        texts, urls = [], []
+        for s, t, own, a in zip(seq, text, images, around, strict=True):
+            near = {n["seq"]: n for n in (a if a is not None else [])}
+            whole, places = walk(s, t, {k: n["text"] for k, n in near.items()}, neighbors, max_chars)
+            texts.append(whole)
+            urls.append(list(dict.fromkeys(u for p in places for u in (own if p == s else near[p]["images"]))))
+        return pd.DataFrame({"expanded": texts, "expanded_images": urls})
+
+    packed = results.join(held, ["qid", "chunk_id"], "left").withColumn("_p", pack("seq", F.coalesce("text", F.lit("")), image_of(results), "near"))
+    return packed.withColumn("expanded", F.col("_p.expanded")).withColumn("expanded_images", F.col("_p.expanded_images")).drop("near", "_p")
+
+
+def requested(results: DataFrame, k: int, doc_ids: list[str] | None = None, page_ids: list[str] | None = None) -> DataFrame:
+    """The first k results of the docs and pages that a reply asked for (an empty list asks for nothing in particular)."""
+    for column, names in (("doc_id", doc_ids), ("page_id", page_ids)):
+        if names:
+            results = results.where(F.col(column).cast("string").isin([str(n) for n in names]))
+    return results.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("rank"))).where(F.col("rank") <= k)
 
 
 def citations(results: DataFrame, version: str, most: int = 8) -> DataFrame:

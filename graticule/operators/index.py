@@ -11,6 +11,8 @@ from graticule.functions.text import token_count, tokens
 
 #: Rows up to which a measured frame is broadcast; beyond that the join is a shuffle join.
 BROADCAST_ROWS = 200_000
+#: Terms up to which a stored index is read by a filter on the terms.
+PUSHED_TERMS = 2_000
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -34,13 +36,13 @@ def corpus_stats(chunks: DataFrame, key: str = "chunk_id", text: str = "text") -
 def postings(chunks: DataFrame, key: str = "chunk_id", text: str = "text", terms: DataFrame | None = None) -> DataFrame:
     """(key, term, tf, length). With `terms`, only those terms' postings.
 
-    The rows are dealt by the chunk, so that later work on a chunk's postings needs no exchange; terms that are not wanted
-    are dropped before anything is counted. `terms` may come with a broadcast hint.
+    Terms that are not wanted are dropped, and a chunk's occurrences counted, in the task that reads the chunk; what is
+    exchanged are postings. `terms` may come with a broadcast hint.
     """
-    dealt = chunks.select(key, tokens(F.col(text)).alias("_tokens")).repartition(key)
-    each = dealt.select(key, F.size("_tokens").cast("long").alias("length"), F.explode("_tokens").alias("term"))
+    found = chunks.select(key, tokens(F.col(text)).alias("_tokens"))
+    each = found.select(key, F.size("_tokens").cast("long").alias("length"), F.explode("_tokens").alias("term"))
     if terms is not None:
-        each = each.join(terms.select("term"), "term", "left_semi")
+        each = each.join(small(terms.select("term")), "term", "left_semi")
     return each.groupBy(key, "term", "length").agg(F.count(F.lit(1)).alias("tf")).select(key, "term", "tf", "length")
 
 
@@ -76,6 +78,13 @@ class CorpusIndex:
         posted = postings(chunks)
         return CorpusIndex(chunks, posted, document_frequency(posted), corpus_stats(chunks), vectors)
 
+    def postings_of(self, terms: DataFrame) -> DataFrame:
+        """Postings of these terms. Stored postings lie in order of their terms, so a few terms are read by their place."""
+        wanted = terms.limit(PUSHED_TERMS + 1).collect()  # bounded by the limit
+        if len(wanted) <= PUSHED_TERMS:
+            return self.postings.where(F.col("term").isin([r["term"] for r in wanted]))
+        return self.postings.join(small(terms), "term", "left_semi")
+
     def tables(self) -> dict[str, DataFrame]:
         named = {"chunks": self.chunks, "postings": self.postings, "terms": self.terms, "meta": self.stats}
         return named | ({"embeddings": self.vectors} if self.vectors is not None else {})
@@ -83,7 +92,8 @@ class CorpusIndex:
     def save(self, path: str) -> None:
         """Write every table under a folder, replacing what is there."""
         for name, frame in self.tables().items():
-            frame.write.mode("overwrite").parquet(f"{path}/{name}")
+            ordered = frame.repartitionByRange("term").sortWithinPartitions("term") if name == "postings" else frame
+            ordered.write.mode("overwrite").parquet(f"{path}/{name}")
 
     @staticmethod
     def load(spark: SparkSession, path: str, embeddings: bool = False) -> CorpusIndex:

@@ -14,8 +14,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graticule.functions.text import STOPWORDS, tokens
-from graticule.operators.index import BROADCAST_ROWS, corpus_stats, document_frequency, idf, postings
+from graticule.operators import scoring
+from graticule.operators.index import BROADCAST_ROWS, CorpusIndex, corpus_stats, document_frequency, idf, postings
 
+#: Words of a batch, and (query, page) pairs of its routes, up to which the batch is sent to every task; beyond that, joins.
+BATCH_WORDS = 500_000
 #: Vectors in a block of candidates and in a block of queries.
 CANDIDATES, QUERIES = 4096, 1024
 
@@ -34,32 +37,78 @@ def query_terms(queries: DataFrame, text: str = "text") -> DataFrame:
     return queries.select("qid", F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"))
 
 
-def bm25_scores(queries: DataFrame, chunks: DataFrame, allowed: DataFrame | None = None, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(qid, chunk_id, score) of every chunk that shares a term with a query.
+def page_mark() -> Column:
+    """A number for a page within its doc."""
+    return F.xxhash64(F.length(F.col("doc_id").cast("string")), F.col("doc_id").cast("string"), F.col("page_id").cast("string"))
 
-    Statistics are those of all chunks, also where `allowed` (chunk_id) restricts what may be found. Postings of query
-    terms are dealt by chunk once; scores of a chunk are summed where its postings are.
+
+def bm25_scores(queries: DataFrame, posted: DataFrame, df: DataFrame, stats: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """(qid, chunk_id, score) of every chunk that shares a term with a query, from postings (chunk_id, term, tf, length).
+
+    The way of stored indexes, and of batches too large to be sent to every task.
     """
     wanted = query_terms(queries)
-    terms = wanted.select("term").distinct()
-    few = terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS  # measured on the queries alone
-    hint = F.broadcast if few else (lambda frame: frame)
-    found = postings(chunks, terms=hint(terms))
-    stats = corpus_stats(chunks).select("n_chunks", F.greatest("avgdl", F.lit(1e-9)).alias("avgdl"))
-    weights = document_frequency(found).crossJoin(F.broadcast(stats)).select("term", idf(F.col("n_chunks"), F.col("df")).alias("idf"), "avgdl")  # stats: one row
-    if allowed is not None:
-        found = found.join(allowed.select("chunk_id").distinct(), "chunk_id", "left_semi")
-    by_term = wanted.join(weights, "term").groupBy("term").agg(F.first("idf").alias("idf"), F.first("avgdl").alias("avgdl"), F.collect_list("qid").alias("qids"))
-    matched = found.join(hint(by_term), "term")  # a row for each of those terms at most
+    weights = df.join(wanted.select("term").distinct(), "term", "left_semi").crossJoin(F.broadcast(stats.select("n_chunks", F.greatest("avgdl", F.lit(1e-9)).alias("avgdl"))))  # stats: one row
+    by_term = wanted.join(weights.select("term", idf(F.col("n_chunks"), F.col("df")).alias("idf"), "avgdl"), "term")
+    few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS  # measured on the queries alone
+    matched = posted.join(F.broadcast(by_term) if few else by_term, "term")
     saturation = F.col("tf") + k1 * (1 - b + b * F.greatest("length", F.lit(1)) / F.col("avgdl"))
     part = F.col("idf") * F.col("tf") * (k1 + 1) / saturation
-    each = matched.select("chunk_id", part.alias("part"), F.explode("qids").alias("qid"))
-    return each.groupBy("chunk_id", "qid").agg(F.sum("part").alias("score")).select("qid", "chunk_id", "score")
+    return matched.groupBy("chunk_id", "qid").agg(F.sum(part).alias("score")).select("qid", "chunk_id", "score")
+
+
+def _batch(queries: DataFrame) -> scoring.Batch | None:
+    """The batch as arrays, if it is small enough to be sent to every task."""
+    asked = queries.select("qid", F.lower(F.coalesce("text", F.lit(""))).alias("text"))
+    words = asked.agg(F.sum(F.size(tokens(F.col("text"))) + 1)).first()[0] or 0
+    if words > BATCH_WORDS:
+        return None
+    rows = asked.orderBy("qid").collect()  # bounded by the words just counted
+    return scoring.Batch.of([r["qid"] for r in rows], [r["text"] for r in rows])
 
 
-def bm25(queries: DataFrame, chunks: DataFrame, k: int = 8, allowed: DataFrame | None = None) -> DataFrame:
-    """The k best chunks of each query by BM25."""
-    return top_k(bm25_scores(queries, chunks, allowed), k)
+def restricted(scored: DataFrame, chunks: DataFrame, routes: DataFrame) -> DataFrame:
+    """Scores within each query's routed pages, all of them for queries that have none."""
+    placed = scored.join(chunks.select("chunk_id", "doc_id", "page_id"), "chunk_id")
+    inside = placed.join(routes, ["qid", "doc_id", "page_id"], "left_semi")
+    free = placed.join(routes.select("qid").distinct(), "qid", "left_anti")
+    return inside.unionByName(free).select("qid", "chunk_id", "score")
+
+
+def bm25(queries: DataFrame, chunks: DataFrame | CorpusIndex, k: int = 8, allowed: DataFrame | None = None, routes: DataFrame | None = None, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """The k best chunks of each query by BM25.
+
+    chunks: (chunk_id, text), with routes also doc_id and page_id; or a stored index, of which the query terms' postings are
+    read. Statistics are those of all chunks, also where `allowed` (chunk_id) restricts what may be found, or `routes`
+    (qid, doc_id, page_id) what a query that has routes may find.
+    """
+    indexed = isinstance(chunks, CorpusIndex)
+    batch = None if indexed else _batch(queries)
+    if batch is not None and routes is not None:
+        few = routes.limit(BATCH_WORDS + 1).count() <= BATCH_WORDS
+        batch = batch if few else None
+    if batch is None:
+        if indexed:
+            posted, df, stats, rows = chunks.postings_of(query_terms(queries).select("term").distinct()), chunks.terms, chunks.stats, chunks.chunks
+        else:
+            posted, rows, stats = postings(chunks, terms=query_terms(queries).select("term").distinct()), chunks, corpus_stats(chunks)
+            df = document_frequency(posted)
+        if allowed is not None:
+            posted = posted.join(allowed.select("chunk_id").distinct(), "chunk_id", "left_semi")
+        scored = bm25_scores(queries, posted, df, stats, k1, b)
+        return top_k(restricted(scored, rows, routes) if routes is not None else scored, k)
+    n, total, df = scoring.frequencies(chunks, batch)
+    weights = np.log((n - df + 0.5) / (df + 0.5) + 1.0)
+    rows = chunks if allowed is None else chunks.join(allowed.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    pages = None
+    if routes is not None:
+        place = {q: i for i, q in enumerate(batch.qids)}
+        pages = {}
+        for r in routes.select("qid", page_mark().alias("page")).collect():  # bounded by the count above
+            if r["qid"] in place:
+                pages.setdefault(place[r["qid"]], []).append(r["page"])
+        rows = rows.withColumn("_page", page_mark())
+    return top_k(scoring.score_chunks(rows, batch, weights, scoring.mean_length(n, total), k, k1, b, pages), k)
 
 
 def vector_rank(queries: DataFrame, vectors: DataFrame, k: int, leave_out_self: bool = False, routes: DataFrame | None = None) -> DataFrame:
@@ -102,11 +151,8 @@ def vector_rank(queries: DataFrame, vectors: DataFrame, k: int, leave_out_self:
                     for row, pages in zip(score, (r["pages"] for r in q_rows), strict=True):
                         if pages is not None:
                             row[~np.isin(code, [place[p] for p in pages if p in place])] = -np.inf
-                order = np.lexsort((np.broadcast_to(cid, score.shape), -np.round(score, 9)), axis=1)[:, :k]
-                rows = np.repeat(np.arange(len(qid)), order.shape[1])
-                flat = order.ravel()
-                keep = score[rows, flat] > -np.inf
-                yield pd.DataFrame({"qid": qid[rows][keep], "chunk_id": cid[flat][keep], "score": score[rows, flat][keep]})
+                column, row = scoring.best(score.T, cid, k)
+                yield pd.DataFrame({"qid": qid[row], "chunk_id": cid[column], "score": score[row, column]})
 
     return top_k(tiles.mapInPandas(product, "qid long, chunk_id long, score double"), k)
 
@@ -162,12 +208,9 @@ def routed_pages(queries: DataFrame, summaries: DataFrame, k: int = 12, max_page
     return paged.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= max_pages).select("qid", "doc_id", "page_id")
 
 
-def routed_bm25(queries: DataFrame, chunks: DataFrame, routes: DataFrame, k: int) -> DataFrame:
+def routed_bm25(queries: DataFrame, chunks: DataFrame | CorpusIndex, routes: DataFrame, k: int) -> DataFrame:
     """BM25 within each query's routed pages, and without restriction for queries that have none."""
-    scored = bm25_scores(queries, chunks.select("chunk_id", "text")).join(chunks.select("chunk_id", "doc_id", "page_id"), "chunk_id")
-    inside = scored.join(routes, ["qid", "doc_id", "page_id"], "left_semi")
-    free = scored.join(routes.select("qid").distinct(), "qid", "left_anti")
-    return top_k(inside.unionByName(free).select("qid", "chunk_id", "score"), k)
+    return bm25(queries, chunks, k, routes=routes)
 
 
 def multi_pass_merge(passes: list[DataFrame]) -> DataFrame:

@@ -19,40 +19,51 @@ from graticule.streaming import jobs
 
 
 def turns(spark, sf_dir) -> DataFrame:
-    """Every turn of a conversation as a chunk: the conversation is its page."""
+    """Every turn of a conversation as a chunk: the conversation is a page, whose id another conversation's page shares in
+    another doc. A turn's image is its role's."""
     rows = table(spark, sf_dir, "conversations")
-    return rows.select(F.col("conv_id").alias("page_id"), F.lit("p").alias("granularity"), F.col("turn").alias("seq"), "text")
+    image = F.array(F.concat(F.lit("/assets/"), "role", F.lit(".png")))
+    return rows.select((F.col("conv_id") % 2).alias("doc_id"), F.floor(F.col("conv_id") / 2).alias("page_id"), F.lit("p").alias("granularity"), F.col("turn").alias("seq"), "text", image.alias("images"))
 
 
-TURNS = "t as (select conv_id page_id, turn seq, text from conversations)"
+TURNS = "t as (select conv_id % 2 doc_id, conv_id // 2 page_id, turn seq, text, '/assets/' || role || '.png' image from conversations)"
+NEAR = "{0}.doc_id = t.doc_id and {0}.page_id = t.page_id and {0}.seq = t.seq"
+ONCE = "array_to_string(list_filter(u, lambda x, i: list_position(u, x) = i), ' ')"
 
 
 def results(spark, sf_dir) -> DataFrame:
     rows = turns(spark, sf_dir)
-    return rows.select(F.col("page_id").alias("qid"), (F.col("page_id") * 1000 + F.col("seq")).alias("chunk_id"), "page_id", "granularity", "seq", "text")
+    qid = 2 * F.col("page_id") + F.col("doc_id")
+    return rows.select(qid.alias("qid"), (qid * 1000 + F.col("seq")).alias("chunk_id"), "doc_id", "page_id", "granularity", "seq", "text", "images")
+
+
+def expanded(spark, sf_dir, neighbors: int, most: int) -> DataFrame:
+    out = context.expand(results(spark, sf_dir), turns(spark, sf_dir), neighbors, most)
+    return out.select("doc_id", "page_id", "seq", "expanded", F.array_join("expanded_images", " ").alias("images"))
 
 
 @register(
     "neighbors_1",
-    f"""with {TURNS}, b as (select t.*, l.text lt, r.text rt, 300 - length(t.text) room from t left join t l on l.page_id = t.page_id and l.seq = t.seq - 1 left join t r on r.page_id = t.page_id and r.seq = t.seq + 1),
-  c as (select *, case when length(lt) + 2 <= room then lt end lk from b), e as (select *, case when length(rt) + 2 <= room - coalesce(length(lk) + 2, 0) then rt end rk from c)
-  select page_id, seq, case when room <= 0 then substring(text, 1, 300) else array_to_string(list_filter([trim(coalesce(lk, '')), trim(text), trim(coalesce(rk, ''))], lambda x: x <> ''), chr(10) || chr(10)) end as expanded from e""",
+    f"""with {TURNS}, b as (select t.*, l.text lt, r.text rt, l.image li, r.image ri, 300 - length(t.text) room from t left join t l on {NEAR.format('l')} - 1 left join t r on {NEAR.format('r')} + 1),
+  c as (select *, case when length(lt) + 2 <= room then lt end lk from b), e as (select *, case when length(rt) + 2 <= room - coalesce(length(lk) + 2, 0) then rt end rk from c),
+  i as (select *, case when room <= 0 then [image] else list_filter([case when lk is not null then li end, image, case when rk is not null then ri end], lambda x: x is not null) end u from e)
+  select doc_id, page_id, seq, case when room <= 0 then substring(text, 1, 300) else array_to_string(list_filter([trim(coalesce(lk, '')), trim(text), trim(coalesce(rk, ''))], lambda x: x <> ''), chr(10) || chr(10)) end as expanded, {ONCE} as images from i""",
 )
 def neighbors_1(spark, sf_dir):
-    return context.expand(results(spark, sf_dir), turns(spark, sf_dir), 1, 300).select("page_id", "seq", "expanded")
+    return expanded(spark, sf_dir, 1, 300)
 
 
 @register(
     "neighbors_2",
-    f"""with {TURNS}, b as (select t.*, 900 - length(t.text) room, l1.text l1, r1.text r1, l2.text l2, r2.text r2 from t
-    left join t l1 on l1.page_id = t.page_id and l1.seq = t.seq - 1 left join t r1 on r1.page_id = t.page_id and r1.seq = t.seq + 1
-    left join t l2 on l2.page_id = t.page_id and l2.seq = t.seq - 2 left join t r2 on r2.page_id = t.page_id and r2.seq = t.seq + 2),
+    f"""with {TURNS}, b as (select t.*, 900 - length(t.text) room, l1.text l1, r1.text r1, l2.text l2, r2.text r2, l1.image i1, r1.image j1, l2.image i2, r2.image j2 from t
+    left join t l1 on {NEAR.format('l1')} - 1 left join t r1 on {NEAR.format('r1')} + 1 left join t l2 on {NEAR.format('l2')} - 2 left join t r2 on {NEAR.format('r2')} + 2),
   c1 as (select *, case when length(l1) + 2 <= room then length(l1) + 2 else 0 end a from b), c2 as (select *, case when length(r1) + 2 <= room - a then length(r1) + 2 else 0 end e from c1),
-  c3 as (select *, case when length(l2) + 2 <= room - a - e then length(l2) + 2 else 0 end i from c2), c4 as (select *, case when length(r2) + 2 <= room - a - e - i then length(r2) + 2 else 0 end o from c3)
-  select page_id, seq, case when room <= 0 then substring(text, 1, 900) else array_to_string(list_filter([case when i > 0 then trim(l2) else '' end, case when a > 0 then trim(l1) else '' end, trim(text), case when e > 0 then trim(r1) else '' end, case when o > 0 then trim(r2) else '' end], lambda x: x <> ''), chr(10) || chr(10)) end as expanded from c4""",
+  c3 as (select *, case when length(l2) + 2 <= room - a - e then length(l2) + 2 else 0 end i from c2), c4 as (select *, case when length(r2) + 2 <= room - a - e - i then length(r2) + 2 else 0 end o from c3),
+  c5 as (select *, case when room <= 0 then [image] else list_filter([case when i > 0 then i2 end, case when a > 0 then i1 end, image, case when e > 0 then j1 end, case when o > 0 then j2 end], lambda x: x is not null) end u from c4)
+  select doc_id, page_id, seq, case when room <= 0 then substring(text, 1, 900) else array_to_string(list_filter([case when i > 0 then trim(l2) else '' end, case when a > 0 then trim(l1) else '' end, trim(text), case when e > 0 then trim(r1) else '' end, case when o > 0 then trim(r2) else '' end], lambda x: x <> ''), chr(10) || chr(10)) end as expanded, {ONCE} as images from c5""",
 )
 def neighbors_2(spark, sf_dir):
-    return context.expand(results(spark, sf_dir), turns(spark, sf_dir), 2, 900).select("page_id", "seq", "expanded")
+    return expanded(spark, sf_dir, 2, 900)
 
 
 def found(spark, sf_dir) -> DataFrame:

@@ -230,9 +230,9 @@ def test_mmr_prefers_what_differs():
 
 def test_expansion_skips_what_does_not_fit_and_walks_on():
     near = {1: "L1", 0: "L0", 3: "R" * 50, 4: "R4"}
-    assert context.walk(2, "centre", near, 2, 20) == "L0\n\nL1\n\ncentre\n\nR4"
-    assert context.walk(2, "centre" * 9, near, 2, 20) == ("centre" * 9)[:20]
-    assert context.walk(2, "c", near, 1, 0) == "L1\n\nc\n\n" + "R" * 50
+    assert context.walk(2, "centre", near, 2, 20)[0] == "L0\n\nL1\n\ncentre\n\nR4"
+    assert context.walk(2, "centre" * 9, near, 2, 20)[0] == ("centre" * 9)[:20]
+    assert context.walk(2, "c", near, 1, 0)[0] == "L1\n\nc\n\n" + "R" * 50
 
 
 @pytest.mark.parametrize(
