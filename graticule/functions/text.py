@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -122,9 +123,11 @@ def flatten_tables(text: Column) -> Column:
     return F.array_join(F.filter(F.transform(lines(text), row), lambda x: x.isNotNull()), "\n")
 
 
-def prepare_for_embedding(text: Column, max_chars: int = 448) -> Column:
-    """Text as an embedding model gets it; compatibility normalisation is a separate step (functions.kernels.nfkc)."""
+def prepare_for_embedding(text: Column, max_chars: int = 448, normalise: Callable[[Column], Column] | None = None) -> Column:
+    """Text as an embedding model gets it. `normalise` is the compatibility normalisation (functions.html.nfkc), for which
+    there is no built-in function."""
     out = F.replace(F.coalesce(text, F.lit("")), F.lit("\u0000"), F.lit(" "))
+    out = normalise(out) if normalise else out
     out = F.replace(F.replace(out, F.lit("\xa0"), F.lit(" ")), F.lit("\\*"), F.lit("*"))
     out = replace_each(out, EMBED_FORMS)
     out = F.regexp_replace(out, r"(?m)^([ \t]*)###([ \t]+)", "$1##$2")
@@ -136,17 +139,10 @@ def prepare_for_embedding(text: Column, max_chars: int = 448) -> Column:
 def bag_of_words(text: Column, max_chars: int = 420) -> Column:
     """Distinct words in first-seen spelling and order, until their joined length reaches a bound."""
     words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("[A-Za-z0-9]+"), F.lit(0))
-    empty = F.struct(F.lit("").alias("bag"), F.array().cast("array<string>").alias("seen"))
-
-    def add(state: Column, word: Column) -> Column:
-        low = F.lower(word)
-        grown = F.struct(
-            F.when(state["bag"] == "", word).otherwise(F.concat(state["bag"], F.lit(" "), word)).alias("bag"),
-            F.array_append(state["seen"], low).alias("seen"),
-        )
-        return F.when((F.length(state["bag"]) >= max_chars) | F.array_contains(state["seen"], low), state).otherwise(grown)
-
-    return F.aggregate(words, empty, add, lambda s: s["bag"])
+    # a word takes two characters of the bound at least, so no more than these can be in it
+    low = F.transform(words, F.lower)
+    first = F.transform(F.slice(F.array_distinct(low), 1, max_chars // 2 + 2), lambda w: F.element_at(words, F.array_position(low, w).cast("int")))
+    return F.aggregate(first, F.lit(""), lambda bag, w: F.when(F.length(bag) >= max_chars, bag).when(bag == "", w).otherwise(F.concat(bag, F.lit(" "), w)))
 
 
 def embedding_fallbacks(prepared: Column) -> Column:
@@ -269,6 +265,29 @@ def front_matter_fields(front: Column) -> Column:
     return F.aggregate(pairs, first, add, lambda s: s["found"])
 
 
+# Settings of a page's front matter that name a part of the cover or of the header.
+COVER_KEYS = {"guide_type": "type", "cover_type": "type", "cover_title": "title", "cover_image": "image", "cover_text": "text", "cover_version": "version", "cover_date": "date", "cover_copyright": "copyright"}
+HEADER_KEYS = {"header_left": "left", "header_right": "right"}
+
+
+def overrides(fields: Column, block: str, keys: dict[str, str]) -> Column:
+    """Map of what the front matter sets: the entries of a block (`cover`, `headers`), then the single settings over them."""
+    filled = F.map_filter(fields, lambda k, v: strip(F.coalesce(v, F.lit(""))) != "")
+    inner = F.filter(F.map_entries(filled), lambda e: e["key"].startswith(f"{block}."))
+    pairs = [F.transform(inner, lambda e: F.struct(F.substring(e["key"], len(block) + 2, 10_000).alias("key"), strip(e["value"]).alias("value")))]
+    for name, part in keys.items():
+        value = F.element_at(filled, F.lit(name))
+        pairs.append(F.when(value.isNotNull(), F.array(F.struct(F.lit(part).alias("key"), strip(value).alias("value")))).otherwise(F.array().cast("array<struct<key:string,value:string>>")))
+    every = F.concat(*pairs)
+    last = F.filter(every, lambda e, i: ~F.exists(F.slice(every, i + 2, F.size(every)), lambda later: later["key"] == e["key"]))
+    return F.map_from_entries(last)
+
+
+def sse_event(event: Column, data: Column) -> Column:
+    """One server-sent event; `data` is text or a JSON text."""
+    return F.concat(F.lit("event: "), event, F.lit("\ndata: "), F.coalesce(data, F.lit("null")), F.lit("\n\n"))
+
+
 def same_heading(one: Column, two: Column) -> Column:
     """Headings that differ only in case and white space; empty ones never match."""
     plain = lambda x: F.lower(squeeze(F.coalesce(x, F.lit(""))))

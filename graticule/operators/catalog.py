@@ -99,6 +99,26 @@ def catalog_counts(pages: DataFrame, custom: DataFrame, exclusions: DataFrame) -
     )
 
 
+def catalog_listing(counts: DataFrame, titles: DataFrame, order: str = "place") -> DataFrame:
+    """Docs as they are listed, numbered in `nth`: ingested ones as they came (`order` of titles), then custom ones by title.
+
+    titles: (doc_id, doc_title, order). There are as many rows as docs, so they are numbered in one task.
+    """
+    named = counts.join(titles.select("doc_id", "doc_title", F.col(order).alias("_place")), "doc_id", "left").withColumn("doc_title", F.coalesce("doc_title", F.col("doc_id").cast("string")))
+    custom = F.col("origin") == "custom"
+    by = [custom, F.when(~custom, F.col("_place")), F.when(custom, F.lower("doc_title")), F.col("doc_id")]
+    return named.withColumn("nth", F.row_number().over(Window.orderBy(*by))).drop("_place")
+
+
+# How the application's tables are listed.
+ORDERINGS = {"users": [("created_at", True)], "settings": [("key", True)], "custom_pages": [("doc_id", True), ("page_title", True)], "doc_pages": [("page_title", True)], "requests": [("updated_at", False)]}
+
+
+def listed(rows: DataFrame, kind: str) -> DataFrame:
+    """Rows of the application's tables in the order in which they are listed."""
+    return rows.orderBy(*[F.col(c).asc() if up else F.col(c).desc() for c, up in ORDERINGS[kind]])
+
+
 def catalog_detail(pages: DataFrame, custom: DataFrame, by: list[str]) -> DataFrame:
     """All pages: the ingested ones, and the custom ones that aren't among them."""
     return pages.withColumn("origin", F.lit("ingested")).unionByName(custom.join(pages.select(*by), by, "left_anti").withColumn("origin", F.lit("custom")), allowMissingColumns=True)
@@ -176,6 +196,21 @@ def overlay(defaults: Column, stored: Column) -> Column:
     return F.map_concat(kept, stored)
 
 
+def merge_missing(stored: object, defaults: object) -> object:
+    """Stored settings with the defaults that they lack, at every level; what is stored is never changed."""
+    if not isinstance(stored, dict) or not isinstance(defaults, dict):
+        return stored
+    return {**{k: merge_missing(v, defaults[k]) if k in defaults else v for k, v in stored.items()}, **{k: v for k, v in defaults.items() if k not in stored}}
+
+
+def system_prompt(settings: dict, role: str) -> str:
+    """The prompt template of a role (`anonymous` if blank), else the single template; neither is an error."""
+    for found in ((settings.get("system_prompt_templates") or {}).get((role or "").strip() or "anonymous"), settings.get("system_prompt_template")):
+        if isinstance(found, str) and found.strip():
+            return found
+    raise ValueError("no system prompt template is set")
+
+
 def migrated_users(users: DataFrame) -> DataFrame:
     """User rows of an older layout: blanks to null, roles in lower case, permissions by role where missing."""
     role = F.coalesce(F.lower(blank_to_null(F.col("role"))), F.lit("client"))

@@ -56,6 +56,28 @@ def idf(n: Column, df: Column) -> Column:
     return F.log((n - df + 0.5) / (df + 0.5) + 1.0)
 
 
+# Names of an index's facts, in order.
+META = ["version", "created_at", "n_chunks", "avgdl", "embeddings_enabled", "embedding_model_id", "embedding_dim", "embedding_max_chars", "embedding_batch_size", "summary_enabled", "summary_model_id", "summary_units", "summary_avgdl", "summary_max_input_chars", "summary_max_output_tokens", "summary_unit_max_tokens", "chunk_max_chars_part", "chunk_max_chars_section", "chunk_max_chars_topic", "chunk_granularity_scheme"]
+
+
+def meta(chunks: DataFrame, settings: dict[str, str], vectors: DataFrame | None = None, summaries: DataFrame | None = None) -> DataFrame:
+    """(key, value) of an index's facts as text: what is counted here, the rest from `settings` (unset ones are empty)."""
+    spark = chunks.sparkSession
+    one, two = (corpus_stats(x).first() if x is not None else None for x in (chunks, summaries))
+    dim = vectors.agg(F.max(F.size("vector"))).first()[0] if vectors is not None else None
+    counted = {
+        "n_chunks": str(one["n_chunks"]),
+        "avgdl": f"{one['avgdl'] or 0:.6f}",
+        "embeddings_enabled": "1" if vectors is not None else "0",
+        "embedding_dim": str(dim or 0),
+        "summary_enabled": "1" if two and two["n_chunks"] else "0",
+        "summary_units": str(two["n_chunks"] if two else 0),
+        "summary_avgdl": f"{two['avgdl']:.6f}" if two and two["n_chunks"] else "0",
+        "chunk_granularity_scheme": "topic/section/part",
+    }
+    return spark.createDataFrame([(k, counted.get(k, str(settings.get(k, "")))) for k in META], "key string, value string")
+
+
 def l2_normalize(vector: Column) -> Column:
     """A vector at unit length in single precision; a zero vector stays."""
     wide = F.transform(vector, lambda x: x.cast("double"))
@@ -104,6 +126,10 @@ class CorpusIndex:
         """Whether there is anything to search."""
         return bool(self.chunks.limit(1).count())
 
+    def summary_ready(self, summaries: DataFrame | None) -> bool:
+        """Whether there is a summary with a token to route by."""
+        return summaries is not None and bool(lengths(summaries).limit(1).count())
+
     def embeddings_ready(self) -> bool:
         """Whether there are vectors, all of one dimension."""
         if self.vectors is None:

@@ -174,7 +174,7 @@ def table_flatten(spark, sf_dir):
   select d.doc_id, coalesce(substring({STRIP.format("regexp_replace(replace(t, '*', ''), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', ' ', 'g')")}, 1, 448), '') as text from documents d left join j using (doc_id)""",
 )
 def embed_prepare(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", T.prepare_for_embedding(F.col("text"), 448).alias("text"))
+    return docs(spark, sf_dir).select("doc_id", T.prepare_for_embedding(F.col("text"), 448, kernels.nfkc).alias("text"))
 
 
 @register("embed_variants")
@@ -244,7 +244,7 @@ def same_heading(spark, sf_dir):
 
 def pages(spark, sf_dir) -> DataFrame:
     """A page of three headings and an image around each text."""
-    body = F.concat(F.lit("# "), "source", F.lit("\n\n## "), "lang", F.lit("\n\n"), "text", F.lit("\n\n![i](/assets/a.png)\n\n### end\n\nlast"))
+    body = F.concat(F.lit("# "), "source", F.lit("\n\n  ## "), "lang", F.lit("\n\n"), "text", F.lit("\n\n![i](/assets/a.png)\n\n### end\n\nlast"))
     title = F.concat(F.lit("page "), F.col("doc_id").cast("string"))
     return docs(spark, sf_dir).select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page_id"), F.col("source").alias("doc_title"), title.alias("page_title"), body.alias("markdown"))
 
@@ -301,7 +301,7 @@ def semantic_chunks(spark, sf_dir):
 
 @register(
     "image_split",
-    f"""select doc_id as page_id, 0::int as n, {STRIP.format("'# ' || source || chr(10) || chr(10) || '## ' || lang || chr(10) || chr(10) || text")} as text, ['/assets/a.png'] as images from documents
+    f"""select doc_id as page_id, 0::int as n, {STRIP.format("'# ' || source || chr(10) || chr(10) || '  ## ' || lang || chr(10) || chr(10) || text")} as text, ['/assets/a.png'] as images from documents
   union all select doc_id, 1, '### end' || chr(10) || chr(10) || 'last', [] from documents""",
 )
 def image_split(spark, sf_dir):

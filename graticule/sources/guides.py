@@ -89,6 +89,16 @@ def read_catalog(spark: SparkSession, path: str, strict: bool = True) -> DataFra
     return found if strict else found.where("doc_id is not null and page_id is not null")
 
 
+def read_datastore(spark: SparkSession, path: str) -> DataFrame:
+    """Catalogue records of a datastore with the Markdown of their pages, `pages/<doc_id>/<page_id>.md`; lenient: lines that
+    are no records are skipped, as are records without their file."""
+    found = read_catalog(spark, f"{path}/pages.jsonl", strict=False).where((F.trim("doc_id") != "") & (F.trim("page_id") != ""))
+    texts = read_texts(spark, f"{path}/pages", "*.md")
+    texts = texts.select(F.regexp_extract("path", r"([^/]+)/[^/]+\.md$", 1).alias("doc_id"), F.regexp_extract("path", r"([^/]+)\.md$", 1).alias("page_id"), F.col("text").alias("markdown"))
+    title, page = F.coalesce("doc_title", "doc_id"), F.coalesce("page_title", "page_id")
+    return found.join(texts, ["doc_id", "page_id"]).withColumns({"doc_title": title, "page_title": page})
+
+
 def write_catalog(pages: DataFrame, path: str) -> None:
     pages.write.mode("overwrite").json(path)
 

@@ -310,3 +310,134 @@ def test_empty_tables(spark):
     rows = chunks(spark, [])
     assert retrieval.bm25(queries(spark, "a"), rows, 3).count() == 0
     assert retrieval.bm25(queries(spark), chunks(spark, [(1, "d", "p", "a")]), 3).count() == 0
+
+
+def test_indented_headings_count(spark):
+    page = ["  ## In", "\t### Deep ", "## Flat", "#no", "####### seven"]
+    assert chunking.headings(page, "T") == [(0, 2, ["T", "In"]), (1, 3, ["T", "In", "Deep"]), (2, 2, ["T", "Flat"])]
+    frame = spark.createDataFrame([(1, "T", "\n".join(page))], "k long, title string, body string")
+    assert [(r["line"], r["level"], r["path"]) for r in chunking.heading_paths(frame, "k", "title", "body").orderBy("line").collect()] == chunking.headings(page, "T")
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_long_blocks_are_cut_as_stated(seed):
+    r = random.Random(seed)
+    for most in (5, 10, 37):
+        body = "".join(r.choice("abc  \n") for _ in range(400))
+        rest, want, low = body.strip(), [], int(most * 0.6)
+        while len(rest) > most:
+            window = rest[low:most]
+            at = low + window.rfind("\n") if "\n" in window else low + window.rfind(" ") if " " in window else most
+            want.append(rest[:at].rstrip())
+            rest = rest[at:].lstrip()
+        assert chunking.split_long_block(body, most) == [x for x in [*want, rest] if x]
+
+
+def test_embedding_falls_back_to_shorter_texts(spark):
+    calls = []
+
+    def embed(texts):
+        calls.append(len(texts))
+        if any(len(t) > 300 for t in texts):
+            raise RuntimeError("too long")
+        return [{"index": i, "embedding": [float(len(t)), float(i)]} for i, t in reversed(list(enumerate(texts)))]
+
+    texts = ["a " * 200, "short"]
+    got = chunking.embed_batch(embed, texts, [[], []], 2)
+    assert got == [[256.0, 0.0], [5.0, 1.0]] and len(calls) == 3 * 11 + 1  # the batch, ten cuts that are too long, and 256
+
+    def picky(texts):
+        if len(texts) > 1 or "é" in texts[0]:
+            raise RuntimeError("no")
+        return [[1.0, 2.0]]
+
+    assert chunking.embed_batch(picky, ["xé", "y"], [["xé", "x"], []], 2) == [[1.0, 2.0]] * 2
+    with pytest.raises(RuntimeError):
+        chunking.embed_batch(picky, ["é"], [["é"]], 2)
+    with pytest.raises(RuntimeError):
+        chunking.embed_batch(lambda t: [[1.0]] * len(t), ["a"], [[]], 2)
+    rows = spark.createDataFrame([(1, "ﬁne…"), (2, None)], "chunk_id long, text string")
+    out = {r["chunk_id"]: r["vector"] for r in chunking.with_embeddings(rows, lambda texts: [[float(len(t))] for t in texts], 1).collect()}
+    assert out == {1: [7.0], 2: [0.0]}  # the ligature is two letters, the ellipsis three dots
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_bags_agree(spark, seed):
+    r = random.Random(seed)
+    body = " ".join(r.choice(["Ab", "ab", "x", "long" * 9, "9", f"w{r.randint(0, 200)}"]) for _ in range(400))
+    words, seen, bag = body.split(), set(), ""
+    for w in words:
+        if w.lower() not in seen and len(bag) < 420:
+            seen.add(w.lower())
+            bag = f"{bag} {w}" if bag else w
+    assert one(spark, text.bag_of_words(F.col("x")), body) == bag == chunking._bag(body)
+
+
+def test_one_failed_summary_disables_all(spark, tmp_path):
+    units = spark.createDataFrame([(1, "good one"), (2, "  "), (3, "bad")], "chunk_id long, text string")
+    short = lambda t: t[:4]
+    kept = chunking.with_summaries(units, short, str(tmp_path / "a"), max_chars=3).collect()
+    assert [(r["chunk_id"], r["summary"]) for r in sorted(kept)] == [(1, "goo"), (3, "bad")]
+
+    def fails(t):
+        if t == "bad":
+            raise RuntimeError("no")
+        return t
+
+    none = chunking.with_summaries(units, fails, str(tmp_path / "b"))
+    assert none.count() == 0 and none.columns == ["chunk_id", "text", "summary"]
+
+
+def test_listing_puts_custom_docs_last(spark):
+    counts = spark.createDataFrame([("b", 1, "ingested"), ("a", 1, "ingested"), ("z", 1, "custom"), ("y", 1, "custom")], "doc_id string, n_pages long, origin string")
+    titles = spark.createDataFrame([("b", "B", 0), ("a", "A", 5), ("z", "alpha", 1)], "doc_id string, doc_title string, place long")
+    assert [r["doc_id"] for r in catalog.catalog_listing(counts, titles).orderBy("nth").collect()] == ["b", "a", "z", "y"]
+    rows = spark.createDataFrame([(1, "x"), (3, "y")], "updated_at long, v string")
+    assert [r["v"] for r in catalog.listed(rows, "requests").collect()] == ["y", "x"]
+
+
+def test_settings_are_seeded_at_every_level_and_prompts_chosen():
+    assert catalog.merge_missing({"a": {"x": 1}, "b": 2}, {"a": {"x": 9, "y": {"z": 3}}, "b": {"q": 1}, "c": 4}) == {"a": {"x": 1, "y": {"z": 3}}, "b": 2, "c": 4}
+    settings = {"system_prompt_templates": {"admin": "A", "client": " "}, "system_prompt_template": "S"}
+    assert [catalog.system_prompt(settings, r) for r in ("admin", "client", "", "other")] == ["A", "S", "S", "S"]
+    with pytest.raises(ValueError):
+        catalog.system_prompt({"system_prompt_template": " "}, "x")
+
+
+def test_cover_and_header_overrides(spark):
+    front = "cover:\n  title: Inner\n  logo: l.png\n  text: ' '\ncover_title: ' Outer '\nguide_type: Manual\nheader_left: L\nheaders:\n  right: R"
+    fields = text.front_matter_fields(F.col("x"))
+    assert one(spark, text.overrides(fields, "cover", text.COVER_KEYS), front) == {"title": "Outer", "logo": "l.png", "type": "Manual"}
+    assert one(spark, text.overrides(fields, "headers", text.HEADER_KEYS), front) == {"right": "R", "left": "L"}
+    assert one(spark, text.overrides(fields, "cover", text.COVER_KEYS), "") == {}
+    assert one(spark, text.sse_event(F.lit("delta"), F.col("x")), "hi") == "event: delta\ndata: hi\n\n"
+
+
+def test_meta_and_readiness(spark):
+    from graticule.operators.index import META, meta
+
+    rows = chunks(spark, [(1, "d", "p", "alpha beta"), (2, "d", "p", "?!"), (3, "d", "q", "gamma")])
+    vectors = spark.createDataFrame([(1, [1.0, 2.0])], "chunk_id long, vector array<float>")
+    got = meta(rows, {"version": "v1"}, vectors, rows.limit(0))
+    assert [r["key"] for r in got.collect()] == META and len(META) == 20
+    facts = {r["key"]: r["value"] for r in got.collect()}
+    assert (facts["version"], facts["n_chunks"], facts["avgdl"], facts["embedding_dim"], facts["summary_enabled"], facts["summary_avgdl"]) == ("v1", "2", "1.500000", "2", "0", "0")
+    index = CorpusIndex.build(rows)
+    assert index.ready() and not index.embeddings_ready() and index.summary_ready(rows) and not index.summary_ready(rows.where("chunk_id = 2"))
+
+
+def test_a_datastore_is_read_back(spark, tmp_path):
+    import json
+
+    (tmp_path / "pages" / "d 1").mkdir(parents=True)
+    (tmp_path / "pages" / "d 1" / "p1.md").write_text("# T\ntext")
+    lines = [json.dumps({"doc_id": "d 1", "page_id": "p1"}), "{broken", json.dumps({"doc_id": "d 1"}), json.dumps({"doc_id": "d 1", "page_id": "gone"}), json.dumps({"doc_id": "", "page_id": "x"})]
+    (tmp_path / "pages.jsonl").write_text("\n".join(lines))
+    got = guides.read_datastore(spark, str(tmp_path)).collect()
+    assert [(r["doc_id"], r["page_id"], r["doc_title"], r["page_title"], r["markdown"]) for r in got] == [("d 1", "p1", "d 1", "p1", "# T\ntext")]
+
+
+def test_table_lines_are_told(spark):
+    rule = [one(spark, text.is_table_rule(F.col("x")), v) for v in ("|---|:---:|", "| -- |", "---", "|a|---|")]
+    assert rule == [True, False, False, False]
+    assert [one(spark, text.is_table_row(F.col("x")), v) for v in ("|a", "a|", "a|b|c", "a|b", "a")] == [True, True, True, False, False]
