@@ -17,20 +17,19 @@ from pyspark.sql import functions as F
 
 from graticule.llm.common import cut
 
-#: A key of more rows than this, and of more than one in `SHARE` of all, is met by broadcast: less than `SHARE` keys.
-HOT, SHARE = 256, 500
+#: Rows that any task may get. In a larger table, a key of more than one in `SHARE` of the rows is met by broadcast (there are
+#: less than `SHARE` of them).
+HOT, SHARE = 1 << 20, 500
 
 
 def join_back(rows: DataFrame, facts: DataFrame, key: str, total: int) -> DataFrame:
     """`rows` (`total` of them) with the facts of their key. `facts` has one row for each key, and in `_n` the key's rows."""
-    limit = max(HOT, total // SHARE)
     plain = facts.drop("_n")
-    if total <= limit:
+    if total <= HOT:
         return rows.join(plain, key)
-    hot = cut(facts.where(F.col("_n") > limit).drop("_n"))
+    hot = cut(facts.where(F.col("_n") > max(1, total // SHARE)).drop("_n"))
     if not hot.limit(1).count():
         return rows.join(plain, key)
-    # less than total / limit keys, so less than SHARE
     cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(plain, key)
     return rows.join(F.broadcast(hot), key).unionByName(cold)
 

@@ -10,10 +10,11 @@ sizes are linked. Only blocks of the product that can hold a link are formed:
    documents share don't bring them together. Frequencies are counted over all documents for a fixed part of all
    n-grams (the lowest `COUNTED` by hash), which comes before the rest and holds the first n-grams of nearly every set.
 3. Documents that share one of those n-grams are joined to groups (connected components of stars, not of pairs).
-4. A group is cut into blocks: a small one is one block; a large one is cut by size class and by the n-gram that a row
-   shares most, so that families stay together. Two blocks of one or of neighbouring size classes are multiplied where one of
-   the first n-grams of step 2 is in both (where such an n-gram is in a good part of a group's blocks, all of them are). So a
-   group that grows as a chain of families costs in proportion to its rows, and one that is a single family its pairs.
+4. A group is cut into blocks: a small one is one block; one of a few blocks is cut by hash, and all its blocks meet, which
+   bounds the work of a row; a large one is cut by size class and by the n-gram that a row shares most, so that families
+   stay together, and two blocks of one or of neighbouring size classes are multiplied where one of the first n-grams of
+   step 2 is in both (where such an n-gram is in a good part of a group's blocks, all of them are). So a group that grows as
+   a chain of families costs in proportion to its rows, and one that is a single family its pairs.
    Each pair of blocks is one task, which multiplies the two blocks of the incidence matrix, a chunk of n-grams at a time,
    and drops the pairs below the bound.
 5. A task returns a spanning forest of the links it found and the number of links of each row. The components of these
@@ -53,9 +54,12 @@ OFTEN = 16
 GATHERED = 1_000_000
 #: Rows of a block of the product, about, and n-grams that are multiplied at once.
 BLOCK_ROWS = 512
-#: An n-gram in more blocks of a group than this, and in more than one in `DENSE` of them, pairs all blocks of the group.
+#: Rows of a block of a large group.
+FAMILY_ROWS = 1024
+#: Blocks of a group that all meet. In a larger one, an n-gram in more blocks than this, and in more than one in `DENSE` of
+#: them, pairs all blocks of the group.
 PAIRED, DENSE = 16, 4
-CHUNK = 4096
+CHUNK = 2048
 
 U = np.uint64
 
@@ -261,7 +265,9 @@ def candidates(docs: DataFrame, rule: Rule, bits: int) -> tuple[DataFrame, DataF
         gram, doc = np.r_[gram[chosen], other], np.r_[doc[chosen], other_doc]
         size, node = rule.size_class(n)[doc], nodes[doc]
         a, b, stand = stars(gram, size, node)
-        own = [gram.tobytes(), node.tobytes()]
+        order = np.lexsort((gram, node))
+        once = order[np.r_[True, (np.diff(gram[order]) != 0) | (np.diff(node[order]) != 0)][: len(order)]]  # copies need not be told twice
+        own = [gram[once].tobytes(), node[once].tobytes()]
         gram, size, node = gram[stand], size[stand], node[stand]
         rows = {k: [k, gram[x].astype(np.uint32).tobytes(), size[x].astype(np.int32).tobytes(), node[x].tobytes(), *[b""] * 4] for k, x in _split(gram >> U(32))}
         to = mix64(a.astype(U)) >> U(64 - bits)
@@ -298,18 +304,18 @@ def first_ngrams(packed: DataFrame) -> DataFrame:
 def block_pairs(members: DataFrame, packed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The blocks of large groups as (node, block), and the pairs of blocks to multiply as (root, x, y), x <= y.
 
-    members: (node, root, class) of the groups of more than `BLOCK_ROWS` rows.
+    members: (node, root, class) of the groups of more than `PAIRED` blocks.
     """
     held = cut(first_ngrams(packed).join(members, "node").select("root", "class", "node", "gram").distinct())
     often = held.groupBy("root", "gram").agg(F.countDistinct("node").alias("_shared"))
     hubs = held.join(often, ["root", "gram"]).groupBy("root", "class", "node").agg(F.max(F.struct("_shared", "gram")).alias("_hub"))
     hubs = members.join(hubs.select("node", F.col("_hub.gram").alias("hub")), "node", "left").select("root", "class", "node", F.coalesce("hub", F.lit(0)).alias("hub"))
     families = hubs.groupBy("root", "class", "hub").agg(F.count(F.lit(1)).alias("_rows"))
-    loose = families.where(F.col("_rows") < BLOCK_ROWS // 2).groupBy("root", "class").agg(F.sum("_rows").alias("_loose"))
+    loose = families.where(F.col("_rows") < FAMILY_ROWS // 2).groupBy("root", "class").agg(F.sum("_rows").alias("_loose"))
     families = families.join(loose, ["root", "class"], "left")
-    alone = F.col("_rows") >= BLOCK_ROWS // 2
-    family = F.when(alone, F.col("hub")).otherwise(F.pmod(F.xxhash64("hub"), F.ceil(F.col("_loose") / BLOCK_ROWS)))
-    parts = F.when(alone, F.ceil(F.col("_rows") / BLOCK_ROWS)).otherwise(F.lit(1))
+    alone = F.col("_rows") >= FAMILY_ROWS // 2
+    family = F.when(alone, F.col("hub")).otherwise(F.pmod(F.xxhash64("hub"), F.ceil(F.col("_loose") / FAMILY_ROWS)))
+    parts = F.when(alone, F.ceil(F.col("_rows") / FAMILY_ROWS)).otherwise(F.lit(1))
     families = families.select("root", "class", "hub", F.xxhash64("class", alone, family).alias("_family"), parts.cast("long").alias("_parts"))
     blocks = cut(hubs.join(families, ["root", "class", "hub"]).select("root", "class", "node", F.xxhash64("_family", F.pmod(F.xxhash64("node"), F.col("_parts"))).alias("block")))
 
@@ -448,11 +454,15 @@ def link(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     members = members.select("node", "root", "pick", "copies", near.alias("class"))
     whole = groups.groupBy("root").agg(F.count(F.lit(1)).alias("_n")).select("root", "_n", F.col("_n").alias("_all"))
     members = cut(join_back(members, whole, "root", groups.count()))
-    one = F.lit(0).cast("long")
-    placed = members.where(F.col("_all") <= BLOCK_ROWS).select("node", "root", "pick", "copies", one.alias("block"), F.array(F.struct(one.alias("x"), one.alias("y"))).alias("tasks"))
-    large = members.where(F.col("_all") > BLOCK_ROWS)
+    n_blocks = F.when(F.col("_all") <= BLOCK_ROWS, F.lit(1)).otherwise(F.ceil(F.col("_all") / FAMILY_ROWS)).cast("long")
+    own = F.pmod(F.xxhash64("node"), n_blocks).cast("long")
+    meets = F.transform(F.sequence(F.lit(0).cast("long"), n_blocks - 1), lambda other: F.struct(F.least(own, other).alias("x"), F.greatest(own, other).alias("y")))
+    outright = PAIRED * FAMILY_ROWS
+    placed = members.where(F.col("_all") <= outright).select("node", "root", "pick", "copies", own.alias("block"), meets.alias("tasks"))
+    large, n_pairs = members.where(F.col("_all") > outright), 0
     if large.limit(1).count():
         block_of, pairs = block_pairs(large.select("node", "root", "class"), packed)
+        n_pairs = pairs.count()
         ends = pairs.select("root", F.col("x").alias("block"), "x", "y").union(pairs.where("x <> y").select("root", F.col("y").alias("block"), "x", "y"))
         ends = ends.groupBy("root", "block").agg(F.collect_list(F.struct("x", "y")).alias("tasks"))  # as many as a block has others to meet
         placed = placed.unionByName(large.join(block_of, "node").join(ends, ["root", "block"]).select("node", "root", "pick", "copies", "block", "tasks"))
@@ -472,7 +482,7 @@ def link(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
         return {"key": keys, "grams": [values[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]}
 
     held = map_texts(texts, hold, [("key", "long"), ("grams", "binary")], ["node"]).where("key = node")
-    spread = max(1, n_members // 256)
+    spread = max(1, n_members // 256 + n_pairs)  # about one pair of blocks, or some small groups, to a task's turn
     shares = maybe_broadcast(placed.select("node", "root", "copies", "block", "tasks"), n_members)
     tasked = held.select("node", "grams").join(shares, "node").select("node", "grams", "root", "copies", "block", F.explode("tasks").alias("t"))
     tasked = tasked.select(F.pmod(F.xxhash64("root", "t.x", "t.y"), F.lit(spread)).alias("task"), "root", F.col("t.x").alias("x"), F.col("t.y").alias("y"), "node", "copies", "block", "grams")

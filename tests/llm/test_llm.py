@@ -518,6 +518,11 @@ def test_join_of_families_and_shared_passages(spark, monkeypatch):
     texts = dict(enumerate(rows))
     frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
     monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 8)  # several blocks per group
+    monkeypatch.setattr(ngram_join, "FAMILY_ROWS", 8)
+    for paired in (16, 2):  # groups whose blocks all meet, and groups whose blocks meet where they share an n-gram
+        monkeypatch.setattr(ngram_join, "PAIRED", paired)
+        got = {x["doc_id"]: (x["n_shingles"], x["component_id"], x["n_links"]) for x in ngram_join.join(frame).collect()}
+        assert got == brute_join(texts, 4, 85)
     got = {x["doc_id"]: (x["n_shingles"], x["component_id"], x["n_links"]) for x in ngram_join.join(frame).collect()}
     assert got == brute_join(texts, 4, 85)
 
@@ -537,6 +542,8 @@ def test_a_chain_of_families_costs_in_proportion(spark, monkeypatch):
         seam = after
     texts = dict(enumerate(rows))
     monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(ngram_join, "FAMILY_ROWS", 8)
+    monkeypatch.setattr(ngram_join, "PAIRED", 1)  # no group but the smallest meets in full
     made = []
     pairs = ngram_join.block_pairs
     monkeypatch.setattr(ngram_join, "block_pairs", lambda members, packed: made.append(pairs(members, packed)) or made[-1])
