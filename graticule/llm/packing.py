@@ -43,7 +43,7 @@ VOCABULARY = "word_bpe_49k.json"
 #: Pieces that are packed together, about.
 GROUP = 50_000
 #: Distinct pre-tokens whose ids a worker remembers; beyond that it forgets the half that it has not met for longest.
-MEMORY = 400_000
+MEMORY = 700_000
 
 # Classes of bytes in texts of ASCII and two-byte Latin letters: 0 blank, 1 letter, 2 digit, 3 mark.
 _CLASS = np.full(256, 3, dtype=np.uint8)
