@@ -47,6 +47,10 @@ SLICE = 1 << 20
 #: Coverage that is never fallen below in corrections, and coverage that counts as full.
 LEAST_COVERAGE, FULL_COVERAGE = 0.2, 0.95
 UNDETERMINED = "und"
+#: Stands for a text among the n-grams that are counted.
+TEXT = -1
+#: Files of the counts, which are those of a bounded sample.
+FILES = 32
 
 _FOLD = np.full(256, 32, dtype=np.uint8)
 _FOLD[97:123] = np.arange(97, 123)
@@ -170,15 +174,21 @@ def train(docs: DataFrame, max_sample: int = MAX_SAMPLE) -> Filters:
         owner, many = np.unique(owner, return_counts=True)
         edge = np.searchsorted(owner >> np.uint64(32), np.arange(block.n + 1))
         low = (owner & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        return {"grams": [low[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)], "many": [many[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)]}
+        parts = list(zip(edge[:-1], edge[1:], strict=True))
+        return {"grams": [np.r_[TEXT, low[a:b]] for a, b in parts], "many": [np.r_[1, many[a:b]] for a, b in parts]}
 
-    counted = cut(map_texts(sample(docs, max_sample), count, [("grams", "array<long>"), ("many", "array<long>")], ["lang"]))
+    counted = map_texts(sample(docs, max_sample), count, [("grams", "array<long>"), ("many", "array<long>")], ["lang"])
     each = counted.select("lang", F.explode(F.arrays_zip("grams", "many")).alias("_g")).groupBy("lang", F.col("_g.grams").alias("gram")).agg(F.sum("_g.many").alias("many"))
-    each = cut(each)
-    facts = each.groupBy("lang").agg(F.count(F.lit(1)).alias("kinds"), F.sum("many").alias("met"), F.sum(F.when(F.col("many") == 1, 1).otherwise(0)).alias("once"))
-    texts = {r["lang"]: r["n"] for r in counted.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language
-    known = {r["lang"]: r for r in facts.collect()}
-    languages = sorted(texts)
+    each = cut(each.coalesce(FILES))
+    real = F.col("gram") != TEXT
+    facts = each.groupBy("lang").agg(
+        F.sum(F.when(~real, F.col("many"))).alias("texts"),
+        F.sum(F.when(real, 1).otherwise(0)).alias("kinds"),
+        F.sum(F.when(real, F.col("many")).otherwise(0)).alias("met"),
+        F.sum(F.when(real & (F.col("many") == 1), 1).otherwise(0)).alias("once"),
+    )
+    known = {r["lang"]: r for r in facts.collect()}  # a row for each language
+    languages = sorted(known)
     if not languages:
         return Filters([], np.zeros(0, np.int64), np.zeros((1, 1 << LEAST_BITS), np.uint8), np.zeros(0), np.zeros(0))
     most = max((r["kinds"] for r in known.values()), default=1)
@@ -200,15 +210,14 @@ def train(docs: DataFrame, max_sample: int = MAX_SAMPLE) -> Filters:
         np.bitwise_or.at(page, (lang // 8, frame["slot"].to_numpy()), (1 << lang % 8).astype(np.uint8))
         return pd.DataFrame({"page": frame["page"].iloc[:1], "bits": [page.tobytes()]})
 
-    pages = each.select("lang", "gram").mapInArrow(spread, "page long, slot int, lang int").groupBy("page").applyInPandas(fill, "page long, bits binary")
+    pages = each.where(real).select("lang", "gram").mapInArrow(spread, "page long, slot int, lang int").groupBy("page").applyInPandas(fill, "page long, bits binary")
     masks = np.zeros((layers, 1 << bits), dtype=np.uint8)
     for row in pages.collect():  # the filter itself
         at = row["page"] << PAGE_BITS
         masks[:, at : at + (1 << PAGE_BITS)] = np.frombuffer(row["bits"], np.uint8).reshape(layers, -1)[:, : (1 << bits) - at]
     full = np.array([((masks[i // 8] >> (i % 8)) & 1).mean() for i in range(len(languages))])
-    met = [known[x] if x in known else {"once": 0, "met": 1} for x in languages]
-    coverage = np.array([1 - r["once"] / max(r["met"], 1) for r in met])
-    return Filters(languages, np.array([texts[x] for x in languages]), masks, full**LOOKUPS, coverage)
+    coverage = np.array([1 - known[x]["once"] / max(known[x]["met"], 1) for x in languages])
+    return Filters(languages, np.array([known[x]["texts"] for x in languages]), masks, full**LOOKUPS, coverage)
 
 
 def predict(docs: DataFrame, filters: Filters, keep: list[str]) -> DataFrame:
