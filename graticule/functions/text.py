@@ -139,10 +139,15 @@ def prepare_for_embedding(text: Column, max_chars: int = 448, normalise: Callabl
 def bag_of_words(text: Column, max_chars: int = 420) -> Column:
     """Distinct words in first-seen spelling and order, until their joined length reaches a bound."""
     words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("[A-Za-z0-9]+"), F.lit(0))
-    # a word takes two characters of the bound at least, so no more than these can be in it
-    low = F.transform(words, F.lower)
-    first = F.transform(F.slice(F.array_distinct(low), 1, max_chars // 2 + 2), lambda w: F.element_at(words, F.array_position(low, w).cast("int")))
-    return F.aggregate(first, F.lit(""), lambda bag, w: F.when(F.length(bag) >= max_chars, bag).when(bag == "", w).otherwise(F.concat(bag, F.lit(" "), w)))
+
+    def joined(words: Column, low: Column) -> Column:
+        # a word takes two characters of the bound at least, so no more than these can be in it
+        first = F.transform(F.slice(F.array_distinct(low), 1, max_chars // 2 + 2), lambda w: F.element_at(words, F.array_position(low, w).cast("int")))
+        return F.aggregate(first, F.lit(""), lambda bag, w: F.when(F.length(bag) >= max_chars, bag).when(bag == "", w).otherwise(F.concat(bag, F.lit(" "), w)))
+
+    # bound as lambdas' variables, so that the words are found once and not for every word
+    both = F.transform(F.array(words), lambda ws: F.struct(ws.alias("words"), F.transform(ws, F.lower).alias("low")))
+    return F.get(F.transform(both, lambda x: joined(x["words"], x["low"])), F.lit(0))
 
 
 def embedding_fallbacks(prepared: Column) -> Column:
