@@ -256,12 +256,31 @@ def _mmr(spark: SparkSession, sf_dir: str, use_vectors: bool) -> DataFrame:
     return out.select("qid", F.col("place").cast("long").alias("place"), F.col("chunk_id").alias("doc_id"), F.round("score", 6).alias("score"), F.round("value", 6).alias("value"))
 
 
-@register("mmr_words")
+def _mmr_sql(use_vectors: bool, k: int = 8) -> str:
+    """One pair of tables for each place: the row chosen there, and what is left with its greatest likeness to the chosen.
+
+    The caps can't bite here: a page is one document, and 8 places are fewer than 12 of a source.
+    """
+    words = "case when len(a.w) = 0 or len(b.w) = 0 then 0 else len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) end"
+    alike = f"case when a.e is not null and b.e is not null then greatest(0, least(1, list_inner_product(a.e, b.e))) else {words} end" if use_vectors else words
+    steps = [f"""{SCORED}, {RANKED.format('r', 'sc')},
+  l0 as (select r.qid, r.doc_id, r.rank, r.score, list_distinct(dl.toks[1:256]) w, m.embedding::double[] e, 0::double near,
+    case when max(r.score) over o > min(r.score) over o then (r.score - min(r.score) over o) / (max(r.score) over o - min(r.score) over o) else 1 end rel
+    from r join dl using (doc_id) left join embeddings m on m.vec_id = r.doc_id where r.rank <= 80 window o as (partition by r.qid))"""]
+    for place in range(1, k + 1):
+        value = "round(rel, 9)" if place == 1 else "round(0.8::double * rel - (1 - 0.8::double) * near, 9)"
+        steps.append(f"p{place} as materialized (select * from (select *, {value} v, row_number() over (partition by qid order by {value} desc, rank) first from l{place - 1}) where first = 1)")
+        steps.append(f"l{place} as materialized (select b.* replace (greatest(b.near, {alike}) as near) from l{place - 1} b join p{place} a on a.qid = b.qid and a.doc_id <> b.doc_id)")
+    chosen = " union all ".join(f"select qid, {place}::bigint as place, doc_id, round(score, 6) as score, round(v, 6) as value from p{place}" for place in range(1, k + 1))
+    return f"with {', '.join(steps)} {chosen}"
+
+
+@register("mmr_words", _mmr_sql(False))
 def mmr_words(spark, sf_dir):
     return _mmr(spark, sf_dir, False)
 
 
-@register("mmr_mixed")
+@register("mmr_mixed", _mmr_sql(True))
 def mmr_mixed(spark, sf_dir):
     return _mmr(spark, sf_dir, True)
 
