@@ -164,20 +164,40 @@ def table_flatten(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", T.flatten_tables(rows).alias("text"))
 
 
-@register(
-    "embed_prepare",
-    f"""with l as (select doc_id, string_split({_replaced("replace(replace(text, chr(0), ' '), chr(160), ' ')", T.EMBED_FORMS)}, chr(10)) ls from documents),
+#: Prepared texts (doc_id, p) of the documents, before they are cut.
+PREPARED = f"""l as (select doc_id, string_split({_replaced("replace(replace(text, chr(0), ' '), chr(160), ' ')", T.EMBED_FORMS)}, chr(10)) ls from documents),
   f as (select doc_id, i, l.ls[i] x, list_filter(list_transform(string_split(regexp_replace({STRIP.format('l.ls[i]')}, '^\\|+|\\|+$', '', 'g'), '|'), lambda c: {STRIP.format(f"regexp_replace(replace(c, '**', ''), '{BLANK}+', ' ', 'g')")}), lambda c: c <> '') cs,
       string_split(regexp_replace({STRIP.format('l.ls[i]')}, '^\\|+|\\|+$', '', 'g'), '|') raw from l, unnest(generate_series(1, len(ls))) t(i)),
   k as (select doc_id, i, case when not contains(x, '|') then x when len(cs) = 0 or len(list_filter(raw, lambda c: not regexp_full_match({STRIP.format('c')}, '[-:]*'))) = 0 then null else array_to_string(cs, ' - ') end y from f),
-  j as (select doc_id, string_agg(y, chr(10) order by i) t from k where y is not null group by doc_id)
-  select d.doc_id, coalesce(substring({STRIP.format("regexp_replace(replace(t, '*', ''), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', ' ', 'g')")}, 1, 448), '') as text from documents d left join j using (doc_id)""",
-)
+  j as (select doc_id, string_agg(y, chr(10) order by i) t from k where y is not null group by doc_id),
+  pr as (select d.doc_id, coalesce({STRIP.format("regexp_replace(replace(t, '*', ''), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', ' ', 'g')")}, '') p from documents d left join j using (doc_id))"""
+
+
+@register("embed_prepare", f"with {PREPARED} select doc_id, substring(p, 1, 448) as text from pr")
 def embed_prepare(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", T.prepare_for_embedding(F.col("text"), 448, kernels.nfkc).alias("text"))
 
 
-@register("embed_variants")
+# fixed values: truncation lengths
+CUTS = "[1280, 1200, 1100, 1024, 896, 832, 768, 704, 640, 576, 512, 448, 384, 320, 256]"
+
+
+@register(
+    "embed_variants",
+    f"""with {PREPARED},
+  m as (select doc_id, p, regexp_replace(p, '[^\\x00-\\x7F]', '', 'g') safe, {STRIP.format(f"regexp_replace(p, '{BLANK}+', ' ', 'g')")} flat,
+    array_to_string(list_filter(string_split(regexp_replace(p, '\\r\\n|[\\n\\r\\x0B\\f\\x1C-\\x1E\\x{{85}}\\x{{2028}}\\x{{2029}}]', chr(10), 'g'), chr(10)), lambda x: length({STRIP.format('x')}) >= 12), chr(10)) long_lines,
+    regexp_extract_all(p, '[A-Za-z0-9]+') ws from pr),
+  w as (select doc_id, i, ws[i] w, lower(ws[i]) lw from m, unnest(generate_series(1, len(ws))) t(i)),
+  o as (select doc_id, min(i) i, arg_min(w, i) w from w group by doc_id, lw),
+  s as (select *, sum(length(w) + 1) over (partition by doc_id order by i) - length(w) - 2 before from o)
+  select doc_id, 'base' as name, length(p)::bigint as chars from m
+  union all select doc_id, 'ascii_safe', length(safe) from m where safe <> p
+  union all select doc_id, 'collapsed_ws', length(flat) from m where flat <> '' and flat <> p
+  union all select doc_id, 'truncate_' || n, n from m, unnest({CUTS}) c(n) where length(p) > n
+  union all select doc_id, 'drop_short_lines', length(long_lines) from m where long_lines <> ''
+  union all select doc_id, 'bag_of_words', length(string_agg(w, ' ' order by i)) from s where before < 420 group by doc_id""",
+)
 def embed_variants(spark, sf_dir):
     variants = T.embedding_fallbacks(T.prepare_for_embedding(F.col("text"), 0))
     return docs(spark, sf_dir).select("doc_id", F.explode(variants).alias("v")).select("doc_id", F.col("v.name").alias("name"), F.length("v.text").cast("long").alias("chars"))
