@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graticule.llm import ann, fingerprint, langid, licenses, mixing, ngram_join, packing, quality, sharding, tokencount
+from graticule.llm import ann, fingerprint, langid, licenses, mixing, ngram_join, packing, quality, rowpattern, sharding, tokencount
 from graticule.llm.common import table, tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,10 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
 
 
+def op11_rowpattern(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rowpattern.match_digests(table(spark, sf_dir, "clicks"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_fingerprints": op1_fingerprints,
@@ -65,8 +69,9 @@ def queries() -> dict[str, Query]:
         "op8_licenses": op8_licenses,
         "op9_language": op9_language,
         "op10_nearest": op10_nearest,
+        "op11_rowpattern": op11_rowpattern,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": mixing.ORACLE, "op10_nearest": ann.ORACLE}
+    return {"op7_mixing": mixing.ORACLE, "op10_nearest": ann.ORACLE, "op11_rowpattern": rowpattern.ORACLE}
