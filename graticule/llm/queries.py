@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graticule.llm import ann, fingerprint, langid, licenses, mixing, ngram_join, packing, quality, rowpattern, sharding, tokencount
+from graticule.llm import ann, fingerprint, langid, licenses, mixing, ngram_join, packing, quality, rowpattern, sentencepieces, sharding, tokencount
 from graticule.llm.common import table, tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +57,10 @@ def op11_rowpattern(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rowpattern.match_digests(table(spark, sf_dir, "clicks"))
 
 
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.encoded_digests(table(spark, sf_dir, "documents"), tokenizer_path(sentencepieces.MODEL))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_fingerprints": op1_fingerprints,
@@ -70,6 +74,7 @@ def queries() -> dict[str, Query]:
         "op9_language": op9_language,
         "op10_nearest": op10_nearest,
         "op11_rowpattern": op11_rowpattern,
+        "op12_sentencepiece": op12_sentencepiece,
     }
 
 
