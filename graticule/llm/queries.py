@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graticule.llm import ann, fingerprint, langid, licenses, mixing, ngram_join, packing, quality, rowpattern, sentencepieces, sharding, tokencount
+from graticule.llm import ann, fingerprint, langid, licenses, mixing, ngram_join, packing, quality, rowpattern, sentencepieces, sharding, spelling, tokencount
 from graticule.llm.common import table, tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +61,10 @@ def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encoded_digests(table(spark, sf_dir, "documents"), tokenizer_path(sentencepieces.MODEL))
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_fingerprints": op1_fingerprints,
@@ -75,6 +79,7 @@ def queries() -> dict[str, Query]:
         "op10_nearest": op10_nearest,
         "op11_rowpattern": op11_rowpattern,
         "op12_sentencepiece": op12_sentencepiece,
+        "op13_spelling": op13_spelling,
     }
 
 
