@@ -15,9 +15,11 @@ rows are dealt by doc_id once, and words, weights and samples follow from there
 
 Edge cases: a null or empty text, or one of white space only, has no words and the fingerprint of zeros; two such
 fingerprints are alike (1). Documents follow each other by distinct doc_id; where rows repeat a doc_id, the text of the
-least hash stands for them as the next document, and every row is returned. A null doc_id counts as the least long
-number, which itself isn't told from null. A single document is its own next one. An empty table gives an empty result.
-Extra columns are ignored.
+least hash stands for them as the next document, and every row is returned. Equal rows of one id are fingerprinted once and
+written as often as they occur; an id of more than `HOT` rows is dealt in parts by the hash of the text, so that one id
+(or null) may hold any share of the rows. A very long text is split into words where it's read; a row holds no more than
+one text and its edited form. A null doc_id counts as the least long number, which itself isn't told from null. A single
+document is its own next one. An empty table gives an empty result. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,13 +29,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graticule.llm.common import cut
+from graticule.llm.common import cut, maybe_broadcast, repeated
 
 #: Samples of a fingerprint, and how many of them are taken from one row at once.
 SAMPLES = 64
 AT_ONCE = 4
 #: Stands for a missing doc_id.
 NO_ID = -(2**63)
+#: Rows of one doc_id that are dealt together.
+HOT = 4096
 #: Entries of a quantile table.
 QUANTILES = 4096
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -127,36 +131,47 @@ def fingerprint_documents(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     rows = docs.select(key.alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     sizes = rows.select("key", F.length("text").alias("n"), F.xxhash64("text").alias("mark"))
     per_key = cut(sizes.groupBy("key").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("rows"), F.min("mark").alias("mark")))
-    repeated = per_key.where("rows > 1").limit(1).count() > 0
     links = cut(next_ids(per_key.select("key")))
     asked = links.join(per_key.select("key", "n"), "key").select("next_key", F.col("key").alias("asker"), F.floor(F.col("n") / 4).cast("int").alias("quarter"))
 
-    texts = rows.select("key", "text")  # as named here and as next document: one exchange serves both
-    spoken = texts
-    if repeated:
-        spoken = texts.join(per_key.select("key", "mark"), "key").where(F.xxhash64("text") == F.col("mark")).dropDuplicates(["key"]).select("key", "text")
-    heads = spoken.join(asked, spoken["key"] == asked["next_key"]).select(F.col("asker"), F.substring("text", F.lit(1), F.col("quarter")).alias("head"))
-    both = texts.join(heads, texts["key"] == heads["asker"])
+    repeated_ids = per_key.where("rows > 1").limit(1).count() > 0
+    if repeated_ids:  # equal rows become one, keys of many rows several
+        rows = rows.groupBy("key", "text").agg(F.count(F.lit(1)).alias("many")).withColumn("mark", F.xxhash64("text"))
+        hot = cut(per_key.where(F.col("rows") > HOT).select("key", F.ceil(F.col("rows") / HOT).cast("int").alias("parts")))
+        hot = maybe_broadcast(hot, hot.count())
+        texts = rows.join(hot, "key", "left").withColumn("part", F.pmod(F.col("mark"), F.coalesce("parts", F.lit(1))).cast("int")).select("key", "part", "mark", "many", "text")
+        spoken = rows.join(per_key.select("key", "mark"), ["key", "mark"]).dropDuplicates(["key"]).select("key", "text")
+        place = ["key", "part"]
+    else:  # as named here and as next document: one exchange serves both
+        texts = spoken = rows.select("key", "text")
+        place = ["key"]
+
+    def for_parts(facts: DataFrame) -> DataFrame:
+        """The facts of a key for each of its parts."""
+        if not repeated_ids:
+            return facts
+        return facts.join(hot, "key", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+
+    heads = spoken.join(asked, spoken["key"] == asked["next_key"]).select(F.col("asker").alias("key"), F.substring("text", F.lit(1), F.col("quarter")).alias("head"))
+    both = texts.join(for_parts(heads), place)
     n = F.length("text")
     quarter = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - quarter), F.substring("head", F.lit(1), quarter))
-    both = both.select("key", "text", edited.alias("edited"))
+    both = both.withColumn("edited", edited).withColumn("mark", F.xxhash64("text"))
 
-    unique = both.dropDuplicates(["key", "text"]) if repeated else both
-    named = unique.select("key", F.xxhash64("text").alias("mark"), "text", "edited")
-    signed = signatures(named, ["text", "edited"], ["key", "mark"], samples)
-    signed = signed.select(F.col("key").alias("_k"), F.col("mark").alias("_m"), *[F.transform(s, lambda x: (x.bitwiseAND(F.lit(0xFFFF)) - 32768).cast("smallint")).alias(a) for s, a in (("text", "own"), ("edited", "changed"))])
-    facts = both.select("key", F.xxhash64("text").alias("mark"), n.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
-    # the key alone is the join's key, by which both sides are dealt already; the mark matters where rows repeat a key
-    same = (F.col("key") == F.col("_k")) & ((F.col("mark") - F.col("_m")) == 0)
-    signed = cut(facts.join(signed, same, "left").drop("_k", "_m"))
+    signed = signatures(both, ["text", "edited"], [*place, "mark"], samples)
+    signed = signed.select(*place, F.col("mark"), *[F.transform(s, lambda x: (x.bitwiseAND(F.lit(0xFFFF)) - 32768).cast("smallint")).alias(a) for s, a in (("text", "own"), ("edited", "changed"))])
+    facts = both.select(*place, "mark", *(["many"] if repeated_ids else []), n.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
+    # where no key is repeated, the key alone is the join's key: both sides are dealt by it already
+    signed = cut(facts.join(signed, [*place, "mark"], "left") if repeated_ids else facts.join(signed.drop("mark"), place, "left"))
 
     nothing = F.array_repeat(F.lit(-32768).cast("smallint"), samples)
-    spoken = signed.dropDuplicates(["key", "mark"]) if repeated else signed
-    after = spoken.select(F.col("key").alias("next_key"), F.col("mark").alias("next_mark"), F.col("own").alias("next_own"))
+    after = signed.select(F.col("key").alias("next_key"), F.col("mark").alias("next_mark"), F.col("own").alias("next_own"))
     following = links.join(per_key.select(F.col("key").alias("next_key"), F.col("mark").alias("next_mark")), "next_key")
     following = following.join(after, ["next_key", "next_mark"]).select("key", "next_own")
-    out = signed.join(following, "key").select(F.nullif("key", F.lit(NO_ID)).alias("doc_id"), "n_chars", "edited_sha256", *[F.coalesce(c, nothing).alias(c) for c in ("own", "changed", "next_own")])
+    out = signed.join(for_parts(following), place)
+    out = repeated(out, "many", "_nth", HOT) if repeated_ids else out
+    out = out.select(F.nullif("key", F.lit(NO_ID)).alias("doc_id"), "n_chars", "edited_sha256", *[F.coalesce(c, nothing).alias(c) for c in ("own", "changed", "next_own")])
     return out.select(
         "doc_id",
         "n_chars",
