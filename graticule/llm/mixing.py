@@ -109,22 +109,20 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
 
 def take(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, max_epochs: int = 2) -> DataFrame:
     """The rows of `docs`, each as often as the mix takes it. Only keys and sizes go through the queue; the rows meet them once."""
-    columns = docs.columns
-    mark = F.xxhash64(*columns)
-    mixed = mix(docs.withColumn("_mark", mark), weights, share, max_epochs, ["_mark"])
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(whole.alias("_row"), F.col("doc_id").cast("long").alias("_key"), F.xxhash64(whole).alias("_mark"))  # no name of `docs` is used beside these
+    mixed = mix(rows.select("_row.doc_id", "_row.source", "_row.text", "_mark"), weights, share, max_epochs, ["_mark"])
     copies = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0).cast("long")
     runs = mixed.groupBy(F.col("doc_id").alias("_id"), F.col("_mark").alias("_m")).agg(F.sum(copies).alias("_copies"), F.count(F.lit(1)).alias("_many"))
     runs = cut(runs.where("_copies > 0"))
     n = runs.count()
-    rows = docs.withColumn("_key", F.col("doc_id").cast("long")).withColumn("_mark", mark)
     meet = rows["_key"].eqNullSafe(F.col("_id")) & (rows["_mark"] == F.col("_m"))
-    single = rows.join(maybe_broadcast(runs.where("_many = 1"), n), meet)
-    out = single.select(*columns, "_copies")
+    out = rows.join(maybe_broadcast(runs.where("_many = 1"), n), meet).select("_row", "_copies")
     equal = runs.where("_many > 1")
     if equal.limit(1).count():  # equal rows: one of them, as often as all of them are taken
-        same = rows.join(maybe_broadcast(equal, n), meet).groupBy("_id", "_m", "_copies").agg(F.first(F.struct(*columns)).alias("_row"))
-        out = out.unionByName(same.select(*[F.col(f"_row.{c}").alias(c) for c in columns], "_copies"))
-    return repeated(out, "_copies", "_i", RUN).select(*columns)
+        same = rows.join(maybe_broadcast(equal, n), meet).groupBy("_id", "_m", "_copies").agg(F.first("_row").alias("_row"))
+        out = out.unionByName(same.select("_row", "_copies"))
+    return repeated(out.select(F.col("_row").alias("row"), "_copies"), "_copies", "_i", RUN).select("row.*")
 
 
 ORACLE = r"""
