@@ -15,12 +15,16 @@ licences, and SPDX lines. A pattern's place is where it begins; one that lies wi
 pattern doesn't count. An SPDX expression gives each of its identifiers, as it is written there.
 
 Edge cases: a null or empty text matches nothing; every row is returned, with an empty list where nothing matches; rows
-that repeat a doc_id are scanned each; an empty table gives an empty result.
+that repeat a doc_id are scanned each; an empty table gives an empty result; extra columns are ignored, whatever their
+names. A text is scanned whole, in time that follows its length: places of spans and of SPDX lines are carried on, not
+counted anew. Of known sentences that begin at one place the longest counts, of patterns and rules the first in order; the
+sentences of a rule may be found in any way within the gap, and the match ends as early as it can.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -134,7 +138,7 @@ _SLOTTED = [(name, re.compile(p + r"\b")) for name, p in PATTERNS.items()]
 _STARTS = re.compile(r"\b(?:licensed|released|distributed|available|published|provided|covered|governed|redistribute it|neither the name|permission (?:to use|is )|this (?:is free and|source code form)|cc0 1 0|eclipse public license v)")
 _HINTS = ("licens", "neither the name", "permission", "unencumbered", "cc0", "gpl", "bsd", "cc by", "creative commons")
 
-_PLAIN = re.compile(r"[^a-z0-9]+")
+_PLAIN, _WORD = re.compile(r"[^a-z0-9]+"), re.compile(r"[a-z0-9]+")
 _END = re.compile(rb"[.;:!?]*[ \t\r\f\v]*\n+|[.;:!?]+[ \t\r\f\v]+")
 
 
@@ -191,11 +195,12 @@ class Scanner:
         if not any(h in plain for h in _HINTS):
             return []
         starts = places(parts)
-        taken = [(starts[a], starts[b]) for a, b in spans]
+        edges = [starts[a] for a, _ in spans]
+        inside = [0, *(starts[b] for _, b in spans)]  # the end of the last span that begins at a place or before
         out, done = [], 0
         for begin in _STARTS.finditer(plain):
             at = begin.start()
-            if at < done or any(a <= at < b for a, b in taken):
+            if at < done or at < inside[bisect_right(edges, at)]:
                 continue
             for name, pattern in self.patterns:
                 if hit := pattern.match(plain, at):
@@ -203,8 +208,14 @@ class Scanner:
                     done = hit.end()
                     break
         if "spdx license identifier" in plain:
+            upto, letters, words, last = 0, 0, 0, ""  # of the text so far: letters and words after normalising
             for line in _SPDX.finditer(text):
-                at = len(normalise(text[: line.start()].decode("utf-8", "replace")))
+                between = text[upto : line.start()].decode("utf-8", "replace").lower()
+                more = _WORD.findall(between)
+                letters += sum(map(len, more))
+                words += len(more) - bool(more and _WORD.match(between) and _WORD.match(last))
+                upto, last = line.start(), between[-1:] or last
+                at = letters + max(0, words - 1)
                 expression = re.sub(r"\bWITH\s+\S+", " ", line.group(1).decode("utf-8", "replace"), flags=re.I)
                 one = _SPDX_ID.pattern
                 whole = re.match(rf"[\s()]*{one}(?:[\s()]+(?:AND|OR)[\s()]+{one})*", expression, re.I)
@@ -220,15 +231,12 @@ class Scanner:
             for licence, rule in self.rules:
                 if ids[at] != rule[0]:
                     continue
-                place = at
+                ends = [at]  # where the sentences of the rule so far can end
                 for wanted in rule[1:]:
-                    window = ids[place + 1 : place + 2 + self.gap]
-                    if wanted not in window:
-                        break
-                    place += 1 + window.index(wanted)
-                else:
+                    ends = sorted({i for end in ends for i in range(end + 1, min(end + 2 + self.gap, len(ids))) if ids[i] == wanted})
+                if ends:
                     out.append(licence)
-                    at = place
+                    at = ends[0]
                     break
             at += 1
         return out
