@@ -7,11 +7,12 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, MapType, StringType
+from pyspark.sql.types import ArrayType, MapType, StringType, StructType
 
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _BLOCK = {"p", "div", "table", "tr", "ul", "ol", "li", "section", "article", "header", "footer", "nav", "main", "blockquote", "pre", "h1", "h2", "h3", "h4", "h5", "h6", "body"}
@@ -85,21 +86,19 @@ def note_kind(icon: str) -> str:
     return next((k for k in ("Caution", "Warning", "Tip", "Note") if k.lower() in low), "Note")
 
 
-def _image(node: Node, base: str, known: set[str] | None) -> str:
-    source, alt = node.attrs.get("src", "").strip(), node.attrs.get("alt", "").strip()
-    if not source:
-        return ""
-    if source.startswith("data:"):
-        return f"[Image: {alt}]" if alt else ""
-    if not source.startswith("http"):
-        source = source.removeprefix("./")
-        inside = ".." not in source.split("/") and not source.startswith("/")
-        if base and inside and (known is None or source in known):
-            source = f"{base}/{source}"
+def _shown(alt: str, source: str) -> str:
     return f"![{alt}]({source})"
 
 
-def _render(node: Node, base: str, known: set[str] | None, depth: int = 0, ordered: bool = False) -> str:
+def _image(node: Node, local: Callable[[str, str], str]) -> str:
+    """An image: embedded ones as their description, those with an address as they are, others as `local` has them."""
+    source, alt = node.attrs.get("src", "").strip(), node.attrs.get("alt", "").strip()
+    if not source or source.startswith("data:"):
+        return f"[Image: {alt}]" if source and alt else ""
+    return _shown(alt, source) if source.startswith("http") else local(source.removeprefix("./"), alt)
+
+
+def _render(node: Node, local: Callable[[str, str], str], depth: int = 0, ordered: bool = False) -> str:
     parts: list[str] = []
     number = 0
     for child in node.children:
@@ -114,56 +113,73 @@ def _render(node: Node, base: str, known: set[str] | None, depth: int = 0, order
             content = next((n for n in child.walk() if n.name == "td" and n.has_class("hs-box-content")), child)
             parts.append(f"\n\n**{note_kind(icon)}:** {content.text()}\n\n")
         elif name == "img":
-            parts.append(_image(child, base, known))
+            parts.append(_image(child, local))
         elif name == "br":
             parts.append("  \n")
         elif re.fullmatch("h[1-6]", name):
-            title = re.sub(r"\s+", " ", _render(child, base, known, depth)).strip()
+            title = re.sub(r"\s+", " ", _render(child, local, depth)).strip()
             parts.append(f"\n\n{'#' * int(name[1])} {title}\n\n" if title else "")
         elif name in ("ul", "ol"):
-            parts.append("\n\n" * (depth == 0) + _render(child, base, known, depth + 1, name == "ol") + "\n" * (depth == 0))
+            parts.append("\n\n" * (depth == 0) + _render(child, local, depth + 1, name == "ol") + "\n" * (depth == 0))
         elif name == "li":
             number += 1
-            body = _render(child, base, known, depth).strip()
+            body = _render(child, local, depth).strip()
             body = re.sub(r"\n+", "\n", body)
             mark = f"{number}." if ordered else "*"
             parts.append(f"\n{'  ' * max(depth - 1, 0)}{mark} {body}")
         elif name in ("strong", "b", "em", "i", "code"):
             mark = {"strong": "**", "b": "**", "em": "*", "i": "*", "code": "`"}[name]
-            body = _render(child, base, known, depth).strip()
+            body = _render(child, local, depth).strip()
             parts.append(f"{mark}{body}{mark}" if body else "")
         elif name == "a":
-            body, href = _render(child, base, known, depth).strip(), child.attrs.get("href", "")
+            body, href = _render(child, local, depth).strip(), child.attrs.get("href", "")
             parts.append(f"[{body}]({href})" if href and body else body)
         elif name == "pre":
             parts.append(f"\n\n```\n{child.text(chr(10))}\n```\n\n")
         elif name == "tr":
             cells = [c for c in child.children if isinstance(c, Node) and c.name in ("td", "th")]
-            parts.append("\n| " + " | ".join(re.sub(r"\s+", " ", _render(c, base, known, depth)).strip() for c in cells) + " |")
+            parts.append("\n| " + " | ".join(re.sub(r"\s+", " ", _render(c, local, depth)).strip() for c in cells) + " |")
             if cells and all(c.name == "th" for c in cells):
                 parts.append("\n|" + " --- |" * len(cells))
         elif name in _BLOCK:
-            parts.append(f"\n\n{_render(child, base, known, depth).strip()}\n\n")
+            parts.append(f"\n\n{_render(child, local, depth).strip()}\n\n")
         else:
-            parts.append(_render(child, base, known, depth))
+            parts.append(_render(child, local, depth))
     return "".join(parts)
 
 
-def html_to_markdown(html: str, title: str, asset_base: str = "", known_assets: set[str] | None = None) -> str:
-    """A page's main part (`#mainbody`, else body, else all) as Markdown under its title.
-
-    Scripts and styles are dropped, note boxes become paragraphs, local images get the asset base, embedded ones their
-    description; three and more line breaks become two.
-    """
-    root = parse(html)
+def _markdown(root: Node, title: str, local: Callable[[str, str], str]) -> str:
     main = next((n for n in root.walk() if n.attrs.get("id") == "mainbody"), None) or next((n for n in root.walk() if n.name == "body"), None)
-    if main is None:
-        main = root
-    body = _render(main, asset_base, known_assets).replace(" ", " ")
+    body = _render(main or root, local).replace("\u00a0", " ")
     body = "\n".join(x.rstrip() if not x.endswith("  ") else x for x in body.split("\n"))
     return re.sub(r"\n{3,}", "\n\n", f"# {title}\n\n{body.strip()}".strip() + "\n")
 
 
+def html_to_markdown(html: str, title: str) -> str:
+    """A page's main part (`#mainbody`, else body, else all) as Markdown under its title.
+
+    Scripts and styles are dropped, note boxes become paragraphs, embedded images their description; three and more line
+    breaks become two.
+    """
+    return _markdown(parse(html), title, lambda source, alt: _shown(alt, source))
+
+
+def html_page(html: str, name: str) -> tuple[str, list[str], list[tuple[str, str]]]:
+    """Title (`#pagetitle`, else `name`), Markdown in parts, and the local images (address without a leading `./`, description)
+    that stand between the parts, whose addresses aren't known yet."""
+    root = parse(html.replace("\0", ""))
+    named = next((n for n in root.walk() if n.attrs.get("id") == "pagetitle"), None)
+    title = named.text() if named else name
+    images: list[tuple[str, str]] = []
+
+    def local(source: str, alt: str) -> str:
+        images.append((source, alt))
+        return f"\0{len(images) - 1}\0"
+
+    pieces = re.split("\0([0-9]+)\0", _markdown(root, title, local))
+    return title, pieces[::2], [images[int(i)] for i in pieces[1::2]]
+
+
 def toc_paths(html: str, doc_title: str) -> dict[str, list[str]]:
     """Heading path by link target from a guide's contents page.
 
@@ -195,6 +211,16 @@ def markdown_of(html: pd.Series, title: pd.Series) -> pd.Series:
     return pd.Series([html_to_markdown(h or "", t or "") for h, t in zip(html, title, strict=True)])
 
 
+PAGE = StructType().add("title", StringType()).add("parts", ArrayType(StringType())).add("images", ArrayType(StructType().add("original", StringType()).add("alt", StringType())))
+
+
+@F.pandas_udf(PAGE)
+def page_of(html: pd.Series, name: pd.Series) -> pd.DataFrame:
+    """html_page as a column function."""
+    made = [html_page(h or "", n or "") for h, n in zip(html, name, strict=True)]
+    return pd.DataFrame({"title": [t for t, _, _ in made], "parts": [p for _, p, _ in made], "images": [[{"original": s, "alt": a} for s, a in i] for _, _, i in made]})
+
+
 @F.pandas_udf(MapType(StringType(), ArrayType(StringType())))
 def paths_of(html: pd.Series, title: pd.Series) -> pd.Series:
     """toc_paths as a column function."""

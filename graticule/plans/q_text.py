@@ -6,6 +6,8 @@ the same way on both sides.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from graticule.functions import text as T
 from graticule.functions import web
 from graticule.operators import chunking
 from graticule.plans.registry import register
+from graticule.sources import guides
 from graticule.sources.tables import table
 
 BLANK = r"[\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -344,3 +347,25 @@ def admonitions(spark, sf_dir):
 @register("nfkc_text")
 def nfkc_text(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", kernels.nfkc("text").alias("text"))
+
+
+# References of the shapes that pages have, and the files that there are, both by document: a plain name, a step that leads
+# nowhere, a way out of the guide and back, a folder that is left again, two ways out, an absolute path, a double slash.
+SHAPES = ["img/{}.png", "./img/./{}.png", "../{s}/img/{}.png", "sub/deep/../../img/{}.png", "../../{s}/img/{}.png", "/{s}/img/{}.png", "a/../../img/{}.png", "img//{}.png"]
+_SHAPED = "case doc_id % 8 " + " ".join("when {} then {}".format(i, " || ".join(f"'{part}'" if k % 2 == 0 else {"s": "source", "": "doc_id"}[part] for k, part in enumerate(re.split("{(s?)}", shape)))) for i, shape in enumerate(SHAPES)) + " end"
+_CLIMB = r"""regexp_replace({0}, '(^|/)[^/.][^/]*/\.\./', '\1')"""
+
+
+@register(
+    "resolved_images",
+    f"""with r as (select doc_id, source, {_SHAPED} as original from documents where source is not null),
+  w as (select *, case when original like '/%' then null else regexp_replace(regexp_replace(source || '/' || original, '/(\./)+', '/', 'g'), '/+', '/', 'g') end as p from r),
+  c as (select *, {_CLIMB.format(_CLIMB.format(_CLIMB.format('p')))} as q from w),
+  a as (select distinct source || '/img/' || doc_id || '.png' as asset from documents where doc_id % 3 <> 0)
+  select doc_id, original, asset from c left join a on c.q = a.asset and c.q like c.source || '/%'""",
+)
+def resolved_images(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where("source is not null")
+    references = docs.select("doc_id", F.col("source").alias("guide"), F.expr(_SHAPED).alias("original"))
+    assets = docs.where("doc_id % 3 <> 0").select(F.format_string("%s/img/%d.png", "source", "doc_id").alias("asset"))
+    return guides.resolve_images(references, assets).select("doc_id", "original", "asset")

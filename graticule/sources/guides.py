@@ -11,8 +11,9 @@ import time
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graticule.functions.html import markdown_of, paths_of
+from graticule.functions.html import page_of, paths_of
 from graticule.functions.text import slugify
+from graticule.operators.index import small
 
 #: A line of a page catalogue.
 PAGE_RECORD = (
@@ -51,33 +52,88 @@ def _contents(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(found, "doc_title string, text string")
 
 
-def read_guides(spark: SparkSession, path: str) -> DataFrame:
-    """Pages of HTML guides, one folder each: (doc_id, doc_title, page_id, page_title, heading_path, markdown, place).
+def _below(spark: SparkSession, root: str, path: Column) -> Column:
+    """A file's path below a folder, null for one that isn't there."""
+    fs, place = _fs(spark, root)
+    plain = lambda c: F.regexp_replace(c, "^[A-Za-z][A-Za-z0-9+.-]*:/*", "/")
+    inside = F.concat(plain(F.lit(fs.makeQualified(place).toString().rstrip("/"))), F.lit("/"))
+    return F.when(plain(path).startswith(inside), F.substring(plain(path), F.length(inside) + 1, F.length(plain(path))))
+
 
-    The contents page, where there is one, names a guide's pages and their order; without it every page counts whose name
-    doesn't begin with two underscores, by name.
+def resolved(guide: Column, reference: Column) -> Column:
+    """Where a reference in a guide's folder leads, as a path below the folder of all guides; null if that isn't in the guide.
+
+    The path is a stack of names: `.` and empty names leave it as it is, `..` takes the last name off. Beyond the folder of all
+    guides there is no way back.
     """
-    files = read_texts(spark, path, "*.html").select(
-        F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("doc_title"), F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "text"
+    step = lambda stack, name: (
+        F.when(name.isin("", "."), stack)
+        .when((name == "..") & (F.size(stack) > 0) & (F.element_at(F.concat(F.array(F.lit("..")), stack), -1) != ".."), F.slice(stack, 1, F.greatest(F.size(stack) - 1, F.lit(0))))
+        .otherwise(F.concat(stack, F.array(name)))
     )
+    stack = F.aggregate(F.split(reference, "/", -1), F.array(guide), step)
+    inside = ~reference.startswith("/") & (F.size(stack) > 1) & (F.get(stack, F.lit(0)) == guide)
+    return F.when(inside, F.array_join(stack, "/"))
+
+
+def resolve_images(references: DataFrame, assets: DataFrame) -> DataFrame:
+    """References (guide, original) with the file that each leads to (`asset`, null where the listing has none).
+
+    assets: (asset), paths below the folder of all guides. Only names travel; a short listing is broadcast, a long one joined.
+    """
+    known = small(assets.select("asset").distinct())
+    return references.withColumn("_to", resolved(F.col("guide"), F.col("original"))).join(known, F.col("_to") == F.col("asset"), "left").drop("_to")
+
+
+def list_assets(spark: SparkSession, path: str) -> DataFrame:
+    """(asset): every file below a folder of guides, by name alone. Spark passes over names that begin with a dot or `_`."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select(_below(spark, path, F.col("path")).alias("asset"))
+
+
+def read_guides(spark: SparkSession, path: str, version: str = "") -> DataFrame:
+    """Pages of HTML guides, one folder each, as records of a catalogue with `markdown` and `place`.
+
+    The contents page, where there is one, names a guide's pages and their order; without it every page in the folder itself
+    counts whose name doesn't begin with two underscores, by name. A page's title is its `#pagetitle`, else its name.
+    Images that lead to a file in the guide get the address `/assets/<version>/<doc_id>/<reference>`, others keep theirs.
+    """
+    files = read_texts(spark, path, "*.html").select(_below(spark, path, F.col("path")).alias("_rel"), "text")
+    files = files.select(F.substring_index("_rel", "/", 1).alias("doc_title"), F.regexp_extract("_rel", "^[^/]+/(.+)$", 1).alias("file"), "text").where("file <> ''")
     toc = _contents(spark, path).select("doc_title", paths_of("text", "doc_title").alias("paths"))
     listed = toc.select("doc_title", F.posexplode(F.map_entries("paths")).alias("place", "_e")).select("doc_title", "place", F.col("_e.key").alias("file"), F.col("_e.value").alias("heading_path"))
     pages = files.where(~F.col("file").startswith("__"))
-    with_toc = pages.join(listed, ["doc_title", "file"])
-    without = pages.join(toc.select("doc_title"), "doc_title", "left_anti")
+    with_toc = pages.join(small(listed), ["doc_title", "file"])
+    without = pages.where(~F.contains("file", F.lit("/"))).join(small(toc.where(F.size("paths") > 0).select("doc_title")), "doc_title", "left_anti")
     order = Window.partitionBy("doc_title").orderBy("file")
-    without = without.withColumn("place", F.row_number().over(order) - 1).withColumn("heading_path", F.array("doc_title", F.regexp_replace("file", r"\.html$", "")))
-    every = with_toc.select("doc_title", "file", "text", "place", "heading_path").unionByName(without.select("doc_title", "file", "text", "place", "heading_path"))
-    stem = F.regexp_replace("file", r"\.html$", "")
-    title = F.coalesce(F.element_at("heading_path", -1), stem)
-    return every.select(
-        slugify(F.col("doc_title")).alias("doc_id"),
+    named = without.select("doc_title", "file").withColumn("place", F.row_number().over(order) - 1)
+    without = without.join(small(named), ["doc_title", "file"]).withColumn("heading_path", F.lit(None).cast("array<string>"))
+    columns = ["doc_title", "file", "text", "place", "heading_path"]
+    every = with_toc.select(*columns).unionByName(without.select(*columns))
+    stem = F.regexp_replace("file", r"^.*/|\.html$", "")
+    parsed = every.select("doc_title", "file", "place", "heading_path", slugify(F.col("doc_title")).alias("doc_id"), slugify(stem).alias("page_id"), page_of("text", stem).alias("page"))
+
+    # only addresses go through the join; the page's text stays in its row
+    references = parsed.select("doc_title", "doc_id", "file", F.posexplode("page.images").alias("n", "_i")).select(F.col("doc_title").alias("guide"), "doc_id", "file", "n", "_i.original", "_i.alt")
+    found = resolve_images(references, list_assets(spark, path))
+    url = F.when(F.col("asset").isNotNull(), F.concat_ws("/", F.lit("/assets"), F.lit(version), "doc_id", "original")).otherwise(F.col("original"))
+    found = found.groupBy(F.col("guide").alias("doc_title"), "file").agg(F.array_sort(F.collect_list(F.struct("n", "original", url.alias("url"), "alt", F.col("asset").isNotNull().alias("held")))).alias("_images"))
+    placed = parsed.join(found, ["doc_title", "file"], "left")
+    shown = F.transform(F.coalesce("_images", F.array().cast(found.schema["_images"].dataType)), lambda i: F.concat(F.lit("!["), i["alt"], F.lit("]("), i["url"], F.lit(")")))
+    markdown = F.array_join(F.zip_with("page.parts", shown, lambda part, image: F.concat(part, F.coalesce(image, F.lit("")))), "")
+    kept = F.transform(F.filter("_images", lambda i: i["held"]), lambda i: F.struct(i["original"].alias("original"), i["url"].alias("url"), i["alt"].alias("alt")))
+    return placed.select(
+        F.lit(version).alias("version"),
+        "doc_id",
         "doc_title",
-        slugify(stem).alias("page_id"),
-        title.alias("page_title"),
-        "heading_path",
-        markdown_of("text", title).alias("markdown"),
+        "page_id",
+        F.col("page.title").alias("page_title"),
+        F.coalesce("heading_path", F.array("doc_title", "page.title")).alias("heading_path"),
         F.concat_ws("/", "doc_title", "file").alias("source_path"),
+        F.lit("pagetitle").alias("anchor"),
+        F.coalesce(kept, F.array().cast("array<struct<original:string,url:string,alt:string>>")).alias("images"),
+        F.concat(F.lit("pages/"), "doc_id", F.lit("/"), "page_id", F.lit(".md")).alias("markdown_path"),
+        markdown.alias("markdown"),
         "place",
     )
 
@@ -90,22 +146,25 @@ def read_catalog(spark: SparkSession, path: str, strict: bool = True) -> DataFra
 
 
 def read_datastore(spark: SparkSession, path: str) -> DataFrame:
-    """Catalogue records of a datastore with the Markdown of their pages, `pages/<doc_id>/<page_id>.md`; lenient: lines that
-    are no records are skipped, as are records without their file."""
+    """Catalogue records of a datastore with the Markdown of their pages; lenient: lines that are no records are skipped, as
+    are records without their text. The texts are what `write_datastore` wrote, or files `pages/<doc_id>/<page_id>.md`."""
     found = read_catalog(spark, f"{path}/pages.jsonl", strict=False).where((F.trim("doc_id") != "") & (F.trim("page_id") != ""))
-    texts = read_texts(spark, f"{path}/pages", "*.md")
-    texts = texts.select(F.regexp_extract("path", r"([^/]+)/[^/]+\.md$", 1).alias("doc_id"), F.regexp_extract("path", r"([^/]+)\.md$", 1).alias("page_id"), F.col("text").alias("markdown"))
+    fs, table = _fs(spark, f"{path}/markdown/_SUCCESS")
+    if fs.exists(table):
+        texts = spark.read.parquet(f"{path}/markdown")
+    else:
+        files = read_texts(spark, f"{path}/pages", "*.md")
+        texts = files.select(F.regexp_extract("path", r"([^/]+)/[^/]+\.md$", 1).alias("doc_id"), F.regexp_extract("path", r"([^/]+)\.md$", 1).alias("page_id"), F.col("text").alias("markdown"))
     title, page = F.coalesce("doc_title", "doc_id"), F.coalesce("page_title", "page_id")
     return found.join(texts, ["doc_id", "page_id"]).withColumns({"doc_title": title, "page_title": page})
 
 
-def write_catalog(pages: DataFrame, path: str) -> None:
-    pages.write.mode("overwrite").json(path)
-
-
-def write_markdown(pages: DataFrame, path: str) -> None:
-    """Page texts in a folder for each doc, as one Parquet dataset rather than a small file for each page."""
-    pages.select("doc_id", "page_id", "markdown").write.mode("overwrite").partitionBy("doc_id").parquet(path)
+def write_datastore(pages: DataFrame, path: str) -> None:
+    """Page records (`pages.jsonl`, one object a line) and their Markdown (`markdown`, one table rather than a small file for each
+    page), as `read_datastore` and `versions` find them."""
+    record = [c.split(" ", 1)[0] for c in PAGE_RECORD.split(", ")]
+    pages.select("doc_id", "page_id", "markdown").write.mode("overwrite").parquet(f"{path}/markdown")
+    pages.select(*[c for c in record if c in pages.columns]).write.mode("overwrite").json(f"{path}/pages.jsonl")
 
 
 def doc_titles(catalog: DataFrame, order: str) -> DataFrame:
@@ -166,12 +225,14 @@ def swap(spark: SparkSession, build: str, live: str, keep: int = 8, carry: tuple
         fs.delete(stale, True)
 
 
-def copy_assets(spark: SparkSession, source: str, target: str) -> DataFrame:
-    """Binary assets as a table (relative path, bytes), written below a target; the path must stay below the source."""
+def copy_assets(spark: SparkSession, source: str, target: str, pages: DataFrame | None = None) -> DataFrame:
+    """Files below a folder as a table (asset, content, length) written to a target; with `pages` (of `read_guides`), only those
+    that their images lead to, with the address of each image (url)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(source)
-    root = F.regexp_replace(F.lit(source.split(":", 1)[-1]), "^/*", "/")
-    inside = F.concat(root, F.lit("/"))
-    place = F.regexp_replace("path", "^[a-z]+:/*", "/")
-    kept = files.where(place.startswith(inside) & ~F.contains(place, F.lit("/../"))).select(F.substring(place, F.length(inside) + 1, F.length(place)).alias("path"), "content", "length")
+    kept = files.select(_below(spark, source, F.col("path")).alias("asset"), "content", "length").where("asset is not null")
+    if pages is not None:
+        images = pages.select(F.col("doc_title"), F.explode("images").alias("i"))
+        wanted = images.select(resolved(F.col("doc_title"), F.col("i.original")).alias("asset"), F.col("i.url").alias("url")).distinct()
+        kept = kept.join(small(wanted), "asset")
     kept.write.mode("overwrite").parquet(target)
     return spark.read.parquet(target)

@@ -112,10 +112,10 @@ def test_images_close_blocks():
 
 def test_html_to_markdown():
     page = '<html><body><div id="mainbody"><script>no</script><h2>A &amp; B</h2><p>x <b>y</b></p><ul><li>one</li><li>two</li></ul><table class="hs-box"><tr><td class="hs-box-icon"><img src="warning.png"></td><td class="hs-box-content">Mind   this</td></tr></table><img src="./p.png" alt="P"><img src="data:xx" alt="D"></div></body></html>'
-    out = html.html_to_markdown(page, "T", "/assets/v/d", {"p.png"})
+    out = html.html_to_markdown(page, "T")
     assert out.startswith("# T\n\n## A & B\n\nx **y**")
     assert "* one\n* two" in out and "**Warning:** Mind   this" in out
-    assert "![P](/assets/v/d/p.png)" in out and "[Image: D]" in out and "no" not in out.split("T", 1)[1].replace("note", "")
+    assert "![P](p.png)" in out and "[Image: D]" in out and "no" not in out.split("T", 1)[1].replace("note", "")
     assert html.html_to_markdown("", "T") == "# T\n"
 
 
@@ -286,7 +286,7 @@ def test_guides_are_read_in_contents_order(spark, tmp_path):
     (guide / "a.html").write_text("<body><p>A</p></body>")
     (guide / "__tableofcontents.html").write_text('<table class="TableOfContents"><td><a class="__tocentry" href="b.html">Bee</a></td></table>')
     got = guides.read_guides(spark, str(tmp_path)).collect()
-    assert [(r["doc_id"], r["page_id"], r["heading_path"], r["markdown"]) for r in got] == [("my-guide", "b", ["My Guide", "Bee"], "# Bee\n\nB\n")]
+    assert [(r["doc_id"], r["page_id"], r["heading_path"], r["markdown"]) for r in got] == [("my-guide", "b", ["My Guide", "Bee"], "# b\n\nB\n")]
 
 
 def test_catalogue_reader(spark, tmp_path):
