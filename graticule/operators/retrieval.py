@@ -7,20 +7,26 @@ nine decimals, then by chunk id, so that sums in any order rank alike.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from graticule.functions.text import STOPWORDS, tokens
 from graticule.operators import scoring
 from graticule.operators.index import BROADCAST_ROWS, CorpusIndex, corpus_stats, document_frequency, idf, postings
+from graticule.operators.lineage import cut
 
 #: Words of a batch, and (query, page) pairs of its routes, up to which the batch is sent to every task; beyond that, joins.
 BATCH_WORDS = 500_000
-#: Vectors in a block of candidates and in a block of queries.
-CANDIDATES, QUERIES = 4096, 1024
+#: Vectors in a block of candidates and in a block of queries, and components of all queries that are sent to the tasks at once.
+CANDIDATES, QUERIES = 4096, 256
+WAVE = 4_000_000
 
 
 def top_k(scored: DataFrame, k: int, by: list[str] | None = None, key: str = "chunk_id", score: str = "score") -> DataFrame:
@@ -108,53 +114,83 @@ def bm25(queries: DataFrame, chunks: DataFrame | CorpusIndex, k: int = 8, allowe
             if r["qid"] in place:
                 pages.setdefault(place[r["qid"]], []).append(r["page"])
         rows = rows.withColumn("_page", page_mark())
-    return top_k(scoring.score_chunks(rows, batch, weights, scoring.mean_length(n, total), k, k1, b, pages), k)
+    scored = scoring.score_chunks(rows, batch, weights, scoring.mean_length(n, total), k, k1, b, pages)
+    return top_k(scored.withColumn("qid", F.col("qid").cast(queries.schema["qid"].dataType)), k)
 
 
-def vector_rank(queries: DataFrame, vectors: DataFrame, k: int, leave_out_self: bool = False, routes: DataFrame | None = None) -> DataFrame:
+def vector_rank(queries: DataFrame, vectors: DataFrame, k: int, leave_out_self: bool = False, routes: DataFrame | None = None, wave: int = WAVE) -> DataFrame:
     """The k nearest vectors of each query by inner product in double precision.
 
-    queries: (qid, vector); vectors: (chunk_id, vector), all of one dimension. Both are packed in blocks; each pair of
-    blocks is one product, of which only the k best of a query go on. With routes (qid, doc_id, page_id), vectors also
-    has doc_id and page_id, and a query that has routes ranks all vectors of its pages and no others.
+    queries: (qid, vector); vectors: (chunk_id, vector), all of one dimension; ids are numbers or strings. The candidates
+    stay where they are read: the queries are sent to them in waves of a bounded size, and a task passes on the k best it has
+    seen of each query. With routes (qid, doc_id, page_id), vectors also has doc_id and page_id, and a query that has routes
+    ranks all vectors of its pages and no others. Null vectors take no part.
     """
     routed = routes is not None
-    page = F.lit(None).cast("string")
-    if routed:
-        page = F.concat(F.length(F.col("doc_id").cast("string")), F.lit(":"), "doc_id", "page_id")
-        queries = queries.join(routes.groupBy("qid").agg(F.collect_set(page).alias("pages")), "qid", "left")
-    else:
-        queries = queries.withColumn("pages", F.lit(None).cast("array<string>"))
-    vectors = vectors.withColumn("pages", page)
-    n_c = max(1, -(-vectors.count() // CANDIDATES))
-    n_q = max(1, -(-queries.count() // QUERIES))
-    sizes = queries.select(F.size("vector").alias("n")).union(vectors.select(F.size("vector").alias("n"))).agg(F.min("n"), F.max("n")).first()
-    if sizes[0] is not None and sizes[0] != sizes[1]:
-        raise ValueError(f"vectors have between {sizes[0]} and {sizes[1]} dimensions")
-    pack = lambda df, key, n: df.groupBy(F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("block")).agg(F.collect_list(F.struct(F.col(key).alias("id"), F.col("vector").cast("array<double>").alias("v"), "pages")).alias("rows"))
-    left = pack(queries, "qid", n_q).select(F.col("rows").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))).alias("block"))
-    tiles = left.join(pack(vectors, "chunk_id", n_c).withColumnRenamed("rows", "c"), "block").select("q", "c")
-
-    def product(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for q_rows, c_rows in zip(batch["q"], batch["c"], strict=True):
-                qid, cid = (np.array([r["id"] for r in rows]) for rows in (q_rows, c_rows))
-                q, c = (np.stack([r["v"] for r in rows]) for rows in (q_rows, c_rows))
-                score = np.zeros((len(qid), len(cid)))
-                for d in range(q.shape[1]):  # in component order: equal vectors get equal scores
-                    score += q[:, d, None] * c[None, :, d]
-                if leave_out_self:
-                    score[qid[:, None] == cid[None, :]] = -np.inf
-                if routed:
-                    code, names = pd.factorize(np.array([r["pages"] for r in c_rows], dtype=object))  # -1: no page
+    no_page = F.lit(None).cast("string")
+    page = F.concat(F.length(F.col("doc_id").cast("string")), F.lit(":"), "doc_id", "page_id") if routed else no_page
+    asked = queries.where("vector is not null").select("qid", F.col("vector").cast("array<double>").alias("vector"))
+    pages = routes.groupBy("qid").agg(F.collect_set(page).alias("pages")) if routed else None
+    asked = asked.join(pages, "qid", "left") if routed else asked.withColumn("pages", F.array(no_page).cast("array<string>"))
+    held = vectors.where("vector is not null").select("chunk_id", F.col("vector").cast("array<double>").alias("vector"), page.alias("page"))
+    least, most, total = asked.agg(F.min(F.size("vector")), F.max(F.size("vector")), F.sum(F.size("vector") + 8 * F.greatest(F.size("pages"), F.lit(0)))).first()
+    sizes = held.agg(F.min(F.size("vector")), F.max(F.size("vector"))).first()
+    bounds = [x for x in (least, most, *sizes) if x is not None]
+    if bounds and min(bounds) != max(bounds):
+        raise ValueError(f"vectors have between {min(bounds)} and {max(bounds)} dimensions")
+    waves = max(1, -(-(total or 0) // wave))
+    schema = T.StructType([T.StructField("qid", queries.schema["qid"].dataType), T.StructField("chunk_id", vectors.schema["chunk_id"].dataType), T.StructField("score", T.DoubleType())])
+    types = [to_arrow_type(f.dataType) for f in schema]
+
+    def ranked(rows: list) -> DataFrame:
+        qid = np.array([r["qid"] for r in rows], dtype=None if types[0] != pa.string() else object)
+        q = np.array([r["vector"] for r in rows], dtype=np.float64)
+        allowed = [None if r["pages"] is None or not routed else set(r["pages"]) for r in rows]
+
+        def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, types[1].to_pandas_dtype()), np.zeros(0))] * (-(-len(qid) // QUERIES))
+            for batch in batches:
+                for at in range(0, batch.num_rows, CANDIDATES):
+                    part = batch.slice(at, CANDIDATES)
+                    cid = part.column(0).to_numpy(zero_copy_only=False)
+                    c = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(cid), -1)
+                    code, names = pd.factorize(part.column(2).to_numpy(zero_copy_only=False)) if routed else (None, ())
                     place = {name: i for i, name in enumerate(names)}
-                    for row, pages in zip(score, (r["pages"] for r in q_rows), strict=True):
-                        if pages is not None:
-                            row[~np.isin(code, [place[p] for p in pages if p in place])] = -np.inf
-                column, row = scoring.best(score.T, cid, k)
-                yield pd.DataFrame({"qid": qid[row], "chunk_id": cid[column], "score": score[row, column]})
-
-    return top_k(tiles.mapInPandas(product, "qid long, chunk_id long, score double"), k)
+                    for n, first in enumerate(range(0, len(qid), QUERIES)):
+                        mine = q[first : first + QUERIES]
+                        score = np.zeros((len(mine), len(cid)))
+                        for d in range(mine.shape[1]):  # in component order: equal vectors get equal scores
+                            score += mine[:, d, None] * c[None, :, d]
+                        if leave_out_self:
+                            score[qid[first : first + QUERIES, None] == cid[None, :]] = -np.inf
+                        for row, may in zip(score, allowed[first : first + QUERIES], strict=True):
+                            if may is not None:
+                                row[~np.isin(code, [place[p] for p in may if p in place])] = -np.inf
+                        column, row = scoring.best(score.T, cid, k)
+                        best[n] = _merged(best[n], (row + first, cid[column], score[row, column]), k)
+            for row, cid, score in best:
+                if len(row):
+                    yield pa.RecordBatch.from_arrays([pa.array(qid[row], types[0]), pa.array(cid, types[1]), pa.array(score)], schema.names)
+
+        return held.mapInArrow(product, schema)
+
+    if waves == 1:
+        return top_k(ranked(asked.collect()), k)  # bounded by the size of a wave
+    place = F.pmod(F.xxhash64("qid"), F.lit(waves))
+    parts = [cut(top_k(ranked(asked.where(place == w).collect()), k)) for w in range(waves)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _merged(one: tuple[np.ndarray, ...], two: tuple[np.ndarray, ...], k: int) -> tuple[np.ndarray, ...]:
+    """The k best (query, id, score) of each query of both."""
+    if not len(one[0]):
+        return two
+    query, ids, score = (np.concatenate(x) for x in zip(one, two, strict=True))
+    place = np.unique(ids.astype(str), return_inverse=True)[1] if ids.dtype == object else ids
+    order = np.lexsort((place, -np.round(score, 9), query))
+    query, ids, score = query[order], ids[order], score[order]
+    kept = np.arange(len(query)) - np.searchsorted(query, query) < k
+    return query[kept], ids[kept], score[kept]
 
 
 def rrf(lexical: DataFrame, semantic: DataFrame, k: float = 60, lexical_weight: float = 1.0, semantic_weight: float = 1.0) -> DataFrame:

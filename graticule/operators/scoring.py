@@ -203,7 +203,8 @@ def score_chunks(chunks: DataFrame, batch: Batch, weights: np.ndarray, avgdl: fl
                     r, c = best(score, ids, k)
                     yield pa.RecordBatch.from_arrays([pa.array(qids[q + c]), pa.array(ids[r]), pa.array(score[r, c])], ["qid", key, "score"])
 
-    return held.mapInArrow(run, f"qid long, `{key}` {chunks.schema[key].dataType.simpleString()}, score double")
+    named = "string" if batch.qids and isinstance(batch.qids[0], str) else "long"
+    return held.mapInArrow(run, f"qid {named}, `{key}` {chunks.schema[key].dataType.simpleString()}, score double")
 
 
 def _outside(pages: np.ndarray, marks: np.ndarray, pairs: np.ndarray, bound: np.ndarray, first: int) -> np.ndarray:

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graticule.functions.text import tokens
 
@@ -112,4 +113,5 @@ def mmr(ranked: DataFrame, k: int = 8, weight: float = 0.8, candidates: int = 80
         at = [i for i, _ in picked]
         return pd.DataFrame({"qid": frame["qid"].iloc[at].to_numpy(), "chunk_id": frame["chunk_id"].iloc[at].to_numpy(), "score": frame["score"].iloc[at].to_numpy(), "value": [v for _, v in picked], "place": range(1, len(at) + 1)})
 
-    return best.groupBy("qid").applyInPandas(choose, "qid long, chunk_id long, score double, value double, place int")
+    schema = T.StructType([best.schema["qid"], best.schema["chunk_id"]]).add("score", T.DoubleType()).add("value", T.DoubleType()).add("place", T.IntegerType())
+    return best.groupBy("qid").applyInPandas(choose, schema)
