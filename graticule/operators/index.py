@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graticule.functions.text import token_count, tokens
+from graticule.operators import scoring
 
 #: Rows up to which a measured frame is broadcast; beyond that the join is a shuffle join.
 BROADCAST_ROWS = 200_000
@@ -36,14 +37,14 @@ def corpus_stats(chunks: DataFrame, key: str = "chunk_id", text: str = "text") -
 def postings(chunks: DataFrame, key: str = "chunk_id", text: str = "text", terms: DataFrame | None = None) -> DataFrame:
     """(key, term, tf, length). With `terms`, only those terms' postings.
 
-    With `terms`, the others are dropped in the task that reads a chunk, and what is exchanged are postings. Without, all
-    tokens go on, and dealing the chunks first moves less than their postings would.
+    A chunk is one row, so its terms are counted in the task that reads it and no token is exchanged. With `terms`, the others
+    are dropped before they are counted.
     """
+    if terms is None:
+        return scoring.term_counts(chunks, key, text)
     found = chunks.select(key, tokens(F.col(text)).alias("_tokens"))
-    found = found.repartition(key) if terms is None else found
     each = found.select(key, F.size("_tokens").cast("long").alias("length"), F.explode("_tokens").alias("term"))
-    if terms is not None:
-        each = each.join(small(terms.select("term")), "term", "left_semi")
+    each = each.join(small(terms.select("term")), "term", "left_semi")
     return each.groupBy(key, "term", "length").agg(F.count(F.lit(1)).alias("tf")).select(key, "term", "tf", "length")
 
 

@@ -49,6 +49,16 @@ def _powers(n: int, base: int) -> np.ndarray:
 
 def token_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hash of each token of lower-cased texts, and the text it is in."""
+    starts, ends, doc = token_spans(data, offsets)
+    with np.errstate(over="ignore"):
+        total = np.zeros(len(data) + 1, dtype=U)
+        np.cumsum(_BYTE[data] * _powers(len(data), _BASE), out=total[1:])
+        raw = (total[ends] - total[starts]) * _powers(len(data) + 1, pow(_BASE, -1, 1 << 64))[starts]
+        return _spread(raw + (ends - starts).astype(U)), doc
+
+
+def token_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each token of lower-cased texts, and the text it is in."""
     inside = _TOKEN[data]
     for first, second in _PAIRS:
         both = np.flatnonzero((data[:-1] == first) & (data[1:] == second))
@@ -59,11 +69,7 @@ def token_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     after = np.r_[inside, False]
     starts = np.flatnonzero(after & (~before | edge))
     ends = np.flatnonzero(before & (~after | edge))
-    with np.errstate(over="ignore"):
-        total = np.zeros(len(data) + 1, dtype=U)
-        np.cumsum(_BYTE[data] * _powers(len(data), _BASE), out=total[1:])
-        raw = (total[ends] - total[starts]) * _powers(len(data) + 1, pow(_BASE, -1, 1 << 64))[starts]
-        return _spread(raw + (ends - starts).astype(U)), np.searchsorted(offsets, starts, side="right") - 1
+    return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
 
 
 def text_blocks(texts: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -117,6 +123,31 @@ def matched(data: np.ndarray, offsets: np.ndarray, n: int, terms: np.ndarray) ->
     return length, key // len(terms), key % len(terms), tf
 
 
+def term_counts(chunks: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
+    """(key, term, tf, length) of every term of every chunk, counted in the task that reads the chunk; nothing is exchanged."""
+    held = chunks.select(key, F.lower(F.coalesce(text, F.lit(""))).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            for at, n, data, offsets in text_blocks(part.column(1)):
+                hashes, doc = token_hashes(data, offsets)
+                if not len(hashes):
+                    continue
+                order = np.lexsort((hashes, doc))
+                new = np.r_[True, (hashes[order][1:] != hashes[order][:-1]) | (doc[order][1:] != doc[order][:-1])]
+                head = np.flatnonzero(new)
+                one, tf = order[head], np.diff(np.r_[head, len(order)])
+                starts, ends, _ = token_spans(data, offsets)
+                many = ends[one] - starts[one]
+                upto = np.r_[0, np.cumsum(many)]
+                spelled = data[np.repeat(starts[one] - upto[:-1], many) + np.arange(upto[-1])]
+                terms = pa.LargeStringArray.from_buffers(len(one), pa.py_buffer(upto.astype(np.int64)), pa.py_buffer(spelled)).cast(pa.string())
+                length = np.bincount(doc, minlength=n)
+                yield pa.RecordBatch.from_arrays([part.column(0).slice(at, n).take(pa.array(doc[one])), terms, pa.array(tf.astype(np.int64)), pa.array(length[doc[one]].astype(np.int64))], [key, "term", "tf", "length"])
+
+    return held.mapInArrow(run, f"`{key}` {chunks.schema[key].dataType.simpleString()}, term string, tf long, length long")
+
+
 def frequencies(chunks: DataFrame, batch: Batch, text: str = "text") -> tuple[int, int, np.ndarray]:
     """Chunks with a token, their tokens, and the chunks that have each term of the batch."""
 
