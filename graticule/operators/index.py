@@ -114,14 +114,23 @@ class CorpusIndex:
         return named | ({"embeddings": self.vectors} if self.vectors is not None else {})
 
     def save(self, path: str) -> None:
-        """Write every table under a folder, replacing what is there."""
-        for name, frame in self.tables().items():
-            ordered = frame.repartitionByRange("term").sortWithinPartitions("term") if name == "postings" else frame
-            ordered.write.mode("overwrite").parquet(f"{path}/{name}")
+        """Write every table under a folder and commit them together: a reader has the old index until all of the new one is there."""
+        from graticule.operators.store import Store
+
+        store = Store(self.chunks.sparkSession, path)
+        before = store.snapshot()
+        tables = self.tables()
+        tables["postings"] = tables["postings"].repartitionByRange("term").sortWithinPartitions("term")
+        store.commit([store.write(tables)], before)
 
     @staticmethod
     def load(spark: SparkSession, path: str, embeddings: bool = False) -> CorpusIndex:
-        read = lambda name: spark.read.parquet(f"{path}/{name}")
+        """The index as last committed; it stays the same while a new one is written."""
+        from graticule.operators.store import Store
+
+        store = Store(spark, path)
+        held = store.snapshot()
+        read = lambda name: store.table(name, held)
         return CorpusIndex(read("chunks"), read("postings"), read("terms"), read("meta"), read("embeddings") if embeddings else None)
 
     def ready(self) -> bool:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graticule.functions.text import tokens
-from graticule.operators import index, retrieval, selection
+from graticule.operators import index, lineage, retrieval, selection, store
 from graticule.plans.registry import register
 from graticule.sources.tables import table
 
@@ -314,3 +316,23 @@ def exclusion_filter(spark, sf_dir):
     ranked = retrieval.bm25(batch(spark, sf_dir), chunks(spark, sf_dir), oversample(8))
     toxic = table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("chunk_id"))
     return shown(excluded(ranked, toxic, 8, "chunk_id"))
+
+
+# An index under changes: all documents come in; then every tenth is rewritten, and every seventh deleted; then late and repeated
+# changes of lower versions come, which nothing follows.
+@register(
+    "live_index_df",
+    f"""with now as (select doc_id, case when doc_id % 10 = 0 then 'rewritten ' || source || ' ' || coalesce(text, '') else text end as text from documents where doc_id % 7 <> 0),
+  dt as (select doc_id, unnest(list_distinct({TOK.format('text')})) as term from now)
+  select term, count(*)::bigint as df from dt group by term""",
+)
+def live_index_df(spark, sf_dir):
+    docs = chunks(spark, sf_dir).select("chunk_id", F.col("doc_id").alias("source"), "text")
+    live = store.LiveIndex(spark, f"{lineage.shared_folder(spark)}/live-{uuid.uuid4().hex}")
+    live.apply(docs.select("chunk_id", F.lit(1).cast("long").alias("version"), "text"))
+    rewritten = docs.where("chunk_id % 10 = 0").select("chunk_id", F.lit(3).cast("long").alias("version"), F.concat(F.lit("rewritten "), "source", F.lit(" "), F.coalesce("text", F.lit(""))).alias("text"))
+    gone = docs.where("chunk_id % 7 = 0").select("chunk_id", F.lit(4).cast("long").alias("version"), F.lit(None).cast("string").alias("text"))
+    live.apply(rewritten.unionByName(gone))
+    live.apply(docs.where("chunk_id % 35 = 0").select("chunk_id", F.lit(2).cast("long").alias("version"), F.lit("late").alias("text")))
+    live.compact()
+    return live.read().terms

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from graticule.functions.html import page_of, paths_of
 from graticule.functions.text import slugify
 from graticule.operators.index import small
+from graticule.sources.files import fs_of as _fs
+from graticule.sources.files import read_text
 
 #: A line of a page catalogue.
 PAGE_RECORD = (
@@ -43,12 +45,7 @@ def _contents(spark: SparkSession, path: str) -> DataFrame:
     for folder in fs.listStatus(root):
         page = _fs(spark, f"{folder.getPath().toString()}/__tableofcontents.html")[1]
         if folder.isDirectory() and fs.exists(page):
-            stream = fs.open(page)
-            try:
-                text = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-            finally:
-                stream.close()
-            found.append((folder.getPath().getName(), text.lstrip("\ufeff")))
+            found.append((folder.getPath().getName(), read_text(spark, page.toString()).lstrip("\ufeff")))
     return spark.createDataFrame(found, "doc_title string, text string")
 
 
@@ -190,12 +187,6 @@ def published(edits: DataFrame, version: str) -> DataFrame:
     return edits.where((F.col("version") == version) & (F.col("status") == "published") & (F.trim(F.coalesce("content_md", F.lit(""))) != ""))
 
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
-
-
 def versions(spark: SparkSession, root: str, default: str | None = None) -> list[str]:
     """Names of the folders below a root that hold a page catalogue, the default first."""
     fs, place = _fs(spark, root)

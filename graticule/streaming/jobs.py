@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graticule.operators.index import document_frequency, postings
+from graticule.operators.store import LiveIndex
 
 # What a line says about a job, in the order in which it is tried; None leaves the phase as it is.
 PHASES = [
@@ -67,19 +67,20 @@ def activity_windows(events: DataFrame, at: str, by: str, width: str = "1 hour",
 
 
 def ingest_stream(chunks: DataFrame, index_path: str, checkpoint: str):
-    """A stream of chunk files (chunk_id, text) into an index's postings, a folder per micro-batch.
+    """A stream of chunk files (chunk_id, text, and version where there is one) into a live index, one commit a micro-batch.
 
-    A micro-batch that is run again overwrites its own folder, so each chunk counts once. Term frequencies of the whole
-    index are taken over all folders when it is read (`read_ingested`).
+    A chunk that comes again replaces what it was, and one with a null text is deleted. Without a version, the number of the
+    micro-batch is one. A micro-batch that is run again changes nothing, as its versions are held already.
     """
 
     def add(batch: DataFrame, epoch: int) -> None:
-        postings(batch).write.mode("overwrite").parquet(f"{index_path}/postings/epoch={epoch}")
+        rows = batch if "version" in batch.columns else batch.withColumn("version", F.lit(epoch).cast("long"))
+        LiveIndex(batch.sparkSession, index_path).apply(rows)
 
     return chunks.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def read_ingested(spark, index_path: str) -> tuple[DataFrame, DataFrame]:
     """Postings and document frequencies of an index that a stream has filled."""
-    posted = spark.read.parquet(f"{index_path}/postings").drop("epoch")
-    return posted, document_frequency(posted)
+    index = LiveIndex(spark, index_path).read()
+    return index.postings, index.terms
