@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field, fields, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graticule.operators import context, retrieval, selection
+from graticule.operators import context, lineage, retrieval, selection
 from graticule.operators.index import CorpusIndex
 
 
@@ -185,3 +186,62 @@ def passes(run: Callable[[DataFrame, int], DataFrame], queries: DataFrame, reque
         order = Window.partitionBy("qid").orderBy("rank")
         found.append(kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("_k")).drop("_k", "_docs", "_pages"))
     return retrieval.multi_pass_merge(found)
+
+
+@dataclass(frozen=True)
+class Conversation:
+    """What a retrieval loop has come to: `results` (qid, chunk_id, score, pass, place), a chunk once for each query, and
+    `outcomes` (qid, answer, passes, state) with the state `answered`, or `limit` where the last answer asked once more."""
+
+    results: DataFrame
+    outcomes: DataFrame
+
+
+def converse(
+    run: Callable[[DataFrame, int], DataFrame],
+    respond: Callable[[DataFrame, DataFrame, int], DataFrame],
+    queries: DataFrame,
+    k: int = 8,
+    limit: int = 12,
+) -> Conversation:
+    """Search, answer, and search again for what answers ask for, until none asks or the limit of calls is met.
+
+    `run` searches (qid, text) for a number of results: (qid, chunk_id, doc_id, page_id, score, rank). `respond` gets the queries
+    that are still open (qid, text, as first asked), all results so far of every query, and the number of the pass (from 1), and
+    returns (qid, answer); an answer that is missing counts as empty. All open queries take a pass together. The set of open
+    queries shrinks: those whose answer asks for nothing leave it. A pass adds what a query hasn't found yet, after what it has.
+    A limit of n allows n - 1 further passes, and none of 0 or less ends the loop; a query whose answer asks at the limit ends
+    without an answer of its own. Each pass is cut to the shared checkpoint folder, so a plan doesn't grow with the passes.
+    """
+    first = lineage.cut(queries.select("qid", "text"))
+    asked = first.withColumns({"_k": F.lit(k), "_docs": F.lit(None).cast("array<string>"), "_pages": F.lit(None).cast("array<string>")})
+    found: DataFrame | None = None
+    ended: list[DataFrame] = []
+    number = 0
+    while True:
+        number += 1
+        hits = run(asked.select("qid", "text"), k if number == 1 else context.oversample(25)).join(asked.drop("text"), "qid")
+        named = lambda column, names: F.col(names).isNull() | (F.size(names) == 0) | F.array_contains(names, F.col(column).cast("string"))
+        hits = hits.where(named("doc_id", "_docs") & named("page_id", "_pages"))
+        hits = hits.withColumn("_n", F.row_number().over(Window.partitionBy("qid").orderBy("rank"))).where(F.col("_n") <= F.col("_k"))
+        if found is not None:
+            hits = hits.join(found.select("qid", "chunk_id"), ["qid", "chunk_id"], "left_anti")
+            held = found.groupBy("qid").agg(F.max("place").alias("_held"))
+            hits = hits.join(held, "qid", "left")
+        else:
+            hits = hits.withColumn("_held", F.lit(0))
+        place = F.coalesce("_held", F.lit(0)) + F.row_number().over(Window.partitionBy("qid").orderBy("_n"))
+        new = lineage.cut(hits.select("qid", "chunk_id", "doc_id", "page_id", "score", F.lit(number).alias("pass"), place.cast("int").alias("place")))
+        found = new if found is None else found.unionByName(new)
+
+        still = first.join(asked.select("qid"), "qid", "left_semi")
+        answers = still.join(respond(still, found, number).select("qid", "answer"), "qid", "left")
+        answers = lineage.cut(answers.withColumn("request", context.context_request(F.col("answer"), k)))
+        over = 0 < limit <= number
+        leaving = answers if over else answers.where("request is null")
+        state = F.when(F.col("request").isNull(), F.lit("answered")).otherwise(F.lit("limit"))
+        ended.append(leaving.select("qid", F.when(F.col("request").isNull(), F.col("answer")).alias("answer"), F.lit(number).alias("passes"), state.alias("state")))
+        asked = answers.where("request is not null").select("qid", F.col("request.query").alias("text"), F.greatest(F.lit(1), F.least(F.lit(25), "request.k")).alias("_k"), F.col("request.doc_ids").alias("_docs"), F.col("request.page_ids").alias("_pages"))
+        if over or not asked.limit(1).count():
+            break
+    return Conversation(found, reduce(DataFrame.unionByName, ended))

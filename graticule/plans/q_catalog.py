@@ -7,15 +7,17 @@ events are a log.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graticule.operators import catalog, context
+from graticule.operators import catalog, context, lineage
 from graticule.plans.q_search import RANKED, SCORED, batch, chunks
 from graticule.plans.registry import register
 from graticule.sources import guides
 from graticule.sources.tables import table
-from graticule.streaming import jobs
+from graticule.streaming import jobs, stateful
 
 
 def turns(spark, sf_dir) -> DataFrame:
@@ -322,9 +324,11 @@ def unique_names(spark, sf_dir):
 LINE = "case event_type {} else '  Done: x' end"
 
 
+SAID = ["Ingesting doc: a", "Indexing 5 chunks", "Computing embeddings 7", "ERROR: bad", "  Done: x"]
+
+
 def log(spark, sf_dir) -> DataFrame:
-    kinds = ["Ingesting doc: a", "Indexing 5 chunks", "Computing embeddings 7", "ERROR: bad", "  Done: x"]
-    line = F.get(F.array(*[F.lit(k) for k in kinds]), F.col("event_id").cast("int") % 5)
+    line = F.get(F.array(*[F.lit(k) for k in SAID]), F.col("event_id").cast("int") % 5)
     return table(spark, sf_dir, "events").select("user_id", "event_id", line.alias("line"))
 
 
@@ -342,6 +346,22 @@ def log_tail(spark, sf_dir):
     return jobs.log_tail(log(spark, sf_dir), "user_id", "event_id").select("user_id", "event_id")
 
 
+@register(
+    "job_stream_states",
+    """with l as (select user_id, event_id, ['converting_html_to_md', 'indexing_bm25', 'computing_embeddings', 'failed', null][event_id % 5 + 1] p, (event_id % 5 = 4)::int d from events)
+  select user_id::varchar as job, coalesce(arg_max(p, event_id) filter (where p is not null), 'queued') as phase, sum(d)::bigint as doc_done, max(event_id) as last_line, least(count(*), 220)::bigint as tail_lines from l where user_id is not null group by user_id""",
+)
+def job_stream_states(spark, sf_dir):
+    """The events' log as a stream into keyed state, and the last state of each job."""
+    events = table(spark, sf_dir, "events")
+    folder = f"{lineage.shared_folder(spark)}/jobs-{uuid.uuid4().hex}"
+    kinds = F.array(*[F.lit(k) for k in SAID])
+    stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id", F.get(kinds, F.col("event_id").cast("int") % 5).alias("line"))
+    stateful.into_table(stateful.job_stream(stream, "user_id", "event_id", "line"), f"{folder}/out", f"{folder}/state", "job").awaitTermination()
+    found = stateful.latest(spark, f"{folder}/out", "job")
+    return found.select("job", "phase", "doc_done", "last_line", F.size("tail").cast("long").alias("tail_lines"))
+
+
 @register("session_touch", "select user_id, max(ts) as last_seen_at from events group by user_id")
 def session_touch(spark, sf_dir):
     return jobs.last_seen(table(spark, sf_dir, "events"), "user_id", "ts")

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from graticule.engine import SearchConfig, search
-from graticule.plans.q_search import batch, chunks, summaries, vectors
+from graticule.engine import SearchConfig, converse, search
+from graticule.operators.context import NEED_MORE
+from graticule.operators.retrieval import bm25
+from graticule.plans.q_search import STATS, TOK, batch, chunks, summaries, vectors
 from graticule.plans.registry import register
 
 
@@ -34,3 +36,39 @@ def search_hybrid(spark, sf_dir):
 @register("search_embedding")
 def search_embedding(spark, sf_dir):
     return _searched(spark, sf_dir, SearchConfig(mode="embedding", summary_enabled=False, expand_neighbors=2))
+
+
+def scripted(still, found, number):
+    """Answers of a loop: a query asks as often as its id modulo 4 says, for the beginning of its text, then for the end of it in
+    one guide, then for the beginning once more."""
+    part = F.substring("text", 1, 40) if number != 2 else F.substring("text", -40, 40)
+    docs = F.array(F.lit("src1")) if number == 2 else F.lit(None).cast("array<string>")
+    request = F.to_json(F.struct(part.alias("query"), F.lit({1: 5, 2: 3}.get(number, 4)).alias("k"), docs.alias("doc_ids")))
+    return still.select("qid", F.when(F.col("qid") % 4 >= number, F.concat(F.lit(f"{NEED_MORE}\n"), request)).otherwise(F.lit("done")).alias("answer"))
+
+
+LOOP = f"""{STATS}, po as (select doc_id, term, count(*) tf from (select doc_id, unnest(toks) term from dl) group by all), df as (select term, count(*) df from po group by term),
+  asked as (select 1 pass, 8 k, item_id qid, text from benchmark union all select 2, 5, item_id, left(text, 40) from benchmark where item_id % 4 >= 1 union all select 3, 3, item_id, right(text, 40) from benchmark where item_id % 4 >= 2),
+  q as (select distinct pass, qid, unnest({TOK.format('text')}) term from asked),
+  sc as (select pass, qid, po.doc_id, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))) score
+    from q join po using (term) join df using (term) join dl using (doc_id) cross join st group by all),
+  r as (select sc.*, dl.source, row_number() over (partition by pass, qid order by round(score, 9) desc, sc.doc_id) rank from sc join dl using (doc_id)),
+  f as (select *, row_number() over (partition by pass, qid order by rank) n from r where rank <= 125 and (pass < 3 or source = 'src1')),
+  t as (select *, row_number() over (partition by f.qid, doc_id order by pass) first from f where n <= case pass when 1 then 8 when 2 then 5 else 3 end)"""
+
+
+@register("retrieval_loop", f"with {LOOP} select qid, doc_id, round(score, 6) as score, pass::bigint as pass, (row_number() over (partition by qid order by pass, rank))::bigint as place from t where first = 1")
+def retrieval_loop(spark, sf_dir):
+    rows = chunks(spark, sf_dir)
+    names = rows.select("chunk_id", "doc_id", F.col("page_id").cast("string").alias("page_id"))
+    run = lambda asked, k: bm25(asked, rows, k).join(names, "chunk_id")
+    found = converse(run, scripted, batch(spark, sf_dir), 8, 3).results
+    return found.select("qid", F.col("chunk_id").alias("doc_id"), F.round("score", 6).alias("score"), F.col("pass").cast("long").alias("pass"), F.col("place").cast("long").alias("place"))
+
+
+@register("retrieval_loop_outcomes", "select item_id as qid, case when item_id % 4 = 3 then 'limit' else 'answered' end as state, (item_id % 4 + 1 - (item_id % 4 = 3)::int)::bigint as passes from benchmark")
+def retrieval_loop_outcomes(spark, sf_dir):
+    rows = chunks(spark, sf_dir)
+    names = rows.select("chunk_id", "doc_id", F.col("page_id").cast("string").alias("page_id"))
+    ended = converse(lambda asked, k: bm25(asked, rows, k).join(names, "chunk_id"), scripted, batch(spark, sf_dir), 8, 3).outcomes
+    return ended.select("qid", "state", F.col("passes").cast("long").alias("passes"))
