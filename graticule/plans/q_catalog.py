@@ -356,7 +356,8 @@ def job_stream_states(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     folder = f"{lineage.shared_folder(spark)}/jobs-{uuid.uuid4().hex}"
     kinds = F.array(*[F.lit(k) for k in SAID])
-    stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id", F.get(kinds, F.col("event_id").cast("int") % 5).alias("line"))
+    stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern: the table may be one file or a folder
+    stream = stream.select("user_id", "event_id", F.get(kinds, F.col("event_id").cast("int") % 5).alias("line"))
     stateful.into_table(stateful.job_stream(stream, "user_id", "event_id", "line"), f"{folder}/out", f"{folder}/state", "job").awaitTermination()
     found = stateful.latest(spark, f"{folder}/out", "job")
     return found.select("job", "phase", "doc_done", "last_line", F.size("tail").cast("long").alias("tail_lines"))
