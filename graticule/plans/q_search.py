@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graticule.functions.text import tokens
-from graticule.operators import index, lineage, retrieval, selection, store
+from graticule.operators import impacts, index, lineage, retrieval, selection, store
 from graticule.plans.registry import register
 from graticule.sources.tables import table
 
@@ -336,3 +336,9 @@ def live_index_df(spark, sf_dir):
     live.apply(docs.where("chunk_id % 35 = 0").select("chunk_id", F.lit(2).cast("long").alias("version"), F.lit("late").alias("text")))
     live.compact()
     return live.read().terms
+
+
+@register("bm25_blocks", f"with {SCORED}, {RANKED.format('r', 'sc')} select qid, rank::bigint as rank, doc_id, round(score, 6) as score from r where rank <= 8")
+def bm25_blocks(spark, sf_dir):
+    built = impacts.ImpactIndex.build(chunks(spark, sf_dir).select("chunk_id", "text"), f"{lineage.shared_folder(spark)}/blocks-{uuid.uuid4().hex}")
+    return shown(built.search(batch(spark, sf_dir), 8).results)
