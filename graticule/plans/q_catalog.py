@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graticule.operators import catalog, context, lineage
+from graticule.operators.index import small
 from graticule.plans.q_search import RANKED, SCORED, batch, chunks
 from graticule.plans.registry import register
 from graticule.sources import guides
@@ -397,3 +398,18 @@ def custom_paths(spark, sf_dir):
     stored = F.when(F.col("doc_id") % 3 == 0, F.to_json(F.array("source", "lang"))).when(F.col("doc_id") % 3 == 1, F.lit("[]")).otherwise(F.lit("{broken"))
     rows = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("doc_title"), F.lit("page").alias("page_title"), stored.alias("heading_path_json"))
     return guides.custom_pages(rows).select("doc_id", F.array_join("heading_path", " > ").alias("path"))
+
+
+@register("catalog_lines", "select source as doc_id, doc_id::varchar as page_id, row_number() over (partition by source order by doc_id) as line from documents where source is not null")
+def catalog_lines(spark, sf_dir):
+    """A catalogue in files by guide and page, written and read back; lines are counted on over the files of a guide."""
+    docs = table(spark, sf_dir, "documents").where("source is not null")
+    folder = f"{lineage.shared_folder(spark)}/catalog-{uuid.uuid4().hex}"
+    record = F.to_json(F.struct(F.col("source").alias("doc_id"), F.col("doc_id").cast("string").alias("page_id"), F.substring("text", 1, 30).alias("page_title")))
+    lines = docs.select(F.col("source").alias("guide"), "doc_id", record.alias("value")).repartitionByRange("guide", "doc_id").sortWithinPartitions("guide", "doc_id")
+    lines.select("guide", "value").write.partitionBy("guide").text(folder)
+    read = guides.read_catalog(spark, folder, numbers=True)
+    files = read.groupBy("doc_id", "file").agg(F.max("line").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("doc_id").orderBy("file").rowsBetween(Window.unboundedPreceding, -1))
+    files = files.select("doc_id", "file", F.coalesce(before, F.lit(0)).alias("_before"))
+    return read.join(small(files), ["doc_id", "file"]).select("doc_id", "page_id", (F.col("_before") + F.col("line")).alias("line"))

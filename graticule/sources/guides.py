@@ -135,11 +135,34 @@ def read_guides(spark: SparkSession, path: str, version: str = "") -> DataFrame:
     )
 
 
-def read_catalog(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """Page records of a catalogue file. Strict: a line that isn't a record is an error; else such lines are skipped, as
-    are records without doc and page."""
-    found = spark.read.schema(PAGE_RECORD).json(path, mode="FAILFAST" if strict else "DROPMALFORMED")
-    return found if strict else found.where("doc_id is not null and page_id is not null")
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, text): the lines of text files with their numbers from 1.
+
+    Numbers come in two levels: a line's place within its block of the file, and the lines of the blocks before. A block is
+    read by one task, in order; what is exchanged is one row for each block.
+    """
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_at"), F.col("value").alias("text"))
+    rows = rows.withColumn("_id", F.monotonically_increasing_id())
+    blocks = rows.groupBy("file", "_at").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("file").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("file", "_at", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return rows.join(small(blocks), ["file", "_at"]).select("file", (F.col("_before") + F.col("_id") - F.col("_first") + 1).alias("line"), "text")
+
+
+def read_catalog(spark: SparkSession, path: str, strict: bool = True, numbers: bool = False) -> DataFrame:
+    """Page records of a catalogue, one object a line; blank lines are passed over. Strict: a line that isn't a record is an
+    error that names its file and line; else such lines are skipped, as are records without doc and page. With `numbers`, also
+    `file` and `line` of each record."""
+    lines = numbered_lines(spark, path).where(F.trim(F.regexp_replace("text", r"[\t\r\x{feff}]", " ")) != "")
+    record = F.from_json("text", f"{PAGE_RECORD}, _broken string", {"columnNameOfCorruptRecord": "_broken"})
+    read = lines.select("file", "line", "text", record.alias("r"))
+    broken = F.col("r").isNull() | F.col("r._broken").isNotNull()
+    columns = [c.split(" ", 1)[0] for c in PAGE_RECORD.split(", ")]
+    shown = [*(["file", "line"] if numbers else []), *[f"r.{c}" for c in columns]]
+    if strict:
+        said = F.format_string("%s, line %d isn't a page record: %s", "file", "line", F.substring("text", 1, 200))
+        return read.withColumn("r", F.when(broken, F.raise_error(said).cast(read.schema["r"].dataType)).otherwise(F.col("r"))).select(*shown)
+    return read.where(~broken).select(*shown).where("doc_id is not null and page_id is not null")
 
 
 def read_datastore(spark: SparkSession, path: str) -> DataFrame:

@@ -293,7 +293,7 @@ def test_catalogue_reader(spark, tmp_path):
     path = tmp_path / "pages.jsonl"
     path.write_text('{"doc_id": "d", "page_id": "p", "images": []}\nbroken\n')
     assert [r["page_id"] for r in guides.read_catalog(spark, str(path), strict=False).collect()] == ["p"]
-    with pytest.raises(Exception, match="FAILFAST|MALFORMED|parse"):
+    with pytest.raises(Exception, match="line 2"):
         guides.read_catalog(spark, str(path)).collect()
 
 
