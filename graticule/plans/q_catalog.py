@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graticule.operators import catalog, context, lineage
+from graticule.operators import catalog, context, keyed, lineage
 from graticule.operators.index import small
 from graticule.plans.q_search import RANKED, SCORED, batch, chunks
 from graticule.plans.registry import register
@@ -413,3 +413,13 @@ def catalog_lines(spark, sf_dir):
     before = F.sum("_n").over(Window.partitionBy("doc_id").orderBy("file").rowsBetween(Window.unboundedPreceding, -1))
     files = files.select("doc_id", "file", F.coalesce(before, F.lit(0)).alias("_before"))
     return read.join(small(files), ["doc_id", "file"]).select("doc_id", "page_id", (F.col("_before") + F.col("line")).alias("line"))
+
+
+@register("keyed_in_place", "select c_custkey, case when c_acctbal < 0 then null else c_mktsegment end as c_mktsegment, c_acctbal from customer where c_custkey % 11 <> 0")
+def keyed_in_place(spark, sf_dir):
+    """A table dealt in buckets by its key, updated and deleted from in place."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
+    held = keyed.KeyedTable.create(rows, f"{lineage.shared_folder(spark)}/keyed-{uuid.uuid4().hex}", ["c_custkey"], 16)
+    held.update(rows.where("c_acctbal < 0").select("c_custkey", F.lit(None).cast("string").alias("c_mktsegment"), F.lit(True).alias("set_c_mktsegment")), ["c_mktsegment"])
+    held.delete(rows.where("c_custkey % 11 = 0"))
+    return held.read()
