@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from graticule.engine import SearchConfig, converse, search
 from graticule.operators.context import NEED_MORE
-from graticule.operators.retrieval import bm25
-from graticule.plans.q_search import STATS, TOK, batch, chunks, summaries, vectors
+from graticule.operators.retrieval import STOPWORDS, bm25
+from graticule.plans.q_search import RANKED, SCORED, STATS, SUMMARY, TOK, batch, chunks, summaries, vectors
+from graticule.plans.q_text import STRIP
 from graticule.plans.registry import register
 
 
@@ -28,7 +29,35 @@ def search_default(spark, sf_dir):
     return _searched(spark, sf_dir, SearchConfig())
 
 
-@register("search_hybrid")
+# Both sides within the routed pages, fused, weighted by heading and kind, capped, without the excluded guide, with the
+# documents before and after on the same page as neighbours.
+HYBRID_SEARCH = f"""{SCORED}, {SUMMARY}, {RANKED.format('sr', 'su')},
+  ch as (select doc_id, source, concat_ws('/', source, lang) page, case lang when 'en' then 'p' when 'fr' then 's' else 't' end kind, text, regexp_extract(text, '^[^\\n]*') line from documents),
+  rp as (select qid, source, page, min(rank) first from sr join ch using (doc_id) where rank <= 12 group by all),
+  rt as (select qid, source, page from (select *, row_number() over (partition by qid order by first, source, page) nth from rp) where nth <= 20),
+  inside as (select qid, doc_id from rt join ch on rt.source = ch.source and rt.page = ch.page),
+  ls as (select sc.* from sc where qid not in (select qid from rt) or (qid, doc_id) in (select (qid, doc_id) from inside)), {RANKED.format('br', 'ls')},
+  v as (select vec_id, embedding::double[] e from embeddings),
+  vs as (select a.vec_id qid, b.vec_id doc_id, list_inner_product(a.e, b.e) score from v a join v b on a.vec_id in (select item_id from benchmark) join ch on ch.doc_id = b.vec_id
+    where a.vec_id not in (select qid from rt) or (a.vec_id, b.vec_id) in (select (qid, doc_id) from inside)), {RANKED.format('er', 'vs')},
+  fu as (select coalesce(b.qid, e.qid) qid, coalesce(b.doc_id, e.doc_id) doc_id, coalesce(1.0::double / (60.0::double + b.rank), 0) + coalesce(0.6::double / (60.0::double + e.rank), 0) score
+    from (select * from br where rank <= 120) b full outer join (select * from er where rank <= 120) e on b.qid = e.qid and b.doc_id = e.doc_id),
+  bw as (select item_id qid, list_filter(list_distinct({TOK.format('text')}), lambda x: not list_contains({STOPWORDS!r}, x)) w from benchmark),
+  ad as (select fu.qid, ch.*, fu.score * case when len(w) = 0 then 1.0 else 1.0 + 0.5 * len(list_intersect(w, {TOK.format("concat_ws(' ', source, line)")})) / len(w) end * case kind when 'p' then 1.05 when 's' then 1.0 else 0.9 end score
+    from fu join ch using (doc_id) join bw on bw.qid = fu.qid),
+  c1 as (select *, row_number() over (partition by qid, source, page order by round(score, 9) desc, doc_id) n from ad),
+  c2 as (select *, row_number() over (partition by qid, source order by round(score, 9) desc, doc_id) m from c1 where n <= 3),
+  c3 as (select *, row_number() over (partition by qid order by round(score, 9) desc, doc_id) k from c2 where m <= 12),
+  c4 as (select *, row_number() over (partition by qid order by k) rank from c3 where k <= 40 and source <> 'src1'),
+  nb as (select c4.*, l.text lt, r.text rt, 4200 - length(c4.text) room from c4
+    left join ch l on l.doc_id = c4.doc_id - 1 and l.source = c4.source and l.page = c4.page and l.kind = c4.kind
+    left join ch r on r.doc_id = c4.doc_id + 1 and r.source = c4.source and r.page = c4.page and r.kind = c4.kind where rank <= 8),
+  n1 as (select *, case when length(lt) + 2 <= room then lt end lk from nb),
+  n2 as (select *, case when length(rt) + 2 <= room - case when lk is null then 0 else length(lk) + 2 end then rt end rk from n1),
+  pt as (select *, list_filter([length({STRIP.format("coalesce(lk, '')")}), length({STRIP.format("coalesce(text, '')")}), length({STRIP.format("coalesce(rk, '')")})], lambda x: x > 0) parts from n2)"""
+
+
+@register("search_hybrid", f"with {HYBRID_SEARCH} select qid, rank::bigint as rank, doc_id, round(score, 6) as score, (case when room <= 0 then 4200 else coalesce(list_sum(parts), 0) + 2 * greatest(len(parts) - 1, 0) end)::bigint as chars from pt")
 def search_hybrid(spark, sf_dir):
     return _searched(spark, sf_dir, SearchConfig(mode="hybrid", mmr_enabled=False, heading_boost=0.5))
 

@@ -266,7 +266,7 @@ def _mmr_sql(use_vectors: bool, k: int = 8) -> str:
     words = "case when len(a.w) = 0 or len(b.w) = 0 then 0 else len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) end"
     alike = f"case when a.e is not null and b.e is not null then greatest(0, least(1, list_inner_product(a.e, b.e))) else {words} end" if use_vectors else words
     steps = [f"""{SCORED}, {RANKED.format('r', 'sc')},
-  l0 as (select r.qid, r.doc_id, r.rank, r.score, list_distinct(dl.toks[1:256]) w, m.embedding::double[] e, 0::double near,
+  l0 as materialized (select r.qid, r.doc_id, r.rank, r.score, list_distinct(dl.toks[1:256]) w, m.embedding::double[] e, 0::double near,
     case when max(r.score) over o > min(r.score) over o then (r.score - min(r.score) over o) / (max(r.score) over o - min(r.score) over o) else 1 end rel
     from r join dl using (doc_id) left join embeddings m on m.vec_id = r.doc_id where r.rank <= 80 window o as (partition by r.qid))"""]
     for place in range(1, k + 1):
