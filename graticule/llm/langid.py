@@ -36,6 +36,8 @@ from graticule.llm.textkernel import Block
 
 #: Training documents of a language, about.
 MAX_SAMPLE = 1500
+#: Languages that are told apart at most, and bytes of all filters: both are sent to every task, so more of either is an error.
+MAX_LANGUAGES, MAX_FILTER = 1000, 512 << 20
 #: Look-ups for each n-gram, slots for each n-gram of the largest language, and the least number of slots (as a power of two).
 LOOKUPS = 3
 SPARSE = 12
@@ -151,6 +153,8 @@ def sample(docs: DataFrame, max_sample: int) -> DataFrame:
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))  # a row for each language
+    if sizes.limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
+        raise ValueError(f"the documents have more than {MAX_LANGUAGES} languages")
     drawn = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 11).cast("double") * F.col("_n") < F.lit(float(max_sample) * 2.0**53)
     near = rows.where("text is not null").join(F.broadcast(sizes), "lang").where(drawn).select("lang", "text", F.xxhash64("text").alias("mark"))
 
@@ -194,6 +198,8 @@ def train(docs: DataFrame, max_sample: int = MAX_SAMPLE) -> Filters:
     most = max((r["kinds"] for r in known.values()), default=1)
     bits = min(31, max(LEAST_BITS, int(SPARSE * most - 1).bit_length()))
     layers = -(-len(languages) // 8)
+    if layers << bits > MAX_FILTER:
+        raise ValueError(f"filters of {len(languages)} languages with up to {most} n-grams take more than {MAX_FILTER} bytes")
     of = {lang: i for i, lang in enumerate(languages)}
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,7 +8,7 @@ pytest.importorskip("graticule.llm")
 
 from pyspark.sql import functions as F
 
-from graticule.llm import fingerprint, mixing
+from graticule.llm import fingerprint, langid, mixing
 
 CLASHING = ["_key", "_copies", "_mark", "_bucket", "_many", "_row", "_i", "_part", "row", "key", "part", "many", "size"]
 
@@ -78,3 +78,14 @@ def test_take_with_clashing_columns(spark):
 def test_take_of_nothing(spark):
     none = spark.createDataFrame([], "doc_id long, text string, source string, _row int")
     assert mixing.take(none).count() == 0
+
+
+def test_too_many_languages_are_an_error(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"some words of text {i}", f"l{i}") for i in range(40)], "doc_id long, text string, lang string")
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 10)
+    with pytest.raises(ValueError, match="more than 10 languages"):
+        langid.train(docs)
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 100)
+    monkeypatch.setattr(langid, "MAX_FILTER", 1000)
+    with pytest.raises(ValueError, match="bytes"):
+        langid.train(docs)
