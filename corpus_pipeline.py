@@ -11,6 +11,17 @@ Parquet and read again as the next stage's docs. All stages but the last return
    documents the one with the smallest doc_id stays (rows without a doc_id come last, then the hash of the text decides).
 4. mixing: weighted fair queueing; a document is returned as often as the mix takes it (0 to 2 times).
 5. packing: best-two-fit of the tokenised documents into sequences of at most 2048 tokens.
+
+Edge cases, alike for every stage: an empty table gives an empty one; columns beside those of `documents` are left out,
+whatever their names; rows are told apart by all their columns, so repeated rows and rows that share a doc_id or have none are
+rows of their own; texts of any length are read whole. What a stage does with a null, empty or blank text, and with ties:
+
+1. quality scores it like others, from statistics that are all zero; equal texts score alike.
+2. language rejects it, as it has no letter; null languages are not learned from.
+3. near_duplicates keeps it, as it is linked with nothing, but one of rows that are equal in doc_id and text; of a group's rows
+   with the least doc_id, that of the least hash of the text stays.
+4. mixing never takes it, as its size is 0; documents of equal finish times are taken together or not at all.
+5. packing makes it one piece, the separator.
 """
 
 from __future__ import annotations

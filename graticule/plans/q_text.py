@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graticule.functions import html as kernels
+from graticule.functions import inline
 from graticule.functions import text as T
 from graticule.functions import web
 from graticule.operators import chunking
@@ -369,3 +370,34 @@ def resolved_images(spark, sf_dir):
     references = docs.select("doc_id", F.col("source").alias("guide"), F.expr(_SHAPED).alias("original"))
     assets = docs.where("doc_id % 3 <> 0").select(F.format_string("%s/img/%d.png", "source", "doc_id").alias("asset"))
     return guides.resolve_images(references, assets).select("doc_id", "original", "asset")
+
+
+# Marks around a document's own facts, of a kind that its number names; what is shown has the style's letters before each segment.
+MARKED = ["**{0} {1}** {2}", "*{0} **{1}*** {2}", "`{0} *{1}*` [{2} **x**](u)", "**{0} {1} *{2}", "\\\\*{0}\\\\* ***{1}*** ![{2}](i.png)", "[*{0}*](a(b) 'c') _{1}_x {2}"]
+STYLED = ["b:{0} {1}|: {2}", "i:{0} |bi:{1}|: {2}", "c:{0} *{1}*|: {2} |b:x|: (u)", ":**{0} {1} *{2}", ":*{0}* |bi:{1}|: ", "i:{0}|: (a(b)) _{1}_x {2}"]
+
+
+def _by_kind(shapes: list[str], facts: list[str]) -> str:
+    spelled = lambda shape: " || ".join(facts[int(p)] if i % 2 else "'" + p.replace("'", "''") + "'" for i, p in enumerate(re.split(r"\{([0-9])\}", shape)))
+    return "case doc_id % 6 " + " ".join(f"when {i} then {spelled(shape)}" for i, shape in enumerate(shapes)) + " end"
+
+
+_FACTS = ["source", "lang", "doc_id"]
+
+
+@register("inline_segments", f"select doc_id, {_by_kind(STYLED, _FACTS)} as shown from documents where source is not null and lang is not null")
+def inline_segments(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").where("source is not null and lang is not null")
+    style = lambda s: F.concat(*[F.when(s[k], n).otherwise("") for k, n in (("bold", "b"), ("italic", "i"), ("code", "c"))], F.lit(":"), s["text"])
+    found = inline.segments_of(F.expr(_by_kind(MARKED, _FACTS)))
+    return rows.select("doc_id", F.array_join(F.transform(found, style), "|").alias("shown"))
+
+
+PAGES_MARKED = ["# {0}\n\n{1}\nmore\n\n> - {2}\n>   in", "3. {0}\n4. {1}\n   - {2}\n5. end", "```\n- {0}\n\n{1}\n```\n{2}", "{0}\n===\n    {1}\n\n- \n- {2}", "> {0}\n{1}\n\n* * *\n{2}", "- {0}\n\n  {1}\n+ ![{2}](x)\n+ last"]
+PAGES_SHOWN = ["{1} more|- {2} in", "3. {0}|4. {1}|- {2}|5. end", "- {0}|{1}|{2}", "{1}|- {2}", "{0} {1}|{2}", "- {0}|{1}|- last"]
+
+
+@register("page_lines", f"select doc_id, {_by_kind(PAGES_SHOWN, _FACTS)} as shown from documents where source is not null and lang is not null")
+def page_lines(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").where("source is not null and lang is not null")
+    return rows.select("doc_id", F.array_join(inline.lines_of(F.expr(_by_kind(PAGES_MARKED, _FACTS))), "|").alias("shown"))
