@@ -14,7 +14,8 @@ sizes are linked. Only blocks of the product that can hold a link are formed:
    bounds the work of a row; a large one is cut by size class and by the n-gram that a row shares most, so that families
    stay together, and two blocks of one or of neighbouring size classes are multiplied where one of the first n-grams of
    step 2 is in both (where such an n-gram is in a good part of a group's blocks, all of them are). So a group that grows as
-   a chain of families costs in proportion to its rows, and one that is a single family its pairs.
+   a chain of families costs in proportion to its rows, and one that is a single family its pairs. A block holds `BLOCK_GRAMS`
+   n-grams at most, about, so that long documents make blocks of fewer rows.
    Each pair of blocks is one task, which multiplies the two blocks of the incidence matrix, a chunk of n-grams at a time,
    and drops the pairs below the bound.
 5. A task returns a spanning forest of the links it found and the number of links of each row. The components of these
@@ -39,7 +40,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graticule.llm.common import bound_batches, cut, map_texts, maybe_broadcast
@@ -54,8 +55,9 @@ OFTEN = 16
 GATHERED = 1_000_000
 #: Rows of a block of the product, about, and n-grams that are multiplied at once.
 BLOCK_ROWS = 512
-#: Rows of a block of a large group.
+#: Rows of a block of a large group, and n-grams of a block of any group, about (a longer document is a block by itself).
 FAMILY_ROWS = 1024
+BLOCK_GRAMS = 2_000_000
 #: Blocks of a group that all meet. In a larger one, an n-gram in more blocks than this, and in more than one in `DENSE` of
 #: them, pairs all blocks of the group.
 PAIRED, DENSE = 16, 4
@@ -301,21 +303,26 @@ def first_ngrams(packed: DataFrame) -> DataFrame:
     return packed.mapInArrow(unpack, "gram long, node long")
 
 
+def _blocks(rows: Column, grams: Column) -> Column:
+    """Blocks that so many rows and n-grams make."""
+    return F.greatest(F.lit(1), F.ceil(rows / FAMILY_ROWS), F.ceil(grams / BLOCK_GRAMS))
+
+
 def block_pairs(members: DataFrame, packed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The blocks of large groups as (node, block), and the pairs of blocks to multiply as (root, x, y), x <= y.
 
-    members: (node, root, class) of the groups of more than `PAIRED` blocks.
+    members: (node, root, class, size) of the groups of more than `PAIRED` blocks.
     """
-    held = cut(first_ngrams(packed).join(members, "node").select("root", "class", "node", "gram").distinct())
+    held = cut(first_ngrams(packed).join(members.drop("size"), "node").select("root", "class", "node", "gram").distinct())
     often = held.groupBy("root", "gram").agg(F.countDistinct("node").alias("_shared"))
     hubs = held.join(often, ["root", "gram"]).groupBy("root", "class", "node").agg(F.max(F.struct("_shared", "gram")).alias("_hub"))
-    hubs = members.join(hubs.select("node", F.col("_hub.gram").alias("hub")), "node", "left").select("root", "class", "node", F.coalesce("hub", F.lit(0)).alias("hub"))
-    families = hubs.groupBy("root", "class", "hub").agg(F.count(F.lit(1)).alias("_rows"))
-    loose = families.where(F.col("_rows") < FAMILY_ROWS // 2).groupBy("root", "class").agg(F.sum("_rows").alias("_loose"))
+    hubs = members.join(hubs.select("node", F.col("_hub.gram").alias("hub")), "node", "left").select("root", "class", "node", "size", F.coalesce("hub", F.lit(0)).alias("hub"))
+    families = hubs.groupBy("root", "class", "hub").agg(F.count(F.lit(1)).alias("_rows"), F.sum("size").alias("_grams"))
+    alone = _blocks(F.col("_rows") * 2, F.col("_grams") * 2) > 1
+    loose = families.where(~alone).groupBy("root", "class").agg(_blocks(F.sum("_rows"), F.sum("_grams")).alias("_loose"))
     families = families.join(loose, ["root", "class"], "left")
-    alone = F.col("_rows") >= FAMILY_ROWS // 2
-    family = F.when(alone, F.col("hub")).otherwise(F.pmod(F.xxhash64("hub"), F.ceil(F.col("_loose") / FAMILY_ROWS)))
-    parts = F.when(alone, F.ceil(F.col("_rows") / FAMILY_ROWS)).otherwise(F.lit(1))
+    family = F.when(alone, F.col("hub")).otherwise(F.pmod(F.xxhash64("hub"), F.col("_loose")))
+    parts = F.when(alone, _blocks(F.col("_rows"), F.col("_grams"))).otherwise(F.lit(1))
     families = families.select("root", "class", "hub", F.xxhash64("class", alone, family).alias("_family"), parts.cast("long").alias("_parts"))
     blocks = cut(hubs.join(families, ["root", "class", "hub"]).select("root", "class", "node", F.xxhash64("_family", F.pmod(F.xxhash64("node"), F.col("_parts"))).alias("block")))
 
@@ -400,7 +407,7 @@ def _multiply(rule: Rule):
             side = part["block"].to_numpy() == x
             first = np.flatnonzero(side)
             second = first if x == part["y"].iloc[0] else np.flatnonzero(~side)
-            if not len(second):
+            if not len(first) or not len(second):  # a block that no row was dealt to
                 continue
             same = second is first
             both = overlap([held[i] for i in first], None if same else [held[i] for i in second])
@@ -451,18 +458,20 @@ def link(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
 
     members = groups.join(classes, "node")
     near = F.floor(F.log(F.col("size").cast("double")) / F.lit(float(-np.log(rule.percent / 100 - 1e-9)))).cast("int")
-    members = members.select("node", "root", "pick", "copies", near.alias("class"))
-    whole = groups.groupBy("root").agg(F.count(F.lit(1)).alias("_n")).select("root", "_n", F.col("_n").alias("_all"))
+    members = members.select("node", "root", "pick", "copies", "size", near.alias("class"))
+    whole = members.groupBy("root").agg(F.count(F.lit(1)).alias("_n"), F.sum("size").alias("_grams")).select("root", "_n", F.col("_n").alias("_all"), "_grams")
     members = cut(join_back(members, whole, "root", groups.count()))
-    n_blocks = F.when(F.col("_all") <= BLOCK_ROWS, F.lit(1)).otherwise(F.ceil(F.col("_all") / FAMILY_ROWS)).cast("long")
+    small = (F.col("_all") <= BLOCK_ROWS) & (F.col("_grams") <= BLOCK_GRAMS)
+    n_blocks = F.when(small, F.lit(1)).otherwise(_blocks(F.col("_all"), F.col("_grams"))).cast("long")
     own = F.pmod(F.xxhash64("node"), n_blocks).cast("long")
     meets = F.transform(F.sequence(F.lit(0).cast("long"), n_blocks - 1), lambda other: F.struct(F.least(own, other).alias("x"), F.greatest(own, other).alias("y")))
-    outright = PAIRED * FAMILY_ROWS
-    placed = members.where(F.col("_all") <= outright).select("node", "root", "pick", "copies", own.alias("block"), meets.alias("tasks"))
-    large, n_pairs = members.where(F.col("_all") > outright), 0
+    placed = members.where(n_blocks <= PAIRED).select("node", "root", "pick", "copies", own.alias("block"), meets.alias("tasks"))
+    several = members.where((n_blocks > 1) & (n_blocks <= PAIRED)).groupBy("root").agg(F.first(n_blocks).alias("_b"))
+    n_pairs = several.agg(F.sum(F.expr("_b * (_b + 1) div 2"))).first()[0] or 0
+    large = members.where(n_blocks > PAIRED)
     if large.limit(1).count():
-        block_of, pairs = block_pairs(large.select("node", "root", "class"), packed)
-        n_pairs = pairs.count()
+        block_of, pairs = block_pairs(large.select("node", "root", "class", "size"), packed)
+        n_pairs += pairs.count()
         ends = pairs.select("root", F.col("x").alias("block"), "x", "y").union(pairs.where("x <> y").select("root", F.col("y").alias("block"), "x", "y"))
         ends = ends.groupBy("root", "block").agg(F.collect_list(F.struct("x", "y")).alias("tasks"))  # as many as a block has others to meet
         placed = placed.unionByName(large.join(block_of, "node").join(ends, ["root", "block"]).select("node", "root", "pick", "copies", "block", "tasks"))
