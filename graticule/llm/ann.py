@@ -1,10 +1,11 @@
 """Nearest neighbours by a block matrix join.
 
-Queries and candidates are packed in blocks. A tile is a query block against a candidate block. Its vectors are
+The candidates stay where they are, a block of them at a time; the queries are sent to their tasks in blocks, in waves of a
+bounded size. A tile is a query block against a candidate block. Its vectors are
 quantised to int8, one scale per vector, and the integer product of the tile gives every inner product up to an error
 bound that follows from the norms of the quantisation residuals. Candidates whose upper bound falls below the k-th best
 lower bound (or the k-th best exact score found so far) are dropped; the survivors are recomputed in double precision on
-the original vectors and kept in a heap per query. The tiles' heaps are merged per query. The search is exact: bounds
+the original vectors and kept in a heap per query, which goes on from tile to tile. The tasks' heaps are merged per query. The search is exact: bounds
 decide only what need not be recomputed.
 
 Among equal vectors only the k+1 rows of smallest id can be in any answer (one more than k, as a query leaves itself
@@ -20,16 +21,22 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graticule.llm.common import bound_batches, cut
+
 #: Vectors in a query block and in a candidate block, about; both bound the memory of a tile.
 QUERY_BLOCK = 1024
 CANDIDATE_BLOCK = 4096
-#: Tiles' answers that are merged at once.
+#: Components of all queries that are sent to the tasks at once.
+WAVE = 4_000_000
+#: Tasks whose answers are merged at once.
 MERGE_FAN = 64
 #: Components that are multiplied at once: 127 * 127 * 1024 is below 2**24, so that a float32 product is the whole number.
 SLICE = 1024
@@ -69,11 +76,11 @@ def whole_product(one: np.ndarray, two: np.ndarray) -> np.ndarray:
     return out
 
 
-def tile_top(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int, width: int = 1024) -> list[list[tuple[float, int]]]:
-    """For each query the k best (-score, id) of one tile, best first."""
-    heaps: list[list[tuple[float, int]]] = [[] for _ in qid]
+def tile_top(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int, width: int = 1024, heaps: list[list[tuple[float, int]]] | None = None) -> list[list[tuple[float, int]]]:
+    """For each query the k best (-score, id) of one tile and of the `heaps` so far, best first."""
+    heaps = [[] for _ in qid] if heaps is None else heaps
     q8, qs, qn, qq, qe = quantise(q)
-    floor = np.full(len(qid), -np.inf)  # exact score that a candidate must reach
+    floor = np.array([-h[-1][0] if len(h) == k else -np.inf for h in heaps])  # exact score that a candidate must reach
     for at in range(0, len(cid), width):
         ids, part = cid[at : at + width], c[at : at + width]
         c8, cs, cn, cq, ce = quantise(part)
@@ -101,14 +108,6 @@ def tile_top(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k:
     return heaps
 
 
-def _unpack(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and vectors of one packed block."""
-    items = column.flatten()
-    ids = items.field(0).to_numpy(zero_copy_only=False)
-    vectors = items.field(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return ids, vectors.reshape(len(ids), dim)
-
-
 TOP_TYPE = pa.list_(pa.struct([("score", pa.float64()), ("id", pa.int64())]))
 TOP_DDL = "array<struct<score:double,id:long>>"
 
@@ -118,29 +117,45 @@ def _as_rows(keys: list, tops: list[list[tuple[float, int]]], parts: list[int],
     return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(parts, pa.int32()), pa.array(items, TOP_TYPE)], [name, "part", "top"])
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", wave: int = WAVE) -> DataFrame:
     """query_id, rank, vec_id and score of each query row's k nearest other rows by largest inner product."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"), F.coalesce(is_query, F.lit(False)).alias("is_query"))
     rows = rows.where(F.col("id").isNotNull() & usable(F.col("vec"))).withColumn("dim", F.size("vec"))
     queries = rows.where("is_query").select("id", "vec", "dim").distinct()
+    schema = f"query_id long, part int, top {TOP_DDL}"
     alike = Window.partitionBy("dim", "mark", "vec").orderBy("id")
     candidates = rows.select("id", "vec", "dim", F.xxhash64("vec").alias("mark")).distinct().withColumn("nth", F.row_number().over(alike)).where(F.col("nth") <= k + 1)
 
-    n = rows.count()
-    n_c, n_q = max(1, -(-n // CANDIDATE_BLOCK)), max(1, -(-rows.where("is_query").count() // QUERY_BLOCK))
-    pack = lambda df, blocks, name: df.groupBy("dim", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias(name)).agg(F.collect_list(F.struct("id", "vec")).alias(f"{name}_rows"))
-    c_blocks = pack(candidates, n_c, "c")
-    q_blocks = pack(queries, n_q, "q").withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))))
-    tiles = q_blocks.join(c_blocks, ["dim", "c"]).select("dim", "c", "q_rows", "c_rows").repartition(F.xxhash64("c", F.monotonically_increasing_id()))
-
-    def tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                dim = batch.column(0)[i].as_py()
-                qid, q = _unpack(batch.column(2).slice(i, 1), dim)
-                cid, c = _unpack(batch.column(3).slice(i, 1), dim)
-                part = batch.column(1)[i].as_py()
-                yield _as_rows(qid.tolist(), tile_top(qid, q, cid, c, k), [part // MERGE_FAN] * len(qid))
+    bound_batches(vectors.sparkSession)
+    held = cut(candidates.select("dim", "id", "vec"))
+    total = queries.agg(F.sum("dim")).first()[0] or 0
+    waves = max(1, -(-total // wave))
+
+    def against(asked: list) -> DataFrame:
+        by_dim: dict[int, list] = {}
+        for row in asked:
+            by_dim.setdefault(row["dim"], []).append(row)
+        blocks = {d: [(np.array([r["id"] for r in x[i : i + QUERY_BLOCK]]), np.array([r["vec"] for r in x[i : i + QUERY_BLOCK]])) for i in range(0, len(x), QUERY_BLOCK)] for d, x in by_dim.items()}
+
+        def tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            heaps: dict[tuple[int, int], list[list[tuple[float, int]]]] = {}
+            for batch in batches:
+                dims = batch.column(0).to_numpy()
+                for dim in np.unique(dims).tolist():
+                    if dim not in blocks:
+                        continue
+                    mine = batch if (dims == dim).all() else batch.filter(pa.array(dims == dim))
+                    c = mine.column(2).flatten().to_numpy(zero_copy_only=False).reshape(mine.num_rows, dim)
+                    for at in range(0, len(c), CANDIDATE_BLOCK):
+                        cid = mine.column(1).slice(at, CANDIDATE_BLOCK).to_numpy()
+                        for n, (qid, q) in enumerate(blocks[dim]):
+                            heaps[dim, n] = tile_top(qid, q, cid, c[at : at + CANDIDATE_BLOCK], k, heaps=heaps.get((dim, n)))
+            part = TaskContext.get().partitionId() // MERGE_FAN
+            for (dim, n), tops_of in heaps.items():
+                qid = blocks[dim][n][0]
+                yield _as_rows(qid.tolist(), tops_of, [part] * len(qid))
+
+        return held.mapInArrow(tops, schema)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,12 +171,13 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
                 merged.append(out)
             yield _as_rows(batch.column(0).to_pylist(), merged, [0] * batch.num_rows)
 
-    schema = f"query_id long, part int, top {TOP_DDL}"
-    found = tiles.mapInArrow(tops, schema)
     gather = lambda df: df.groupBy("query_id", "part").agg(F.collect_list("top").alias("tops")).select("query_id", "part", "tops").mapInArrow(merge, schema)
-    found = gather(found)
-    if n_c > MERGE_FAN:
-        found = gather(found)
+    if waves == 1:
+        found = against(queries.collect())  # bounded by the size of a wave
+    else:
+        place = F.pmod(F.xxhash64("id"), F.lit(waves))
+        found = reduce(DataFrame.unionByName, [cut(against(queries.where(place == w).collect())) for w in range(waves)])
+    found = gather(gather(found))  # the tasks' answers, some at once, then all of a query
     ranked = found.select("query_id", F.posexplode("top").alias("pos", "hit"))
     return ranked.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("hit.id").alias("vec_id"), F.col("hit.score").alias("score"))
 
