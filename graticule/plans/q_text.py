@@ -360,7 +360,7 @@ _CLIMB = r"""regexp_replace({0}, '(^|/)[^/.][^/]*/\.\./', '\1')"""
 @register(
     "resolved_images",
     f"""with r as (select doc_id, source, {_SHAPED} as original from documents where source is not null),
-  w as (select *, case when original like '/%' then null else regexp_replace(regexp_replace(source || '/' || original, '/(\./)+', '/', 'g'), '/+', '/', 'g') end as p from r),
+  w as (select *, case when original like '/%' then null else regexp_replace(regexp_replace(source || '/' || original, '/(\\./)+', '/', 'g'), '/+', '/', 'g') end as p from r),
   c as (select *, {_CLIMB.format(_CLIMB.format(_CLIMB.format('p')))} as q from w),
   a as (select distinct source || '/img/' || doc_id || '.png' as asset from documents where doc_id % 3 <> 0)
   select doc_id, original, asset from c left join a on c.q = a.asset and c.q like c.source || '/%'""",
