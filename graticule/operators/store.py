@@ -54,9 +54,13 @@ class Store:
     def write(self, tables: dict[str, DataFrame]) -> str:
         """Write tables to a new folder and give its name. They belong to no state until they are committed."""
         folder = uuid.uuid4().hex
+        self.add(folder, tables)
+        return folder
+
+    def add(self, folder: str, tables: dict[str, DataFrame]) -> None:
+        """Write more tables to a folder that isn't committed yet."""
         for name, frame in tables.items():
             frame.write.parquet(f"{self.root}/data/{folder}/{name}")
-        return folder
 
     def commit(self, folders: list[str], after: Snapshot, facts: dict[str, object] | None = None) -> Snapshot:
         """Make these folders the state that follows `after`."""
