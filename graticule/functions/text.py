@@ -51,12 +51,22 @@ ARROWS = {"<=>": "⇔", "<->": "↔", "=>": "⇒", "<=": "⇐", "->": "→", "<-
 # Characters replaced before embedding.
 EMBED_FORMS = {"’": "'", "‘": "'", "“": '"', "”": '"', "–": "-", "—": "-", "…": "..."}
 
+#: Words of a text that are put into a bag at a step.
+WORDS = 48
+
 #: White space that is stripped and split at: ASCII blanks, the information separators, and the wide ones.
 BLANK = r"[\t\n\x0B\f\r\x1C-\x1F \x85\xA0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: The same characters, one by one.
+BLANKS = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 #: Where a text breaks into lines.
 LINE_BREAK = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\x{2028}\x{2029}]"
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """`then(value)`, with the value bound as a lambda's variable: it is computed once, however often `then` names it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def tokens(text: Column) -> Column:
     """Lower-cased ASCII letter and digit runs, in order; an empty list for null."""
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
@@ -69,22 +79,22 @@ def token_count(text: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Without white space of any script at both ends."""
-    return F.regexp_replace(text, f"^{BLANK}+|{BLANK}+$", "")
+    return F.trim(text, F.lit(BLANKS))
 
 
 def rstrip(text: Column) -> Column:
-    return F.regexp_replace(text, f"{BLANK}+$", "")
+    return F.rtrim(text, F.lit(BLANKS))
 
 
 def squeeze(text: Column) -> Column:
     """Runs of white space as one blank, none at the ends."""
-    return strip(F.regexp_replace(text, f"{BLANK}+", " "))
+    return strip(F.regexp_replace(text, f"{BLANK}{{2,}}|(?! ){BLANK}", " "))  # a single blank stays as it is
 
 
 def lines(text: Column) -> Column:
     """Lines of a text; a final line break opens no further line, and an empty text has no lines."""
-    parts = F.split(F.regexp_replace(text, LINE_BREAK, "\n"), "\n")
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    whole = F.split(F.regexp_replace(text, LINE_BREAK, "\n"), "\n")
+    return once(whole, lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts))
 
 
 def replace_each(text: Column, table: dict[str, str]) -> Column:
@@ -139,27 +149,33 @@ def prepare_for_embedding(text: Column, max_chars: int = 448, normalise: Callabl
 def bag_of_words(text: Column, max_chars: int = 420) -> Column:
     """Distinct words in first-seen spelling and order, until their joined length reaches a bound."""
     words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("[A-Za-z0-9]+"), F.lit(0))
+    apart = lambda x: F.concat(F.lit(" "), F.lower(x), F.lit(" "))
 
-    def joined(words: Column, low: Column) -> Column:
-        # a word takes two characters of the bound at least, so no more than these can be in it
-        first = F.transform(F.slice(F.array_distinct(low), 1, max_chars // 2 + 2), lambda w: F.element_at(words, F.array_position(low, w).cast("int")))
-        return F.aggregate(first, F.lit(""), lambda bag, w: F.when(F.length(bag) >= max_chars, bag).when(bag == "", w).otherwise(F.concat(bag, F.lit(" "), w)))
+    def add(bag: Column, word: Column) -> Column:
+        # the bag is its own record of what was seen: it is bounded, and words hold no blank
+        return F.when((F.length(bag) >= max_chars) | F.contains(apart(bag), apart(word)), bag).when(bag == "", word).otherwise(F.concat(bag, F.lit(" "), word))
 
-    # bound as lambdas' variables, so that the words are found once and not for every word
-    both = F.transform(F.array(words), lambda ws: F.struct(ws.alias("words"), F.transform(ws, F.lower).alias("low")))
-    return F.get(F.transform(both, lambda x: joined(x["words"], x["low"])), F.lit(0))
+    def some(bag: Column, first: Column, words: Column) -> Column:
+        # once the bag is full, the words left are passed over in steps
+        return F.when(F.length(bag) >= max_chars, bag).otherwise(F.aggregate(F.slice(words, first, WORDS), bag, add))
+
+    steps = lambda words: F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1)), F.lit(WORDS))
+    return once(words, lambda words: F.aggregate(steps(words), F.lit(""), lambda bag, first: some(bag, first, words)))
 
 
 def embedding_fallbacks(prepared: Column) -> Column:
     """Fallback variants of a prepared text, in the order in which they are tried, as (name, text) structs."""
-    # bound as a lambda's variable, so that the prepared text is computed once and not for every variant
-    return F.get(F.transform(F.array(prepared), _fallbacks), F.lit(0))
+    return once(prepared, lambda text: once(_forms(text), lambda forms: _fallbacks(text, forms)))
+
+
+def _forms(prepared: Column) -> Column:
+    ink = BLANK.replace("[", "[^", 1)
+    long_lines = F.array_join(F.filter(lines(prepared), lambda x: x.rlike(f"(?s){ink}.{{10,}}{ink}")), "\n")  # 12 characters, stripped
+    return F.struct(F.regexp_replace(prepared, r"[^\x00-\x7F]", "").alias("ascii_safe"), squeeze(prepared).alias("collapsed"), long_lines.alias("long_lines"))
 
 
-def _fallbacks(prepared: Column) -> Column:
-    ascii_safe = F.regexp_replace(prepared, r"[^\x00-\x7F]", "")
-    collapsed = squeeze(prepared)
-    long_lines = F.array_join(F.filter(lines(prepared), lambda x: F.length(strip(x)) >= 12), "\n")
+def _fallbacks(prepared: Column, forms: Column) -> Column:
+    ascii_safe, collapsed, long_lines = forms["ascii_safe"], forms["collapsed"], forms["long_lines"]
     # fixed values: truncation lengths
     cuts = [1280, 1200, 1100, 1024, 896, 832, 768, 704, 640, 576, 512, 448, 384, 320, 256]
     item = lambda name, text, when: F.when(when, F.struct(F.lit(name).alias("name"), text.alias("text")))
