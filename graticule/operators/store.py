@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graticule.operators.index import CorpusIndex, small
+from graticule.operators.lineage import cut
 from graticule.operators.scoring import term_counts
 from graticule.sources.files import create_text, names, read_text, remove
 
@@ -91,6 +92,8 @@ class Store:
                 remove(self.spark, f"{self.root}/data/{folder}")
 
 
+#: Chunk versions that later batches replaced, up to which they are broadcast (two ids a row).
+MOST_REPLACED = 1_000_000
 #: Folders of changes after which a live index is compacted.
 MOST_DELTAS = 20
 
@@ -111,12 +114,12 @@ class LiveIndex:
     def __init__(self, spark: SparkSession, root: str, most_deltas: int = MOST_DELTAS):
         self.store, self.most_deltas = Store(spark, root), most_deltas
 
-    def _heads(self, snapshot: Snapshot, only: DataFrame | None = None) -> DataFrame:
-        """The newest head of each chunk (of `only`, where given)."""
+    def _heads(self, snapshot: Snapshot, only: DataFrame | None = None, fields: tuple[str, ...] = ("version", "batch", "alive", "length", "terms")) -> DataFrame:
+        """The newest head of each chunk (of `only`, where given), with these fields."""
         heads = self.store.table("heads", snapshot)
         if only is not None:
             heads = heads.join(small(only), "chunk_id", "left_semi")
-        newest = heads.groupBy("chunk_id").agg(F.max_by(F.struct("version", "batch", "alive", "length", "terms"), "version").alias("h"))
+        newest = heads.groupBy("chunk_id").agg(F.max_by(F.struct(*fields), "version").alias("h"))
         return newest.select("chunk_id", "h.*")
 
     def apply(self, changes: DataFrame) -> Snapshot:
@@ -135,40 +138,45 @@ class LiveIndex:
         if not changed.limit(1).count():
             return before
         counts = term_counts(changed.select("chunk_id", "text")).withColumn("batch", F.lit(batch).cast("long"))
-        self._write(folder, {"postings": counts})
+        self.store.add(folder, {"postings": counts})
         posted = self.store.spark.read.parquet(f"{self.store.root}/data/{folder}/postings")
         terms = posted.groupBy("chunk_id").agg(F.max("length").alias("length"), F.collect_list("term").alias("terms"))
         heads = changed.select("chunk_id", "version").join(terms, "chunk_id", "left")
         heads = heads.select("chunk_id", "version", F.lit(batch).cast("long").alias("batch"), F.col("length").isNotNull().alias("alive"), F.coalesce("length", F.lit(0)).cast("long").alias("length"), F.coalesce("terms", F.array().cast("array<string>")).alias("terms"))
         gone = changed.select(F.explode("_terms").alias("term"), F.lit(-1).cast("long").alias("df"))
         sums = posted.select("term", F.lit(1).cast("long").alias("df")).union(gone).groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0")
-        self._write(folder, {"heads": heads, "terms": sums, "texts": changed.where("text is not null").select("chunk_id", F.lit(batch).cast("long").alias("batch"), "text")})
+        self.store.add(folder, {"heads": heads, "terms": sums, "texts": changed.where("text is not null").select("chunk_id", F.lit(batch).cast("long").alias("batch"), "text")})
         done = self.store.commit([*before.folders, folder], before)
         return self.compact() if len(done.folders) > self.most_deltas else done
 
-    def _write(self, folder: str, tables: dict[str, DataFrame]) -> None:
-        for name, frame in tables.items():
-            frame.write.parquet(f"{self.store.root}/data/{folder}/{name}")
+    def _replaced(self, snapshot: Snapshot) -> DataFrame:
+        """(chunk_id, batch) of the heads that aren't their chunk's newest."""
+        held = self.store.table("heads", snapshot).groupBy("chunk_id").agg(F.max_by("batch", "version").alias("_newest"), F.collect_set("batch").alias("_batches"))
+        return held.select("chunk_id", F.explode(F.filter("_batches", lambda b: b != F.col("_newest"))).alias("batch"))
 
-    def _live(self, name: str, snapshot: Snapshot) -> DataFrame:
-        """Rows of a table that belong to their chunk's newest head."""
+    def _live(self, name: str, snapshot: Snapshot, replaced: DataFrame | None = None) -> DataFrame:
+        """Rows of a table that belong to their chunk's newest head. What was replaced goes to the rows, which stay where they are read."""
         rows = self.store.table(name, snapshot)
         if len(snapshot.folders) == 1:  # compacted, or never changed
             return rows
-        heads = self._heads(snapshot).where("alive").select("chunk_id", "batch")
-        return rows.join(heads, ["chunk_id", "batch"], "left_semi")
+        return rows.join(small(self._replaced(snapshot) if replaced is None else replaced, MOST_REPLACED), ["chunk_id", "batch"], "left_anti")
 
     def compact(self) -> Snapshot:
-        """Commit the same state as one folder. Heads of deleted chunks stay, so that late changes still count as late."""
+        """Commit the same state as one folder. Heads of deleted chunks stay, so that late changes still count as late.
+
+        Postings are in order of their terms within each file, so a few terms are still read by their place.
+        """
         before = self.store.snapshot()
         terms = self.store.table("terms", before).groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0")
-        tables = {"heads": self._heads(before), "postings": self._live("postings", before).repartitionByRange("term").sortWithinPartitions("term"), "texts": self._live("texts", before), "terms": terms}
+        replaced = cut(self._replaced(before))
+        live = {name: self._live(name, before, replaced) for name in ("heads", "postings", "texts")}
+        tables = live | {"postings": live["postings"].sortWithinPartitions("term"), "terms": terms}
         return self.store.commit([self.store.write(tables)], before)
 
     def read(self, snapshot: Snapshot | None = None) -> CorpusIndex:
         """The index of a state, the newest unless one is given; it stays the same whatever is committed later."""
         snapshot = self.store.snapshot() if snapshot is None else snapshot
-        heads = self._heads(snapshot).where("alive")
+        heads = self._heads(snapshot, fields=("alive", "length")).where("alive")
         stats = heads.agg(F.count(F.lit(1)).alias("n_chunks"), F.coalesce(F.sum("length"), F.lit(0)).alias("total_tokens"))
         stats = stats.select("n_chunks", "total_tokens", F.round(F.col("total_tokens") / F.nullif("n_chunks", F.lit(0)), 6).alias("avgdl"))
         terms = self.store.table("terms", snapshot).groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
