@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graticule.functions.text import strip
+from graticule.operators.batches import bound_batches
 from graticule.operators.index import small
 
 
@@ -65,6 +66,7 @@ def expand(results: DataFrame, chunks: DataFrame, neighbors: int = 1, max_chars:
         return results.withColumn("expanded", F.col("text")).withColumn("expanded_images", image_of(results))
     if neighbors == 1:
         return expand_one(results, chunks, max_chars)
+    bound_batches(results.sparkSession)
     shifts = F.array(*[F.lit(s) for s in range(-neighbors, neighbors + 1) if s])
     wanted = results.select("qid", "chunk_id", *PLACE, F.explode(F.transform(shifts, lambda s: F.col("seq") + s)).alias("seq"))
     near = wanted.join(chunks.select(*PLACE, "seq", "text", image_of(chunks).alias("images")), [*PLACE, "seq"])

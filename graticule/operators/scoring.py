@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graticule.operators.batches import bound_batches
+
 #: Text bytes that are scored at once, and queries.
 BLOCK_BYTES = 1 << 21
 QUERY_BLOCK = 1024
@@ -125,6 +127,7 @@ def matched(data: np.ndarray, offsets: np.ndarray, n: int, terms: np.ndarray) ->
 
 def term_counts(chunks: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
     """(key, term, tf, length) of every term of every chunk, counted in the task that reads the chunk; nothing is exchanged."""
+    bound_batches(chunks.sparkSession)
     held = chunks.select(key, F.lower(F.coalesce(text, F.lit(""))).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,6 +164,7 @@ def frequencies(chunks: DataFrame, batch: Batch, text: str = "text") -> tuple[in
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, -2, some]), pa.array(np.r_[facts, df[some]])], ["term", "n"])
 
+    bound_batches(chunks.sparkSession)
     counted = chunks.select(F.lower(F.coalesce(text, F.lit(""))).alias("text")).mapInArrow(run, "term long, n long")
     found = {r["term"]: r["n"] for r in counted.groupBy("term").agg(F.sum("n").alias("n")).collect()}  # a row for each of the batch's terms at most
     df = np.zeros(len(batch.terms), dtype=np.int64)
@@ -197,6 +201,7 @@ def score_chunks(chunks: DataFrame, batch: Batch, weights: np.ndarray, avgdl: fl
 
     weights: idf of each term. routes: for the place of a query, the only page marks (column `_page`) that it may find.
     """
+    bound_batches(chunks.sparkSession)
     routed = routes is not None
     columns = [key, F.lower(F.coalesce(text, F.lit(""))).alias("text"), *(["_page"] if routed else [])]
     held = chunks.select(*columns)
